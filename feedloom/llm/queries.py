@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import byte_bpe, decontaminate, exact_dedup, hilbert_shard, license_scan, wordpiece_counts
+from feedloom.llm import byte_bpe, decontaminate, exact_dedup, hilbert_shard, labelled, license_scan, ngram_join, quality_fm, toxicity_gru, wordpiece_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,20 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def scored(scores: DataFrame, at: float) -> DataFrame:
+    return scores.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
+
+
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scored(quality_fm.quality_scores(docs, quality_fm.quality_model(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
+def op4_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scored(toxicity_gru.toxicity_scores(docs, toxicity_gru.toxicity_model(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
 def op5_hilbert_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert_shard.hilbert_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
@@ -39,6 +53,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_classes(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan.license_scan(table(spark, sf_dir, "documents"))
     return out.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")}).drop("blocks")
@@ -47,7 +65,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_exact_dedup, op5_hilbert_shard, op6_byte_bpe, op7_token_counts, op8_decontaminate, op10_license_scan)
+        for f in (
+            op1_exact_dedup,
+            op2_quality_fm,
+            op4_toxicity_gru,
+            op5_hilbert_shard,
+            op6_byte_bpe,
+            op7_token_counts,
+            op8_decontaminate,
+            op9_ngram_join,
+            op10_license_scan,
+        )
     }
 
 
