@@ -85,7 +85,7 @@ def window_matches(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id",
 def decontaminate(
     docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_hit (words inside an exact occurrence of a window), items (ids with
+    """One row per input row: doc_id, text_key, n_words, n_hit (words inside an exact occurrence of a window), items (ids with
     occurring windows, sorted as strings), contaminated.
 
     Null and empty texts have no words; an item without words has no window. Rows with a null id or a repeated id are
@@ -113,6 +113,7 @@ def decontaminate(
         rows = rows.join(right, F.col("doc_id").eqNullSafe(F.col(f"{name}_id")) & (F.col("text_key") == F.col(f"{name}_key")), "left")
     return rows.select(
         "doc_id",
+        "text_key",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -120,6 +121,15 @@ def decontaminate(
     )
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that hold a window of an item, all columns as they were."""
+    found = window_matches(docs, item_windows(items, size), id_col, text_col)
+    bad = found.select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    left = keyed.join(bad, (F.col("_key") == F.col("_bad_key")) & F.col(id_col).eqNullSafe(F.col("_bad_id")), "left_anti")
+    return left.select(*docs.columns)
+
+
 #: Oracle of op8_decontaminate.
 OP8_SQL = r"""
 WITH d AS (
