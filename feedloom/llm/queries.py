@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import byte_bpe, decontaminate, exact_dedup, hilbert_shard, labelled, license_scan, ngram_join, quality_fm, toxicity_gru, wordpiece_counts
+from feedloom.llm import byte_bpe, decontaminate, exact_dedup, hilbert_shard, labelled, license_scan, ngram_join, quality_fm, suffix_dedup, toxicity_gru, wordpiece_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(quality_fm.quality_scores(docs, quality_fm.quality_model(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op4_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scored(toxicity_gru.toxicity_scores(docs, toxicity_gru.toxicity_model(docs, table(spark, sf_dir, "labels"))), 0.5)
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_exact_dedup,
             op2_quality_fm,
+            op3_suffix_dedup,
             op4_toxicity_gru,
             op5_hilbert_shard,
             op6_byte_bpe,
