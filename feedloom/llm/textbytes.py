@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bytes of text that are taken apart at a time; texts stay whole, so one longer text makes a larger step.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: The leading bytes of a word that its character inputs see.
 HEAD = 16
 

@@ -233,18 +233,18 @@ def fit(texts: list[bytes], y: np.ndarray, seed: int = 5) -> Network:
             once = np.unique(of * size + own[back])
             tallies[name][0] += np.bincount(once % size, minlength=size)
             tallies[name][1] += np.bincount(once % size, weights=y[a:b][once // size], minlength=size)
-        parts.append((a, w, f, back))
+        parts.append((a, w.counts, f, back.astype(np.int32)))
     for name, (seen, toxic) in tallies.items():
         net.embed[name][:, 0] = log_odds(seen, toxic, y) / 4
 
     # the most suspicious windows of each text, by the words' own odds
     chosen = []
-    for a, w, f, back in parts:
+    for a, counts, f, back in parts:
         odds = np.maximum(net.embed["word"][f.word, 0] + net.embed["prefix"][f.prefix, 0], 0)[back]
         total = np.concatenate([[0], np.cumsum(odds)])
-        text, begin = window_starts(w.counts)
-        base = (np.cumsum(w.counts) - w.counts)[text] + begin
-        end = np.minimum(base + WINDOW, np.cumsum(w.counts)[text])
+        text, begin = window_starts(counts)
+        base = (np.cumsum(counts) - counts)[text] + begin
+        end = np.minimum(base + WINDOW, np.cumsum(counts)[text])
         order = np.lexsort((begin, -(total[end] - total[base]), text))
         nth = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         take = order[(nth == 0) | ((nth < PER_TEXT) & (y[a + text[order]] == 0))]
@@ -252,6 +252,7 @@ def fit(texts: list[bytes], y: np.ndarray, seed: int = 5) -> Network:
         at = base[take][:, None] + np.arange(WINDOW)
         mask = at < end[take][:, None]
         chosen.append((x[back[np.minimum(at, len(back) - 1)]], f.share[back[np.minimum(at, len(back) - 1)]], mask, y[a + text[take]]))
+    del parts
     if not chosen or not sum(len(c[3]) for c in chosen):
         return net
     ids, share, mask, target = (np.concatenate(z) for z in zip(*chosen, strict=True))
