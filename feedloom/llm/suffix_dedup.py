@@ -168,6 +168,23 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["up"][:n], _tables["down"][:n]
 
 
+def content_hash(data: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of data[at:stop] for each pair, wherever in data it is."""
+    up, down = powers(len(data) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
+    return mix((total[stop] - total[at]) * down[at] + (stop - at).astype(np.uint64))
+
+
+def packed(ids: np.ndarray) -> bytes:
+    """Ids in four bytes each where they fit, else in eight; the first byte tells."""
+    small = not len(ids) or (ids.min() >= 0 and ids.max() < 1 << 32)
+    return (b"\4" + ids.astype("<u4").tobytes()) if small else (b"\10" + ids.astype("<i8").tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if data[0] == 4 else "<i8", offset=1).astype(np.int64)
+
+
 def power(n: int) -> np.uint64:
     return np.uint64(pow(FACTOR, n, 1 << 64))
 
@@ -185,8 +202,6 @@ class Spans:
             self.key = self.content = np.zeros(0, np.uint64)
             return
         h = data.astype(np.uint64) + np.uint64(1)
-        up, down = powers(n + K)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:n])])
         width, eight = 1, h
         while width < 16:
             h = h[:-width] * power(width) + h[width:]
@@ -210,8 +225,7 @@ class Spans:
         self.piece = np.searchsorted(self.ends, at, "right")
         self.begin = at - (self.ends - sizes)[self.piece]
         self.key = v[at] >> PLACE
-        stop = at + self.windows + K - 1
-        self.content = mix((total[stop] - total[at]) * down[at] + self.windows.astype(np.uint64))
+        self.content = content_hash(data, at, at + self.windows + K - 1)
 
 
 def pieces_of(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -314,35 +328,37 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             key, content, own, order = key[new], content[new], own[new], order[new]
             for b, s in per_bucket(key):
                 listed = [spans[i] for i in order[s]]
-                out.append((b, key[s].tobytes(), content[s].tobytes(), own[s].tobytes(), bytes(map(len, listed)), b"".join(listed)))
+                out.append((b, (key[s] >> bits).astype("<u4").tobytes(), packed(own[s]), bytes(map(len, listed)), b"".join(listed)))
         return pa.table(
             {
                 "bucket": pa.array([o[0] for o in out], pa.int64()),
                 "block": pa.array([docs_["block"][0].as_py()] * len(out), pa.int64()),
-                **{c: pa.array([o[i] for o in out], pa.binary()) for i, c in enumerate(("key", "content", "owner", "size", "data"), 1)},
+                **{c: pa.array([o[i] for o in out], pa.binary()) for i, c in enumerate(("key", "owner", "size", "data"), 1)},
             }
         )
 
     def reply(table: pa.Table) -> pa.Table:
         """For each block's spans, runs of windows with one least owner."""
         read = lambda c, kind: [np.frombuffer(x, kind) for x in table[c].to_pylist()]
-        contents = read("content", np.uint64)
-        key, content, own = np.concatenate(read("key", np.uint64)), np.concatenate(contents), np.concatenate(read("owner", np.int64))
+        keys = read("key", "<u4")
+        key, own = np.concatenate(keys), np.concatenate([unpacked(x) for x in table["owner"].to_pylist()])
         sizes = np.concatenate(read("size", np.uint8)).astype(np.int64)
         data = b"".join(table["data"].to_pylist())
         begins = np.cumsum(sizes) - sizes
+        content = content_hash(np.frombuffer(data, np.uint8), begins, begins + sizes)
+        contents = np.split(content, np.cumsum([len(k) for k in keys])[:-1])
         order = np.lexsort((own, content, key))
         new = np.ones(len(order), bool)
         new[1:] = (key[order[1:]] != key[order[:-1]]) | (content[order[1:]] != content[order[:-1]])
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
         one = order[new]  # distinct spans, by key, with their least owner first
-        runs: list[tuple[bytes, bytes, int]] = []
-        cuts = [*np.flatnonzero(np.diff(key[one], prepend=key[one[0]] + np.uint64(1))).tolist(), len(one)]
+        runs: list[tuple[bytes, list[int], int]] = []
+        cuts = [*np.flatnonzero(np.diff(key[one], prepend=~key[one[:1]])).tolist(), len(one)]
         own_list, size_list, begin_list = own[one].tolist(), sizes[one].tolist(), begins[one].tolist()
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b - a == 1:  # nothing to sort: every window's least owner is the span's
-                runs.append((bytes([size_list[a] - K + 1]), own_list[a].to_bytes(8, "little", signed=True), 1))
+                runs.append((bytes([size_list[a] - K + 1]), [own_list[a]], 1))
                 continue
             spans = [data[begin_list[i] : begin_list[i] + size_list[i]] for i in range(a, b)]
             for least in least_owners(spans, own_list[a:b]):
@@ -353,18 +369,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     else:
                         values.append(m)
                         lengths.append(1)
-                runs.append((bytes(lengths), np.array(values, np.int64).tobytes(), len(lengths)))
+                runs.append((bytes(lengths), values, len(lengths)))
         out = []
         for ids_, content_ in zip(np.split(which, np.cumsum([len(c) for c in contents])[:-1]), contents, strict=True):
             got = [runs[i] for i in ids_]
-            out.append((content_.tobytes(), bytes(g[2] for g in got), b"".join(g[0] for g in got), b"".join(g[1] for g in got)))
+            out.append((content_.tobytes(), bytes(g[2] for g in got), b"".join(g[0] for g in got), packed(np.array([m for g in got for m in g[1]], np.int64))))
         return pa.table({"block": table["block"], **{c: pa.array([o[i] for o in out], pa.binary()) for i, c in enumerate(("content", "runs", "length", "owner"))}})
 
     def remove(docs_: pa.Table, replies: pa.Table) -> pa.Table:
         """Mark what smaller ids have, and give what is left."""
         read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in replies[c].to_pylist()] or [np.zeros(0, kind)])
         content, runs = read("content", np.uint64), read("runs", np.uint8).astype(np.int64)
-        length, owner_ = read("length", np.uint8).astype(np.int64), read("owner", np.int64)
+        length = read("length", np.uint8).astype(np.int64)
+        owner_ = np.concatenate([unpacked(x) for x in replies["owner"].to_pylist()] or [np.zeros(0, np.int64)])
         order = np.argsort(content, kind="stable")
         content, first_run, runs = content[order], (np.cumsum(runs) - runs)[order], runs[order]
         # where a run begins inside its span
@@ -424,7 +441,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = by_block.applyInArrow(send_keys, "bucket long, block long, keys binary, many binary")
     shared = sent.groupBy("bucket").applyInArrow(shared_keys, "block long, bucket long, keys binary")
     spans = by_block.cogroup(shared.groupBy("block")).applyInArrow(
-        send_spans, "bucket long, block long, key binary, content binary, owner binary, size binary, data binary"
+        send_spans, "bucket long, block long, key binary, owner binary, size binary, data binary"
     )
     replies = spans.groupBy("bucket").applyInArrow(reply, "block long, content binary, runs binary, length binary, owner binary")
     last = "kept_sha256 string" if digests else "kept binary"
