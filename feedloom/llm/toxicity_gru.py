@@ -3,11 +3,12 @@
 Each word enters as the sum of three parts: an embedding of the hashed word, one of its leading characters and the mean
 of those of its character trigrams. A gated recurrent unit reads a window of WINDOW words in each direction, attention
 pools the states, and a logistic output scores the window. Windows overlap by WINDOW - STRIDE words and cover the whole
-text; a text's score is that of its worst window, calibrated on the sample.
+text; a text's score is that of its worst window, calibrated on a part of the sample that is not trained on.
 
-Forward and backward passes are numpy. The network is learned on a bounded sample (at most PER_CLASS texts of label 0 and 1); the
-first embedding dimension starts from the log odds of the feature in that sample. A text's label is taken to hold for
-its most suspicious window; other windows are learned from only in texts that are not toxic.
+Forward and backward passes are numpy. The network is learned on a bounded sample (at most PER_CLASS texts of label 0
+and 1); the first embedding dimension starts from the log odds of the feature in that sample. A text's label is taken
+to hold for its most suspicious window: first by the words' odds, then by the network itself; more windows are learned
+from in texts that are not toxic.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ WORD_BUCKETS, PREFIX_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 14, 1 << 14
 PREFIX, GRAMS = 5, 10
 SIZE, HIDDEN = 8, 8
 WINDOW, STRIDE, BLOCK = 48, 36, 2048
-PER_CLASS, PER_TEXT, EPOCHS, STEPS, BATCH, RATE = (4000, 1500), 2, 4, 150, 128, 0.01
+PER_CLASS, PER_TEXT, EPOCHS, STEPS, BATCH, RATE = (4500, 2000), 2, 4, 150, 128, 0.01
+CALIBRATE = 4
 
 
 @dataclass
@@ -38,7 +40,12 @@ class Features:
     word: np.ndarray
     prefix: np.ndarray
     grams: np.ndarray  # (words, GRAMS)
-    share: np.ndarray  # (words, GRAMS): 1 / number of grams where there is one, else 0
+    n: np.ndarray  # how many of them there are, at least one
+
+    @property
+    def share(self) -> np.ndarray:
+        """(words, GRAMS): 1 / n for the first n."""
+        return ((np.arange(GRAMS) < self.n[:, None]) / self.n[:, None]).astype(np.float32)
 
 
 def features(w: Words, which: np.ndarray) -> Features:
@@ -48,13 +55,11 @@ def features(w: Words, which: np.ndarray) -> Features:
     for j in range(PREFIX):
         first = first * np.uint64(257) + head[:, j]
     tri = head[:, :GRAMS] * np.uint64(66049) + head[:, 1 : GRAMS + 1] * np.uint64(257) + head[:, 2 : GRAMS + 2]
-    n = np.clip(seen - 2, 1, GRAMS)
-    share = (np.arange(GRAMS) < n[:, None]) / n[:, None]
     return Features(
-        (w.hashes[which] & np.uint64(WORD_BUCKETS - 1)).astype(np.int32),
-        (mix(first) & np.uint64(PREFIX_BUCKETS - 1)).astype(np.int32),
-        (mix(tri) & np.uint64(GRAM_BUCKETS - 1)).astype(np.int32),
-        share.astype(np.float32),
+        (w.hashes[which] & np.uint64(WORD_BUCKETS - 1)).astype(np.uint16),
+        (mix(first) & np.uint64(PREFIX_BUCKETS - 1)).astype(np.uint16),
+        (mix(tri) & np.uint64(GRAM_BUCKETS - 1)).astype(np.uint16),
+        np.clip(seen - 2, 1, GRAMS).astype(np.uint8),
     )
 
 
@@ -170,28 +175,33 @@ class Network:
             dx += dpre @ p[f"w{d}"].T
         return grad, dx
 
+    def each_window(self, f: Features, back: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word, logit) of every window of texts with words back (places in f)."""
+        x = self.inputs(f)
+        pre = {d: np.concatenate([x @ self.dense[f"w{d}"] + self.dense[f"c{d}"], np.zeros((1, 3 * HIDDEN), np.float32)]) for d in "fb"}
+        text, begin = window_starts(counts)
+        base, last = (np.cumsum(counts) - counts)[text] + begin, np.cumsum(counts)[text]
+        back = np.append(back, len(f.word))
+        out = np.empty(len(text), np.float32)
+        for k in range(0, len(base), BLOCK):
+            at = base[k : k + BLOCK] + np.arange(WINDOW)[:, None]
+            mask = at < last[k : k + BLOCK]
+            whole = bool(mask.all())
+            ids = back[at if whole else np.where(mask, at, len(back) - 1)]
+            out[k : k + BLOCK] = self.window_logits({d: pre[d][ids] for d in "fb"}, None if whole else mask)
+        return text, begin, out
+
     def text_logits(self, texts: list[bytes]) -> np.ndarray:
-        """The worst window's logit of each text; a text without words has the sample's base rate."""
+        """The worst window's logit of each text; not a number for a text without words."""
         out = np.full(len(texts), np.nan)
         for a, b in steps(texts):
             w = take_apart(texts[a:b])
             if not len(w.hashes):
                 continue
             _, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)
-            x = self.inputs(features(w, first))
-            pre = {d: np.concatenate([x @ self.dense[f"w{d}"] + self.dense[f"c{d}"], np.zeros((1, 3 * HIDDEN), np.float32)]) for d in "fb"}
-            text, begin = window_starts(w.counts)
-            base = (np.cumsum(w.counts) - w.counts)[text] + begin
-            last = np.cumsum(w.counts)[text]
-            back = np.append(back, len(first))
+            text, _, logit = self.each_window(features(w, first), back, w.counts)
             best = np.full(b - a, -np.inf)
-            for k in range(0, len(base), BLOCK):
-                at = base[k : k + BLOCK] + np.arange(WINDOW)[:, None]
-                mask = at < last[k : k + BLOCK]
-                whole = bool(mask.all())
-                ids = back[at if whole else np.where(mask, at, len(back) - 1)]
-                got = self.window_logits({d: pre[d][ids] for d in "fb"}, None if whole else mask)
-                np.maximum.at(best, text[k : k + BLOCK], got)
+            np.maximum.at(best, text, logit)
             out[a:b] = np.where(np.isfinite(best), best, np.nan)
         return out
 
@@ -219,7 +229,7 @@ def log_odds(seen: np.ndarray, toxic: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(seen > 2, np.maximum(odds - error, 0), 0)
 
 
-def fit(texts: list[bytes], y: np.ndarray, seed: int = 5) -> Network:
+def train(texts: list[bytes], y: np.ndarray, seed: int) -> Network:
     net, rng = Network.start(seed), np.random.default_rng(seed)
     parts = []
     tallies = {n: np.zeros((2, size)) for n, size in (("word", WORD_BUCKETS), ("prefix", PREFIX_BUCKETS))}
@@ -230,66 +240,78 @@ def fit(texts: list[bytes], y: np.ndarray, seed: int = 5) -> Network:
         of = np.repeat(np.arange(b - a), w.counts)
         for name, own in (("word", f.word), ("prefix", f.prefix)):
             size = tallies[name].shape[1]
-            once = np.unique(of * size + own[back])
+            once = np.unique(of * size + own.astype(np.int64)[back])
             tallies[name][0] += np.bincount(once % size, minlength=size)
             tallies[name][1] += np.bincount(once % size, weights=y[a:b][once // size], minlength=size)
         parts.append((a, w.counts, f, back.astype(np.int32)))
     for name, (seen, toxic) in tallies.items():
         net.embed[name][:, 0] = log_odds(seen, toxic, y) / 4
 
-    # the most suspicious windows of each text, by the words' own odds
-    chosen = []
-    for a, counts, f, back in parts:
-        odds = np.maximum(net.embed["word"][f.word, 0] + net.embed["prefix"][f.prefix, 0], 0)[back]
-        total = np.concatenate([[0], np.cumsum(odds)])
-        text, begin = window_starts(counts)
-        base = (np.cumsum(counts) - counts)[text] + begin
-        end = np.minimum(base + WINDOW, np.cumsum(counts)[text])
-        order = np.lexsort((begin, -(total[end] - total[base]), text))
-        nth = np.arange(len(order)) - np.searchsorted(text[order], text[order])
-        take = order[(nth == 0) | ((nth < PER_TEXT) & (y[a + text[order]] == 0))]
-        x = np.concatenate([f.word[:, None], f.prefix[:, None], f.grams], 1)
-        at = base[take][:, None] + np.arange(WINDOW)
-        mask = at < end[take][:, None]
-        chosen.append((x[back[np.minimum(at, len(back) - 1)]], f.share[back[np.minimum(at, len(back) - 1)]], mask, y[a + text[take]]))
-    del parts
-    if not chosen or not sum(len(c[3]) for c in chosen):
-        return net
-    ids, share, mask, target = (np.concatenate(z) for z in zip(*chosen, strict=True))
-    weight = np.where(target == 1, 0.5 / max((target == 1).sum(), 1), 0.5 / max((target == 0).sum(), 1)) * len(target)
-
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.dense.items()}
     squares = {k: np.full(v.shape, 1e-3, np.float32) for k, v in net.embed.items()}
     step = 0
-    for _ in range(max(EPOCHS, STEPS * BATCH // max(len(target), BATCH))):
-        order = rng.permutation(len(target))
-        for k in range(0, len(order), BATCH):
-            rows = order[k : k + BATCH]
-            live = np.ascontiguousarray(mask[rows].T)
-            i = ids[rows].transpose(1, 0, 2).reshape(-1, ids.shape[2])
-            s = share[rows].transpose(1, 0, 2).reshape(-1, GRAMS)
-            x = net.inputs(Features(i[:, 0], i[:, 1], i[:, 2:], s)).reshape(WINDOW, len(rows), 3 * SIZE)
-            grad, dx = net.learn(x, live, target[rows], weight[rows] / len(rows))
-            step += 1
-            for name, g in grad.items():
-                m, v = moments[name]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                net.dense[name] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
-            dx = dx.reshape(-1, 3 * SIZE) * live.reshape(-1, 1)
-            gram = (dx[:, None, 2 * SIZE :] * s[:, :, None]).reshape(-1, SIZE)
-            for name, at, d in (("word", i[:, 0], dx[:, :SIZE]), ("prefix", i[:, 1], dx[:, SIZE : 2 * SIZE]), ("gram", i[:, 2:].reshape(-1), gram)):
-                order_ = np.argsort(at, kind="stable")
-                own, begins = np.unique(at[order_], return_index=True)
-                total = np.add.reduceat(d[order_], begins, axis=0)
-                squares[name][own] += total * total
-                net.embed[name][own] -= 0.1 * RATE * total / np.sqrt(squares[name][own])
-
-    # calibration of the worst window's logit on the sample's texts, by Newton steps on a lightly held logistic fit
-    worst = net.text_logits(texts)
+    for turn, epochs in enumerate((EPOCHS, EPOCHS // 2)):
+        # the most suspicious windows of each text: first by the words' own odds, then by the network itself
+        chosen = []
+        for a, counts, f, back in parts:
+            if not len(back):
+                continue
+            if turn:
+                text, begin, worth = net.each_window(f, back, counts)
+            else:
+                total = np.concatenate([[0], np.cumsum((net.embed["word"][f.word, 0] + net.embed["prefix"][f.prefix, 0])[back])])
+                text, begin = window_starts(counts)
+                base = (np.cumsum(counts) - counts)[text] + begin
+                worth = total[np.minimum(base + WINDOW, np.cumsum(counts)[text])] - total[base]
+            order = np.lexsort((begin, -worth, text))
+            nth = np.arange(len(order)) - np.searchsorted(text[order], text[order])
+            take = order[(nth == 0) | ((nth < PER_TEXT) & (y[a + text[order]] == 0))]
+            at = ((np.cumsum(counts) - counts)[text[take]] + begin[take])[:, None] + np.arange(WINDOW)
+            mask = at < np.cumsum(counts)[text[take]][:, None]
+            chosen.append((back[np.minimum(at, len(back) - 1)], mask, y[a + text[take]], f))
+        if not chosen:
+            return net
+        offsets = np.cumsum([0, *(len(c[3].word) for c in chosen)])
+        ids = np.concatenate([c[0] + o for c, o in zip(chosen, offsets, strict=False)])
+        mask, target = np.concatenate([c[1] for c in chosen]), np.concatenate([c[2] for c in chosen])
+        every = Features(*(np.concatenate([getattr(c[3], k) for c in chosen]) for k in ("word", "prefix", "grams", "n")))
+        weight = np.where(target == 1, 0.5 / max((target == 1).sum(), 1), 0.5 / max((target == 0).sum(), 1)) * len(target)
+        for _ in range(max(epochs, (STEPS >> turn) * BATCH // max(len(target), BATCH))):
+            order = rng.permutation(len(target))
+            for k in range(0, len(order), BATCH):
+                rows = order[k : k + BATCH]
+                live = np.ascontiguousarray(mask[rows].T)
+                i = ids[rows].T.reshape(-1)
+                part = Features(every.word[i], every.prefix[i], every.grams[i], every.n[i])
+                x = net.inputs(part).reshape(WINDOW, len(rows), 3 * SIZE)
+                grad, dx = net.learn(x, live, target[rows], weight[rows] / len(rows))
+                step += 1
+                for name, g in grad.items():
+                    m, v = moments[name]
+                    m += 0.1 * (g - m)
+                    v += 0.001 * (g * g - v)
+                    net.dense[name] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
+                dx = dx.reshape(-1, 3 * SIZE) * live.reshape(-1, 1)
+                gram = (dx[:, None, 2 * SIZE :] * part.share[:, :, None]).reshape(-1, SIZE)
+                for name, at, d in (("word", part.word, dx[:, :SIZE]), ("prefix", part.prefix, dx[:, SIZE : 2 * SIZE]), ("gram", part.grams.reshape(-1), gram)):
+                    sort = np.argsort(at, kind="stable")
+                    own, begins = np.unique(at[sort], return_index=True)
+                    total = np.add.reduceat(d[sort], begins, axis=0)
+                    squares[name][own] += total * total
+                    net.embed[name][own] -= 0.1 * RATE * total / np.sqrt(squares[name][own])
+    del parts, chosen
+    return net
+
+
+def fit(texts: list[bytes], y: np.ndarray, seed: int = 5) -> Network:
+    """A network trained on all texts but each CALIBRATE-th, on which its worst windows' logits are calibrated."""
+    apart = np.arange(len(y)) % CALIBRATE == CALIBRATE - 1
+    net = train([t for t, x in zip(texts, apart, strict=True) if not x], y[~apart], seed)
+    worst = net.text_logits([t for t, x in zip(texts, apart, strict=True) if x])
     known = ~np.isnan(worst)
-    z, t = worst[known], y[known]
+    z, t = worst[known], y[apart][known]
     if 0 < t.sum() < len(t):
+        # Newton steps of a lightly held logistic fit
         a, b = 1.0, 0.0
         for _ in range(25):
             p = sigmoid(a * z + b)
