@@ -392,13 +392,16 @@ def event_card(v: Views) -> DataFrame:
     return render.render_event_batch(rows).select(F.col("digest_date").cast("string").alias("digest_date"), "n_events", "md")
 
 
-@query(
-    f"""+ p AS (SELECT i.id AS item_id, coalesce(nullif(title, ''), '(untitled event)') AS title, url, event_date IS NULL AS ph, registration_deadline, location, registration_url, registration_contact
+PENDING_TEXT = f""" p AS (SELECT i.id AS item_id, coalesce(nullif(title, ''), '(untitled event)') AS title, url, event_date, event_date IS NULL AS ph, registration_deadline, location, registration_url, registration_contact
   FROM items i JOIN metadata m ON m.item_id = i.id WHERE kind = 'event' AND i.id NOT IN (SELECT item_id FROM ledger) AND (event_date IS NULL OR event_date >= DATE '{TODAY}')),
 f AS (SELECT *, list_filter(['报名截止: ' || CAST(registration_deadline AS VARCHAR), coalesce('报名链接: ' || registration_url, '报名方式: ' || registration_contact), '地点: ' || location], lambda x: x IS NOT NULL) AS facts FROM p)
-SELECT item_id, CASE WHEN ph THEN '[日期待定] ' || title ELSE title END AS title,
-  array_to_string(list_concat(list_concat(CASE WHEN ph THEN ['⚠️ 日期未提取，请查看原文确认', ''] ELSE [] END, facts), list_concat(CASE WHEN len(facts) > 0 THEN [''] ELSE [] END, ['原文: ' || url])), chr(10)) AS description FROM f"""
-)
+
+, d AS (SELECT item_id, coalesce(event_date, DATE '{TODAY}' + 7) AS day, CASE WHEN ph THEN '[日期待定] ' || title ELSE title END AS title,
+  array_to_string(list_concat(list_concat(CASE WHEN ph THEN ['⚠️ 日期未提取，请查看原文确认', ''] ELSE [] END, facts), list_concat(CASE WHEN len(facts) > 0 THEN [''] ELSE [] END, ['原文: ' || url])), chr(10)) AS description FROM f)
+"""
+
+
+@query("+" + PENDING_TEXT + " SELECT item_id, title, description FROM d")
 def calendar_desc(v: Views) -> DataFrame:
     rows = queues.list_pending(v.items, v.metadata, v.ledger, today(), True)
     return rows.select("item_id", render.calendar_title().alias("title"), render.calendar_description().alias("description"))
@@ -409,12 +412,19 @@ def archive_rows(v: Views) -> DataFrame:
     return render.archive_targets(v.assignments, v.items, v.topics, today()).drop("digest_date")
 
 
-@query()
+@query(
+    f"""+ t AS (SELECT a.item_id, i.title, i.kind, i.url, i.source_id AS source, t.summary, t.name AS topic FROM assignments a JOIN topics t ON t.id = a.topic_id JOIN items i ON i.id = a.item_id WHERE a.digest_date = DATE '{TODAY}')
+SELECT item_id, CAST(to_json({{'parent': {{'database_id': 'db'}}, 'properties': {{'Title': {{'title': [{{'type': 'text', 'text': {{'content': substr(title, 1, 2000)}}}}]}}, 'url': {{'url': url}},
+  'source': {{'rich_text': CASE WHEN coalesce(source, '') = '' THEN [] ELSE [{{'type': 'text', 'text': {{'content': substr(source, 1, 2000)}}}}] END}}, 'summary': {{'rich_text': CASE WHEN coalesce(summary, '') = '' THEN [] ELSE [{{'type': 'text', 'text': {{'content': substr(summary, 1, 2000)}}}}] END}}, 'topic': {{'rich_text': CASE WHEN coalesce(topic, '') = '' THEN [] ELSE [{{'type': 'text', 'text': {{'content': substr(topic, 1, 2000)}}}}] END}}, 'digest_date': {{'date': {{'start': '{TODAY}'}}}}, 'kind': {{'select': {{'name': kind}}}}}}}}) AS VARCHAR) AS payload FROM t"""
+)
 def archive_payloads(v: Views) -> DataFrame:
     return render.archive_payload(render.archive_targets(v.assignments, v.items, v.topics, today()), "db")
 
 
-@query()
+@query(
+    "+" + PENDING_TEXT + """ SELECT item_id, CAST(to_json({'summary': title, 'description': description, 'start_time': {'date': CAST(day AS VARCHAR)}, 'end_time': {'date': CAST(day AS VARCHAR)},
+  'visibility': 'default', 'attendee_ability': 'none', 'free_busy_status': 'free'}) AS VARCHAR) AS payload FROM d"""
+)
 def calendar_payloads(v: Views) -> DataFrame:
     return render.calendar_payload(queues.list_pending(v.items, v.metadata, v.ledger, today(), True))
 
