@@ -21,7 +21,6 @@ from feedloom.plans.persist import materialize
 
 #: About 100 bytes each: some 20 MB broadcast at most.
 BROADCAST_WINDOWS = 200_000
-EMPTY_SHA = "sha2('', 256)"
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:

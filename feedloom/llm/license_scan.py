@@ -132,7 +132,7 @@ def license_scan(
     def ahead(mark: str, nth: Column) -> Column:
         """Words before the nth place of mark."""
         head = F.call_function("substring_index", F.col("own"), F.lit(mark), nth)
-        return F.expr("bigint(0)") + ((F.octet_length(head) - F.octet_length(F.replace(head, F.lit(" "), F.lit("")))) / 2).cast("long")
+        return ((F.octet_length(head) - F.octet_length(F.replace(head, F.lit(" "), F.lit("")))) / 2).cast("long")
 
     rows = rows.select(
         "doc_id",
