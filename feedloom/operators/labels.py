@@ -50,16 +50,18 @@ def _typed(v: Column, path: str, kind: str) -> Column:
 def parse_label(raw: Column) -> Column:
     """struct<ok, kind, metadata>: ok false for what is no JSON; unknown kinds are other; metadata only of events that
     carry an object."""
-    v = F.try_parse_json(strip_code_fence(raw))
-    named = F.lower(_typed(v, "$.kind", "STRING"))
-    kind = F.when(named.isin("event", "news", "tool", "other"), named).otherwise(F.lit("other"))
-    has = F.schema_of_variant(F.try_variant_get(v, "$.event_metadata", "variant")).startswith("OBJECT")
-    fields = [
-        (clean_iso if f in FIELDS[:2] else clean_str)(_typed(v, f"$.event_metadata.{f}", "STRING")).alias(f) for f in FIELDS
-    ]
-    metadata = F.when((kind == "event") & has, F.struct(*fields))
-    ok = v.isNotNull()
-    return F.struct(ok.alias("ok"), F.when(ok, kind).alias("kind"), F.when(ok, metadata).alias("metadata"))
+
+    def read(v: Column) -> Column:
+        named = F.lower(_typed(v, "$.kind", "STRING"))
+        kind = F.when(named.isin("event", "news", "tool", "other"), named).otherwise(F.lit("other"))
+        has = F.schema_of_variant(F.try_variant_get(v, "$.event_metadata", "variant")).startswith("OBJECT")
+        fields = [(clean_iso if f in FIELDS[:2] else clean_str)(_typed(v, f"$.event_metadata.{f}", "STRING")).alias(f) for f in FIELDS]
+        metadata = F.when((kind == "event") & has, F.struct(*fields))
+        ok = v.isNotNull()
+        return F.struct(ok.alias("ok"), F.when(ok, kind).alias("kind"), F.when(ok, metadata).alias("metadata"))
+
+    # a lambda's variable, so that the text is parsed once for all fields
+    return F.get(F.transform(F.array(F.try_parse_json(strip_code_fence(raw))), read), F.lit(0))
 
 
 def apply_labels(items: DataFrame, metadata: DataFrame, parsed: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:

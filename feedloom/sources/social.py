@@ -55,19 +55,22 @@ def first_of_url(items: DataFrame) -> DataFrame:
 def extract_note_detail(payload: Column) -> Column:
     """struct<title, content> of the first place that has content: the root, then under feed, data and note the key
     itself and its note, noteCard and feed, each perhaps wrapping noteCard. Null for errors and without content."""
-    v = F.try_parse_json(envelope_text(payload))
     places = [""] + [f".{k}{s}" for k in ("feed", "data", "note") for s in ("", ".note", ".noteCard", ".feed")]
-    filled = lambda path: F.nullif(F.trim(text_at(v, path)), F.lit(""))
 
-    def first(place: str, *names: str) -> Column:
-        return F.coalesce(*[filled(f"${place}.{n}") for n in names])
+    def found(v: Column) -> Column:
+        def first(*paths: str) -> Column:
+            return F.coalesce(*[F.nullif(F.trim(text_at(v, f"${p}")), F.lit("")) for p in paths])
+
+        ways = []
+        for at in [at for place in places for at in (f"{place}.noteCard", place)]:
+            content = first(f"{at}.desc", f"{at}.content")
+            title = first(f"{at}.title", f"{at}.displayTitle")
+            ways.append(F.when(content.isNotNull(), F.struct(title.alias("title"), content.alias("content"))))
+        return F.coalesce(*ways)
 
-    found = []
-    for place in places:
-        for at in (f"{place}.noteCard", place):
-            found.append(F.struct(first(at, "title", "displayTitle").alias("title"), first(at, "desc", "content").alias("content")))
     error = F.coalesce(F.from_json(payload, _ENVELOPE)["result"]["isError"], F.lit(False))
-    return F.when(~error, F.get(F.filter(F.array(*found), lambda x: x["content"].isNotNull()), F.lit(0)))
+    # a lambda's variable, so that the text is parsed once for all places
+    return F.when(~error, F.get(F.transform(F.array(F.try_parse_json(envelope_text(payload))), found), F.lit(0)))
 
 
 def enrich_with_detail(items: DataFrame, cache: DataFrame, enrich_detail: bool = True) -> DataFrame:
