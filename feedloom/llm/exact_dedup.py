@@ -70,10 +70,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """docs with one row of each text, all columns as they were."""
-    kept = exact_dedup(docs, id_col, text_col, block).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_sha": F.sha2(normalized(F.col(text_col)), 256)})
-    found = keyed.join(kept, (F.col("_sha") == F.col("_kept_sha")) & F.col("_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return found.dropDuplicates(["_sha", "_id"]).select(*docs.columns)
+    def key(sha: Column, row_id: Column) -> Column:
+        return F.concat_ws("|", sha, F.coalesce(row_id.cast("string"), F.lit("none")))
+
+    kept = exact_dedup(docs, id_col, text_col, block).filter("kept").select(key(F.col("text_sha256"), F.col("doc_id")).alias("_key"))
+    keyed = docs.withColumn("_key", key(F.sha2(normalized(F.col(text_col)), 256), F.col(id_col).cast("long")))
+    # one key without nulls, so that the join's partitioning also serves the rows that repeat
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 #: Oracle of op1_exact_dedup.
