@@ -1,6 +1,6 @@
 """N-gram Jaccard join by MinHash banding.
 
-Texts with the same set of word n-grams form one class member (copies are not compared with each other). Each distinct
+Texts with the same set of word n-grams form one class member (their sets are not compared with each other). Each distinct
 set gets a MinHash signature; the numbers of bands and rows are chosen for a target recall at the threshold. Sets that
 share a band's hash meet in a bucket. Verification is on the full n-gram sets.
 
@@ -9,6 +9,9 @@ verified against one leader, the set that collides with most others. What is lef
 and the triangle inequality of the Jaccard distance rules out many of them (distances to a leader that differ by more
 than 1 - threshold). The sets of the rest are joined exactly, with prefix and positional filters, so no pair of a bucket
 that could join two components is lost.
+
+Links are counted afterwards. Similar sets are in one component, so a component is dealt into blocks of bounded size and
+each two of its blocks meet in a group of their own, where all pairs are compared on the full sets.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from feedloom.operators.components import connected_components
 from feedloom.plans.persist import materialize
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES, LEADERS = 5, 0.8, 0.9995, 128, 1
+#: Sets and bytes of text of a component's block, and n-grams that two blocks are compared on at a time.
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 16 << 20, 4096
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -80,6 +85,40 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of a shares with each of b."""
+    left, right = np.concatenate(a), np.concatenate(b)
+    known = np.intersect1d(left, right)
+    out = np.zeros((len(a), len(b)), np.int64)
+
+    def places(sets: list[np.ndarray], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(set, place in known) of each n-gram of both sides, ordered by place."""
+        at = np.searchsorted(known, flat)
+        kept = known[np.minimum(at, len(known) - 1)] == flat
+        at, of = at[kept], np.repeat(np.arange(len(sets)), list(map(len, sets)))[kept]
+        order = np.argsort(at, kind="stable")
+        return of[order], at[order]
+
+    if len(known):
+        listed = [(len(a), *places(a, left)), (len(b), *places(b, right))]
+        for k in range(0, len(known), COLUMNS):
+            sides = []
+            for rows, of, at in listed:
+                i, j = np.searchsorted(at, (k, k + COLUMNS))
+                side = np.zeros((rows, min(COLUMNS, len(known) - k)), np.float32)
+                side[of[i:j], at[i:j] - k] = 1
+                sides.append(side)
+            out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def similar(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which sets of a and of b are similar, as jaccard() has it."""
+    both = shared_counts(a, b)
+    sizes = np.fromiter(map(len, a), np.int64, len(a))[:, None] + np.fromiter(map(len, b), np.int64, len(b))
+    return both / (sizes - both) >= threshold
+
+
 def _signed(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_key, digest of the n-gram set (null without words) and band hashes of every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -161,11 +200,62 @@ def _rest(open_: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataF
     return met.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
 
 
+def _link_counts(component: DataFrame, texts: DataFrame, weights: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(digest, n_links) of every set of a component (node, component): the sum of the weights (digest, weight) of the
+    others that are similar to it.
+
+    A set goes to the groups (i, j) of its own block with each block of its component; group (i, i) compares a block
+    with itself.
+    """
+    members = component.withColumnRenamed("node", "digest").join(texts, "digest").join(weights, "digest")
+    sizes = members.groupBy("component").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks")
+    )
+    own = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    dealt = own.select("component", "own", "digest", "weight", "text", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    group = ["component", "i", "j"]
+    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "weight", "text")
+
+    def counted(group: list[tuple[int, bytes, int, np.ndarray]], i: int, j: int) -> list[tuple[bytes, int]]:
+        left, right = [x for x in group if x[0] == i], [x for x in group if x[0] == j]
+        if not left or not right:
+            return []
+        near = similar([x[3] for x in left], [x[3] for x in right], threshold)
+        if i == j:
+            np.fill_diagonal(near, False)
+        out = zip((x[1] for x in left), (near @ np.array([x[2] for x in right])).tolist(), strict=True)
+        if i == j:
+            return list(out)
+        return [*out, *zip((x[1] for x in right), (np.array([x[2] for x in left]) @ near).tolist(), strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members = None, []
+        for batch in batches:
+            found = []
+            columns = [batch.column(c).to_pylist() for c in ("component", "i", "j", "own", "digest", "weight", "text")]
+            for c, i, j, own, digest, weight, grams in zip(*columns[:-1], ngram_sets(columns[-1], n), strict=True):
+                if key != (c, i, j):
+                    if members:
+                        found += counted(members, *key[1:])
+                    key, members = (c, i, j), []
+                members.append((own, digest, weight, grams))
+            yield as_batch(found)
+        if members:
+            yield as_batch(counted(members, *key[1:]))
+
+    def as_batch(found: list[tuple[bytes, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.int64())], names=["digest", "n_links"])
+
+    parts = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "digest binary, n_links long")
+    return parts.groupBy("digest").agg(F.sum("n_links").alias("n_links"))
+
+
 def ngram_links(
     docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows has doc_id, text_key, digest of every input row; links has verified pairs of digests
-    (a, b, similarity >= threshold) that connect every component of similar sets."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, links, texts): rows has doc_id, text_key, digest of every input row; links has verified pairs of digests
+    (a, b, similarity >= threshold) that connect every component of similar sets; texts has a text of every linked
+    digest."""
     bands, rows = bands_for(threshold, recall)
     signed = materialize(_signed(docs, n, bands, rows, id_col, text_col), "signed")
     sets = signed.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.any_value("bands").alias("bands"))
@@ -213,7 +303,7 @@ def ngram_links(
         open_ = materialize(led.select("band", "hash", "digest", "weight", "distance", "component"), "open")
     todo = _pairs(_rest(open_, texts, n, threshold)).join(seen, ["a", "b"], "left_anti")
     links = seen.unionByName(materialize(_verified(todo, texts, n), "verified")).filter(F.col("similarity") >= threshold)
-    return signed.select("doc_id", "text_key", "digest"), materialize(links, "links")
+    return signed.select("doc_id", "text_key", "digest"), materialize(links, "links"), texts
 
 
 def ngram_classes(
@@ -221,30 +311,37 @@ def ngram_classes(
 ) -> DataFrame:
     """One row per input row: doc_id, text_key, class_id (least doc_id of its class), class_size, n_links, kept.
 
-    A class is what verified links and equal n-gram sets connect. n_links counts the verified links of the row's set with
-    other sets; links between sets that are already connected through a third are not all sought. kept is true for one
-    row of each class: a least doc_id, of equal ones any single row. Texts without words, null ones too, are alone in
-    their classes, whose id is their own. Null ids sort last. Other columns are not looked at; an empty table gives an
-    empty result.
+    A class is what verified links and equal n-gram sets connect. n_links counts the other distinct texts whose n-gram
+    sets are similar or equal to the row's; rows with the very same text are one text. kept is true for one row of each
+    class: a least doc_id, of equal ones any single row. Texts without words, null ones too, are alone in their classes,
+    whose id is their own. Null ids sort last. Other columns are not looked at; an empty table gives an empty result.
     """
-    rows, links = ngram_links(docs, n, threshold, recall, id_col, text_col)
-    component = connected_components(links).select(F.col("node").alias("digest"), "component")
-    ends = links.select(F.col("a").alias("digest")).union(links.select("b")).groupBy("digest").agg(F.count("*").alias("n_links"))
+    rows, links, texts = ngram_links(docs, n, threshold, recall, id_col, text_col)
+    component = materialize(connected_components(links), "components")
+    weights = rows.filter("digest is not null").groupBy("digest").agg(F.countDistinct("text_key").alias("weight"))
+    counts = _link_counts(component, texts, weights, n, threshold)
+    linked = weights.join(counts, "digest", "left").select("digest", (F.col("weight") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    classes = _classes(rows, component).join(materialize(linked.filter("n_links > 0"), "link-counts"), "digest", "left")
+    return classes.select("doc_id", "text_key", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "kept")
+
+
+def _classes(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """doc_id, text_key, digest, class_id, class_size, kept of every row, from components (node, component) of digests."""
     sets = rows.filter("digest is not null").groupBy("digest").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")).alias("first"), F.count("*").alias("size")
     )
-    sets = sets.join(component, "digest", "left").join(ends, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    sets = sets.join(component.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     whole = sets.groupBy("component").agg(F.min("first").alias("head"), F.sum("size").alias("class_size"))
-    known = materialize(sets.join(whole, "component").select("digest", "head", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
+    known = materialize(sets.join(whole, "component").select("digest", "head", "class_size"), "classes")
     joined = rows.join(known, "digest", "left")
     alone = F.col("digest").isNull()
     same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key"))
     return joined.select(
         "doc_id",
         "text_key",
+        "digest",
         F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         (alone | same).alias("kept"),
     )
 
@@ -254,7 +351,8 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def key(text_key: Column, row_id: Column) -> Column:
         return F.concat_ws("|", text_key.cast("string"), F.coalesce(row_id.cast("string"), F.lit("none")))
 
-    classes = ngram_classes(docs, id_col=id_col, text_col=text_col)
+    rows, links, _ = ngram_links(docs, id_col=id_col, text_col=text_col)
+    classes = _classes(rows, connected_components(links))
     kept = classes.filter("kept").select(key(F.col("text_key"), F.col("doc_id")).alias("_key"))
     keyed = docs.withColumn("_key", key(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.col(id_col).cast("long")))
     return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

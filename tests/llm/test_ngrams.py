@@ -64,6 +64,29 @@ def test_chains_and_near_copies(spark):
     assert any(r.n_links for r in got)
 
 
+def links(rows):
+    """How many other distinct texts each row's text is similar to."""
+    grams = {t: sets(t) for _, t, *_ in rows}
+    found = {t: sum(1 for o, b in grams.items() if o != t and a and b and len(a & b) / len(a | b) >= 0.8) for t, a in grams.items()}
+    return sorted((str(i), found[t]) for i, t, *_ in rows)
+
+
+def test_links(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK", 8, raising=False)
+    monkeypatch.setattr(nj, "COLUMNS", 50, raising=False)
+    r = random.Random(6)
+    base = [f"{w}{i}" for i, w in enumerate(words(3, 80).split())]
+    texts = [" ".join(base), ", ".join(base), " ".join(base).upper(), " ".join(base)]
+    for k in range(30):
+        t = list(base)
+        for _ in range(k % 3):
+            t[r.randrange(len(t))] = f"q{k}"
+        texts.append((" " if k % 2 else "; ").join(t))
+    rows = [r for r in hard_rows() if r[0] is not None] + [(100 + k, t, None, None, None) for k, t in enumerate(texts)]
+    got = nj.ngram_classes(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_links) for r in got) == links(rows)
+
+
 def test_one_of_each_class(spark):
     rows = hard_rows()
     left = nj.one_of_each_class(clashing(frame(spark)))
