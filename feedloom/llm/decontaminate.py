@@ -1,11 +1,10 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame functions only.
 
-The index holds the corpus tokens as postings (term, document, position). It is partitioned by document: the postings
-of a document are made and read in one task, so lists of one document are intersected without a shuffle. Benchmark
-items are cut into windows of consecutive words. Over the whole corpus each window's terms are counted, and its two
-rarest places are its anchors: the list of the rarest term, less the anchor's offset, gives candidate starts; those
-where the second list, less its own offset, has the same start are kept; the others of the window's terms are then
-compared. Matches by proximity allow the two lists to be apart by a stated number of words.
+No index of the corpus is stored: the postings (term, document, position) of a document are made and read in one task.
+Benchmark items are cut into windows of consecutive words. Over the whole corpus each window's terms are counted, and
+its two rarest places are its anchors: the positions of the rarest term, less the anchor's offset, give candidate
+starts; those where the document's words have the second term at its own offset are kept; the others of the window's
+terms are then compared. Matches by proximity allow the two terms to be apart by a stated number of words.
 
 The benchmark's windows are broadcast only where their count is under BROADCAST_WINDOWS; beyond it they are joined by a
 shuffle on the term.
@@ -41,9 +40,10 @@ def indexed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), word_list(text).alias("words"))
 
 
-def anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """window, its length, and the offset and term of its two rarest places (term2 null if it has one word)."""
-    places = windows.select("window", F.posexplode("window").alias("at", "term")).join(counts, "term", "left")
+def anchors(windows: DataFrame, counts: DataFrame, present: bool = False) -> DataFrame:
+    """window, and the offset and term of its two rarest places (term2 null if it has one); present: of those whose
+    terms some document has."""
+    places = windows.select("window", F.posexplode("window").alias("at", "term")).join(counts, "term", "inner" if present else "left")
     order = Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "term", "at")
     ranked = places.withColumn("rank", F.row_number().over(order)).filter("rank <= 2")
     return ranked.groupBy("window").agg(
@@ -59,15 +59,16 @@ def anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
 def window_matches(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", slop: int | None = None) -> DataFrame:
     """Places of windows in documents: doc_id, text_key, window, start (from 0), length, exact.
 
-    With slop None only exact phrases; else also places where the two rarest terms, less their offsets, are at most
-    slop words apart (exact false).
+    With slop None only exact phrases; else also places where the window's two rarest terms that the corpus has, less
+    their offsets, are at most slop words apart (exact false; start is the first term's and may lie before the text).
     """
     distinct = materialize(windows.select("window").distinct(), "windows")
     n = distinct.count()
     terms = distinct.select(F.explode("window").alias("term")).distinct()
     postings = indexed(docs, id_col, text_col)
     counts = postings.select(F.explode("words").alias("term")).join(bounded(terms, n), "term").groupBy("term").agg(F.count("*").alias("n"))
-    chosen = materialize(anchors(distinct, counts).filter("least > 0").drop("least"), "anchors")
+    chosen = anchors(distinct, counts).filter("least > 0") if slop is None else anchors(distinct, counts, present=True)
+    chosen = materialize(chosen.drop("least"), "anchors")
     listed = postings.select("doc_id", "text_key", "words", F.posexplode("words").alias("pos", "term"))
     starts = listed.join(bounded(chosen, n), "term").withColumn("start", F.col("pos") - F.col("at"))
     phrase = F.expr("start >= 0 and start + size(window) <= size(words)")
@@ -77,8 +78,11 @@ def window_matches(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id",
     out = ["doc_id", "text_key", "window", "start", F.size("window").alias("length")]
     if slop is None:
         return starts.filter(phrase).filter(second).filter(whole).select(*out, F.lit(True).alias("exact"))
-    near = F.expr(f"array_contains(slice(words, greatest(start + at2 - {slop}, 0) + 1, {2 * slop + 1}), term2)")
-    return starts.filter(F.col("start") >= 0).filter(exact | (F.col("term2").isNotNull() & near)).select(*out, exact.alias("exact"))
+    # the second term at another place than the first's, at most slop words from where it should be
+    near = F.expr(
+        f"start + at2 + {slop} >= 0 and exists(sequence(greatest(start + at2 - {slop}, 0), greatest(start + at2 + {slop}, 0)), p -> p <> pos and coalesce(get(words, p) = term2, false))"
+    )
+    return starts.filter(exact | (F.col("term2").isNotNull() & near)).select(*out, exact.alias("exact"))
 
 
 def decontaminate(

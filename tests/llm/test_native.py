@@ -50,6 +50,15 @@ def test_proximity(spark):
     assert (1, True) in got and (2, False) in got and not any(d == 3 for d, _ in got)
 
 
+def test_proximity_keeps_changed_and_leading_passages(spark):
+    texts = ["one two three four FIVE six seven eight nine ten", "rare1 rare2 z", "lead1 a b c lead2", "twin z z z", "by by by by"]
+    docs = frame(spark, [(k, t, None, None, None) for k, t in enumerate(texts)])
+    changed = "one two three four changed six seven eight nine ten".split()
+    wins = spark.createDataFrame([(changed,), (["p", "q", "rare1", "rare2"],), (["lead1", "lead2"],), (["twin", "by", "twin"],)], "window array<string>")
+    got = {(r.doc_id, r.window[0], r.start, r.exact) for r in dc.window_matches(docs, wins, slop=2).collect()}
+    assert got == {(0, "one", 0, False), (1, "p", -2, False)}
+
+
 def test_license(spark):
     notes = ["Released under the MIT License.", "CC BY cc by", "x\nAll Rights Reserved\nGNU General Public License all rights reserved", "Licensed under CC BY-NC 4.0."]
     rows = hard_rows() + [(100 + k, t, None, None, None) for k, t in enumerate(notes)]
