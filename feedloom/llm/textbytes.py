@@ -9,8 +9,9 @@ import numpy as np
 
 #: Bytes of text that are taken apart at a time; texts stay whole, so one longer text makes a larger step.
 STEP_BYTES = 1 << 20
-#: The leading bytes of a word that its character inputs see.
-HEAD = 16
+#: The leading bytes of a word that its character inputs see, and how far apart the pieces of a longer one start: whole
+#: characters of one to four bytes, and near enough that no trigram falls between two pieces.
+HEAD, PIECE = 16, 12
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +103,18 @@ def heads(w: Words, which: np.ndarray) -> np.ndarray:
     return out
 
 
+def pieces(w: Words) -> Words:
+    """The words, those over HEAD bytes cut into overlapping pieces of up to HEAD bytes, each hashed as a word of its own."""
+    per = np.maximum(-(-(w.lengths - HEAD) // PIECE), 0) + 1
+    of = np.repeat(np.arange(len(per)), per)
+    ahead = (np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)) * PIECE
+    starts, lengths = w.starts[of] + ahead, np.minimum(w.lengths[of] - ahead, HEAD)
+    out = Words(w.data, w.sizes, w.code, starts, lengths, w.hashes[of], np.diff(np.searchsorted(starts, np.cumsum(w.sizes + 1)), prepend=0))
+    cut = np.flatnonzero(per[of] > 1)
+    out.hashes[cut] = mix((heads(out, cut).astype(np.uint64) * _powers[:HEAD]).sum(1))
+    return out
+
+
 def steps(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about STEP_BYTES each."""
     begin = size = 0

@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 Each word enters as the sum of three parts: an embedding of the hashed word, one of its leading characters and the mean
-of those of its character trigrams. A gated recurrent unit reads a window of WINDOW words in each direction, attention
+of those of its character trigrams. Words over HEAD bytes, such as runs of scripts without spaces, enter as overlapping
+pieces that count as words, so every trigram is read. A gated recurrent unit reads a window of WINDOW words in each direction, attention
 pools the states, and a logistic output scores the window. Windows overlap by WINDOW - STRIDE words and cover the whole
 text; a text's score is that of its worst window, calibrated on a part of the sample that is not trained on.
 
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from feedloom.llm import labelled
-from feedloom.llm.textbytes import HEAD, Words, heads, mix, steps, take_apart
+from feedloom.llm.textbytes import HEAD, Words, heads, mix, pieces, steps, take_apart
 
 WORD_BUCKETS, PREFIX_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 14, 1 << 14
-PREFIX, GRAMS = 5, 10
+PREFIX, GRAMS = 5, HEAD - 2
 SIZE, HIDDEN = 8, 8
 WINDOW, STRIDE, BLOCK = 48, 36, 2048
 PER_CLASS, PER_TEXT, EPOCHS, STEPS, BATCH, RATE = (4500, 2000), 2, 4, 150, 128, 0.01
@@ -195,7 +196,7 @@ class Network:
         """The worst window's logit of each text; not a number for a text without words."""
         out = np.full(len(texts), np.nan)
         for a, b in steps(texts):
-            w = take_apart(texts[a:b])
+            w = pieces(take_apart(texts[a:b]))
             if not len(w.hashes):
                 continue
             _, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)
@@ -234,7 +235,7 @@ def train(texts: list[bytes], y: np.ndarray, seed: int) -> Network:
     parts = []
     tallies = {n: np.zeros((2, size)) for n, size in (("word", WORD_BUCKETS), ("prefix", PREFIX_BUCKETS))}
     for a, b in steps(texts):
-        w = take_apart(texts[a:b])
+        w = pieces(take_apart(texts[a:b]))
         _, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)
         f = features(w, first)
         of = np.repeat(np.arange(b - a), w.counts)

@@ -86,3 +86,25 @@ def test_windows_cover_texts():
         for b in begin[text == i]:
             seen |= set(range(b, min(b + toxicity_gru.WINDOW, n)))
         assert seen == set(range(n))
+
+
+def test_long_runs_are_read_whole():
+    import random
+
+    import numpy as np
+
+    from feedloom.llm import toxicity_gru as tg
+
+    r = random.Random(4)
+
+    def run(toxic):
+        t = "".join(chr(r.randrange(0x4E00, 0x4F00)) for _ in range(60))
+        k = r.randrange(10, 60)
+        return (t[:k] + ("毒殺悪罵" if toxic else "") + t[k:]).encode()
+
+    y = np.arange(400) % 2
+    net = tg.fit([run(t) for t in y], y.astype(float))
+    scores = net.scores([run(t) for t in y])
+    ranks = np.argsort(np.argsort(scores))
+    auc = (ranks[y == 1].sum() - 200 * 199 / 2) / 200**2
+    assert auc > 0.9
