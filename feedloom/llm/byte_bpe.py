@@ -15,8 +15,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -28,50 +28,124 @@ from pyspark.sql import functions as F
 CHUNK, OVERLAP = 16384, 256
 #: Characters past a pre-token's end that its match can depend on.
 LOOKAHEAD = 3
-#: Distinct pre-tokens whose ids a Python worker remembers at most; then it starts anew.
-REMEMBERED = 1 << 18
+#: Keys in the newer half of what a Python worker remembers, and the longest of them; characters encoded at a time.
+REMEMBERED, LONGEST, STEP = 1 << 17, 64, 1 << 21
+#: Above every rank.
+NONE = (1 << 31) - 1
 
 
-class Codec(dict):
-    """Merge ranks of one vocabulary; as a dict, the ids of pre-tokens seen so far."""
+class Recent:
+    """Values of keys seen lately: once there are REMEMBERED of them they become the older half, and the half before goes."""
 
-    def __init__(self, path: str, pattern: str):
-        super().__init__()
+    def __init__(self, make: Callable[[list[str]], list]):
+        self.make, self.newer, self.older = make, {}, {}
+
+    def __call__(self, keys: Iterable[str]) -> dict[str, object]:
+        """The values of keys; those not remembered are made together."""
+        distinct = list(set(keys))
+        if len(self.newer) >= REMEMBERED:
+            self.older, self.newer = self.newer, {}
+        newer, older = self.newer, self.older
+        out = {k: newer[k] if k in newer else older.get(k) for k in distinct}
+        new = [k for k, v in out.items() if v is None]
+        out.update(zip(new, self.make(new), strict=True))
+        newer.update((k, v) for k, v in out.items() if len(k) <= LONGEST)
+        return out
+
+
+def together(found: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+    if len(found) == 1:
+        return found[0]
+    return ",".join([ids for ids, _ in found]), b"".join([raw for _, raw in found])
+
+
+class Codec:
+    """Merge ranks of one vocabulary, and what was encoded lately. What is encoded is given as its ids, written in
+    decimals and joined by commas, and the bytes that they decode to.
+
+    spaces tells that a space behind another character than white space always starts a pre-token, as in patterns whose
+    matches hold white space at their start or alone. Then a text may be cut there, and each part (the text between two
+    such spaces) has one encoding wherever it stands.
+    """
+
+    def __init__(self, path: str, pattern: str, spaces: bool = True):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.raw = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
             self.raw[rank] = piece
         self.decimal = [str(i) for i in range(len(self.raw))]
-        self.pattern = regex.compile(pattern)
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.merge(piece.encode("utf-8", "surrogatepass"))
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
-    def merge(self, data: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token: the pair of lowest rank merges first, the leftmost of equals."""
-        ranks = self.ranks
-        if (whole := ranks.get(data)) is not None:
-            return (whole,)
-        n = len(data)
-        if n <= 48:
-            parts = [data[i : i + 1] for i in range(n)]
-            while len(parts) > 1:
-                best, at = None, -1
-                for i in range(len(parts) - 1):
-                    rank = ranks.get(parts[i] + parts[i + 1])
-                    if rank is not None and (best is None or rank < best):
-                        best, at = rank, i
-                if best is None:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            return tuple(ranks[p] for p in parts)
-        # Long runs: a heap of pairs over a linked list, n log n.
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        # pairs of ids whose bytes together have a rank, as one sorted number each
+        pairs = {
+            self.ranks[piece[:i]] << 32 | self.ranks[piece[i:]]: rank
+            for piece, rank in self.ranks.items()
+            for i in range(1, len(piece))
+            if piece[:i] in self.ranks and piece[i:] in self.ranks
+        }
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        order = np.argsort(keys)
+        self.pair_keys = np.append(keys[order], np.int64(-1))
+        self.pair_ranks = np.append(np.fromiter(pairs.values(), np.int32, len(pairs))[order], NONE).astype(np.int32)
+        self.pattern, self.spaces, self.white = regex.compile(pattern), spaces, regex.compile(r"\s")
+        self.pieces, self.parts = Recent(self.merge_all), Recent(self.encode_parts)
+
+    def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pair_keys[:-1], key)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
+
+    def merge_all(self, pieces: list[str]) -> list[tuple[str, bytes]]:
+        """Each pre-token encoded: the pair of lowest rank merges first, the leftmost of equals; pieces of like sizes
+        go on side by side, one merge of each at a time."""
+        data = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        found = [(self.decimal[r], d) if (r := self.ranks.get(d)) is not None else None for d in data]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        todo = np.array([i for i, f in enumerate(found) if f is None], np.int64)
+        width = 8
+        while len(todo):
+            if width > LONGEST:
+                for i in todo.tolist():
+                    found[i] = self.written(self.merge_long(data[i]))
+                break
+            now, todo = todo[sizes[todo] <= width], todo[sizes[todo] > width]
+            for k in range(0, len(now), 1 << 15):
+                rows = now[k : k + (1 << 15)]
+                for i, ids in zip(rows.tolist(), self.merge_short([data[i] for i in rows], sizes[rows], width), strict=True):
+                    found[i] = self.written(ids)
+            width *= 2
+        return found
+
+    def merge_short(self, data: list[bytes], sizes: np.ndarray, width: int) -> list[list[int]]:
+        bytes_ = np.frombuffer(b"".join([d.ljust(width, b"\0") for d in data]), np.uint8).reshape(len(data), width)
+        ids, left = self.byte[bytes_], sizes.copy()
+        ranks = self.pair_rank(ids[:, :-1], ids[:, 1:])
+        ranks[np.arange(width - 1) >= left[:, None] - 1] = NONE
+        row, out = np.arange(len(data)), [[]] * len(data)
+        while len(row):
+            at = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(row), np.int64)
+            least = ranks[np.arange(len(row)), at] if ranks.shape[1] else np.full(len(row), NONE)
+            done = least == NONE
+            for i, n, own in zip(row[done].tolist(), left[done].tolist(), ids[done].tolist(), strict=True):
+                out[i] = own[:n]
+            go = ~done
+            row, ids, left, ranks, at, least = row[go], ids[go], left[go] - 1, ranks[go], at[go], least[go]
+            if not len(row):
+                break
+            # the merged token's id is its rank; what stands behind moves up
+            here, column = np.arange(len(row)), np.arange(ids.shape[1] - 1)
+            ids[here, at] = least
+            ids = np.where(column <= at[:, None], ids[:, :-1], ids[:, 1:])
+            column = column[:-1]
+            ranks = np.where(column < at[:, None], ranks[:, :-1], ranks[:, 1:])
+            before, behind = np.flatnonzero(at > 0), np.flatnonzero(at < left - 1)
+            ranks[before, at[before] - 1] = self.pair_rank(ids[before, at[before] - 1], least[before])
+            ranks[behind, at[behind]] = self.pair_rank(least[behind], ids[behind, at[behind] + 1])
+        return out
+
+    def merge_long(self, data: bytes) -> list[int]:
+        """A heap of pairs over a linked list: n log n."""
+        ranks, n = self.ranks, len(data)
         end, left, right, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
         heap: list[tuple[int, int, int]] = []
 
@@ -93,13 +167,53 @@ class Codec(dict):
             offer(i)
             if left[i] >= 0:
                 offer(left[i])
-        return tuple(ranks[data[i : end[i]]] for i in range(n) if alive[i])
-
-    def encode(self, pieces: list[str]) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, pieces)))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.raw.__getitem__, ids))
+        return [ranks[data[i : end[i]]] for i in range(n) if alive[i]]
+
+    def written(self, ids: list[int]) -> tuple[str, bytes]:
+        return ",".join([self.decimal[i] for i in ids]), b"".join([self.raw[i] for i in ids])
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[str, bytes]:
+        """Pre-tokens of one text, encoded."""
+        known = self.pieces(pieces)
+        return together([known[p] for p in pieces])
+
+    def encode_parts(self, parts: list[str]) -> list[tuple[str, bytes]]:
+        split = [self.pattern.findall(" " + p) for p in parts]
+        known = self.pieces(chain.from_iterable(split))
+        return [known[pieces[0]] if len(pieces) == 1 else together([known[p] for p in pieces]) for pieces in split]
+
+    def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each text encoded; texts of about STEP characters at a time."""
+        cuts, size = [], 0
+        for i, text in enumerate(texts):
+            cuts.append(self.cut(text))
+            size += len(text)
+            if size >= STEP or i + 1 == len(texts):
+                known = self.parts(chain.from_iterable(parts for _, parts in cuts))
+                heads = [self.pattern.findall(head) for head, _ in cuts]
+                first = self.pieces(chain.from_iterable(heads))
+                for pieces, (_, parts) in zip(heads, cuts, strict=True):
+                    yield together([*map(first.__getitem__, pieces), *map(known.__getitem__, parts)])
+                cuts, size = [], 0
+
+    def cut(self, text: str) -> tuple[str, list[str]]:
+        """text up to its first cut, and each later part without the space that starts it."""
+        if not self.spaces:
+            return text, []
+        parts = text.split(" ")
+        # a space behind white space is no cut: the parts beside it belong together
+        if any(map(self.open, {p[-1:] for p in parts})):
+            joined = parts[:1]
+            for part in parts[1:]:
+                if self.open(joined[-1][-1:]):
+                    joined[-1] += " " + part
+                else:
+                    joined.append(part)
+            parts = joined
+        return parts[0], parts[1:]
+
+    def open(self, last: str) -> bool:
+        return not last or last.isspace() or self.white.match(last) is not None
 
     def starts(self, text: str, base: int = 0, last: bool = True) -> np.ndarray:
         """Where pre-tokens start, shifted by base; without those that text beyond this one could move, unless last."""
@@ -112,14 +226,14 @@ class Codec(dict):
         return begins + base
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str, bool], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, spaces: bool = True) -> Codec:
     """The vocabulary, read once per Python worker."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    if (path, pattern, spaces) not in _codecs:
+        _codecs[path, pattern, spaces] = Codec(path, pattern, spaces)
+    return _codecs[path, pattern, spaces]
 
 
 def stitch(text: str, size: int, chains: list[np.ndarray], own: Codec, overlap: int) -> np.ndarray:
@@ -153,25 +267,24 @@ def stitch(text: str, size: int, chains: list[np.ndarray], own: Codec, overlap:
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _digests(own: Codec, pieces: list[str]) -> tuple[int, str, str]:
-    ids = own.encode(pieces)
-    listed = ",".join(map(own.decimal.__getitem__, ids))
-    return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
+def _digests(ids: str, raw: bytes) -> tuple[int, str, str]:
+    return ids.count(",") + (ids != ""), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
 
 
-def _ids(own: Codec, pieces: list[str]) -> tuple[int, list[int], bytes]:
-    ids = own.encode(pieces)
-    return len(ids), ids, own.decode(ids)
+def _ids(ids: str, raw: bytes) -> tuple[int, list[int], bytes]:
+    listed = list(map(int, ids.split(","))) if ids else []
+    return len(listed), listed, raw
 
 
 IDS_SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded binary"
 
 
 def encode_decode(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP, spaces: bool = True
 ) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids, decoded bytes; with digests, the SHA-256 of the ids joined by
-    commas and of the decoded bytes instead.
+    commas and of the decoded bytes instead. spaces must be False for a pattern with matches that hold a space behind
+    another character than white space (see Codec).
 
     Null and empty texts have no tokens. Repeated rows each give their row; null ids are kept. An empty table gives an
     empty result. Other columns, whatever their names, are not looked at. A lone surrogate cannot occur in Spark strings.
@@ -182,26 +295,26 @@ def encode_decode(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, spaces)
         for batch in batches:
-            out = [finish(own, own.pattern.findall(t)) for t in batch.column("text").to_pylist()]
+            out = [finish(*x) for x in own.encode_texts(batch.column("text").to_pylist())]
             columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=names)
 
     def pre_tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, spaces)
         for pdf in batches:
             found = [own.starts(t, int(k) * chunk, bool(z)) for k, t, z in zip(pdf["k"], pdf["part"], pdf["last"], strict=True)]
             yield pdf.assign(starts=[x.astype("<i8").tobytes() for x in found], part=[t if z else t[:chunk] for t, z in zip(pdf["part"], pdf["last"], strict=True)])
 
     def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = codec(path, pattern)
+        own = codec(path, pattern, spaces)
         repeats = int((pdf["k"] == 0).sum())
         one = pdf.drop_duplicates("k").sort_values("k")
         text = "".join(one["part"])
         at = stitch(text, chunk, [np.frombuffer(x, "<i8") for x in one["starts"]], own, overlap)
         cuts = [*at.tolist(), len(text)]
-        out = finish(own, [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        out = finish(*own.encode_pieces([text[a:b] for a, b in pairwise(cuts)]))
         row = [pdf["doc_id"].iloc[0], *out]
         frame = pd.DataFrame([row] * repeats, columns=names)
         return frame.astype({"doc_id": "Int64"})

@@ -4,8 +4,10 @@ import hashlib
 import public_tokenizers
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from feedloom.llm import byte_bpe
+from feedloom.llm import byte_bpe, queries
 from rows import clashing, empty, frame, hard_rows, words
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -36,7 +38,35 @@ def test_digests(spark, library):
 def test_long_runs(library):
     own = byte_bpe.codec(PATH, public_tokenizers.PATTERN)
     for t in ("a" * 3000, "ab" * 999, "é" * 500, " " * 1000 + "x", "the" * 400, "0" * 777):
-        assert own.encode(own.pattern.findall(t)) == library.encode_ordinary(t)
+        assert own.encode_pieces(own.pattern.findall(t)) == (",".join(map(str, library.encode_ordinary(t))), t.encode())
+
+
+@given(st.text(alphabet=" \n\t\u00a0\u2003\x1c\x85aé.,'s1漢_", max_size=40))
+@settings(max_examples=1500, deadline=None)
+def test_parts(library, text):
+    """Cutting at spaces gives what the whole text gives, and the same places of pre-tokens."""
+    for spaces in (True, False):
+        own = byte_bpe.codec(PATH, public_tokenizers.PATTERN, spaces)
+        assert list(own.encode_texts([text, text]))[1] == (",".join(map(str, library.encode_ordinary(text))), text.encode())
+        assert own.starts(text).tolist() == [m.start() for m in own.pattern.finditer(text)]
+
+
+def test_forgets(library, monkeypatch):
+    """Results do not depend on what is remembered."""
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 3)
+    own = byte_bpe.Codec(PATH, public_tokenizers.PATTERN)
+    for t in [words(i, 50) for i in range(5)] * 2:
+        assert next(own.encode_texts([t])) == (",".join(map(str, library.encode_ordinary(t))), t.encode())
+
+
+def test_query(spark, library, tmp_path):
+    """The registered query over a folder of its own, with a text of over a megabyte."""
+    rows = [*hard_rows(), (99, words(9, 200_000), None, None, None)]
+    frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op6_byte_bpe(spark, str(tmp_path)).collect())
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = [(str(i), library.encode_ordinary(t or ""), t or "") for i, t, *_ in rows]
+    assert got == sorted((i, len(ids), sha(",".join(map(str, ids)).encode()), sha(t.encode())) for i, ids, t in want)
 
 
 def test_empty(spark):
