@@ -5,20 +5,25 @@ It depends on nothing but the window, so all copies of a window meet where their
 document is sent as the spans of neighbouring windows that share one (at most 2 * K - GRAM bytes each).
 
 1. Blocks of documents send each distinct minimizer hash once; buckets tell each block which of its hashes at least two
-   documents have (only those can hold a repeated window).
-2. Blocks send each distinct span of those buckets once, with the least document id that has it in the block.
-3. In a bucket, the suffix array of its distinct spans puts equal windows side by side; each gets the least document id
-   that has it. The suffix array is built by linear grouping (below). Buckets reply to each block about its own spans.
+   documents have (only those can hold a repeated window), and which HOT documents or more have.
+2. Blocks send each distinct span of those hashes once, with the least document id that has it in the block. A hot
+   minimizer's spans are sent window by window, each by its own hash: what stands around a string that a third of all
+   documents share differs from one to the next, and so it is spread over all buckets.
+3. In a bucket, windows whose hash occurs once belong to one span. What is left of the spans is sorted in suffix arrays,
+   one for each minimizer: equal windows stand side by side and get the least document id that has one of them. A suffix
+   array is built by linear grouping (below). Buckets reply to each block about its own spans, in the order sent.
 4. Blocks mark the bytes of every window that a document with a smaller id has too.
 
-A string that a third of all documents share is sent once per block, so no bucket gathers a row for each document.
-Blocks hold about BLOCK documents; the text is shuffled once, to its block, and that shuffle serves steps 1, 2 and 4.
+Spans are taken as one only if their bytes are equal, not just their hashes. Blocks are made of about as many bytes each;
+a message holds all that a block has for a bucket, so their number stays below that of distinct minimizers. The text is
+shuffled once, to its block, and that shuffle serves steps 1, 2 and 4.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +33,19 @@ from pyspark.sql import functions as F
 from feedloom.llm.textbytes import mix
 
 K, GRAM = 50, 24
-BLOCK, STEP = 512, 1 << 19
+#: Bytes of a block: this share of all bytes, but between these bounds. Documents from which on a minimizer is hot (of
+#: those of one block, 255 count at most), so that its spans may take a megabyte.
+SHARE, LEAST_BLOCK, MOST_BLOCK, HOT = 256, 1 << 20, 32 << 20, 1 << 14
+STEP = 1 << 19
 LAST = (1 << 63) - 1
 PLACE = np.uint64(24)  # bits of a position inside a step; the rest of 64 is the hash
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
+UNKNOWN = -2
 
 
 def suffix_array(text: list[int]) -> list[int]:
-    """Suffixes of text in order, in linear steps; text ends with its only 0, the least value.
+    """Suffixes of text in order, in linear steps; text ends with its only 0, the least value, and has small values.
 
     First, suffixes are grouped by their longest Lyndon prefix: groups start as equal first characters and are taken
     from the highest down. For each member, the nearest place to the left that is in a lower group (found along the
@@ -45,64 +54,62 @@ def suffix_array(text: list[int]) -> list[int]:
     result, the suffixes that end where the current one starts are the next free ones of their groups.
     """
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
+    buckets: list[list[int]] = [[] for _ in range(max(text) + 1)]
+    for i, c in enumerate(text):
+        buckets[c].append(i)
+    order = [i for places in buckets for i in places]
     at, group, size = [0] * n, [0] * n, [0] * n
     start = 0
-    for i, p in enumerate(order):
-        at[p] = i
-        if i and text[p] != text[order[i - 1]]:
-            start = i
-        group[p] = start
-        size[start] += 1
-    before = [-1] * n
+    for places in buckets:
+        for i, p in enumerate(places, start):
+            at[p], group[p] = i, start
+        if places:
+            size[start] = len(places)
+        start += len(places)
+    before = [UNKNOWN] * n
     end = n
     while end > 0:
         start = group[order[end - 1]]
         times: dict[int, int] = {}
-        if end - start == 1:
-            i = order[start]
-            j = i - 1
-            while j >= 0 and group[j] >= start:
-                j = before[j]
-            before[i] = j
-            if j >= 0:
-                # one place extends its prefix: it becomes the top of its group
-                g = group[j]
-                top = g + size[g] - 1
-                if top > g:
-                    q, a = order[top], at[j]
-                    order[a], at[q], order[top], at[j] = q, a, j, top
-                    size[g] -= 1
-                    size[top] = 1
-                    group[j] = top
-            end = start
-            continue
-        for i in sorted(order[start:end]):
-            j = i - 1
-            while j >= 0 and group[j] >= start:
-                j = before[j]
-            before[i] = j
+        for member in order[start:end]:
+            i, waiting = member, []
+            if before[i] != UNKNOWN:
+                j = before[i]
+            else:
+                j = i - 1
+                while True:
+                    while j >= 0 and group[j] >= start and before[j] != UNKNOWN:
+                        j = before[j]
+                    if j >= 0 and group[j] >= start:
+                        # another member of this group, whose pointer comes first
+                        waiting.append(i)
+                        i, j = j, j - 1
+                        continue
+                    before[i] = j
+                    if not waiting:
+                        break
+                    i = waiting.pop()
             if j >= 0:
                 times[j] = times.get(j, 0) + 1
-        moved: dict[int, list[tuple[int, int]]] = {}
+        moved: dict[int, list[list[int]]] = {}
         for p, k in times.items():
-            moved.setdefault(group[p], []).append((k, p))
-        for g, places in moved.items():
-            places.sort(reverse=True)
+            by_times = moved.setdefault(group[p], [])
+            while len(by_times) < k:
+                by_times.append([])
+            by_times[k - 1].append(p)
+        for g, by_times in moved.items():
             slot = g + size[g]
-            size[g] -= len(places)
-            run, last = [], places[0][0]
-            for k, p in [*places, (0, -1)]:
-                if k != last:
-                    for q in run:
-                        group[q] = slot
-                    size[slot] = len(run)
-                    run, last = [], k
-                if p >= 0:
+            for places in reversed(by_times):
+                if not places:
+                    continue
+                for p in places:
                     slot -= 1
                     q, a = order[slot], at[p]
                     order[a], at[q], order[slot], at[p] = q, a, p, slot
-                    run.append(p)
+                size[g] -= len(places)
+                size[slot] = len(places)
+                for p in places:
+                    group[p] = slot
         end = start
     free, done, out = list(range(n)), bytearray(n), [0] * n
     out[0] = n - 1
@@ -175,6 +182,33 @@ def content_hash(data: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarr
     return mix((total[stop] - total[at]) * down[at] + (stop - at).astype(np.uint64))
 
 
+def ranges(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, ... (n[0] of them), at[1], ..."""
+    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def unlike(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a + size] and data[b:b + size] differ, for each of some pairs; no size is 0."""
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), 1 << 15):
+        n = size[k : k + (1 << 15)]
+        one, other = data[ranges(a[k : k + (1 << 15)], n)], data[ranges(b[k : k + (1 << 15)], n)]
+        out[k : k + (1 << 15)] = np.logical_or.reduceat(one != other, np.cumsum(n) - n)
+    return out
+
+
+def firsts(data: np.ndarray, at: np.ndarray, size: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Of strings in an order, whether each differs from the one before in a key or in its bytes."""
+    new = np.ones(len(at), bool)
+    if len(at):
+        new[1:] = size[1:] != size[:-1]
+        for key in keys:
+            new[1:] |= key[1:] != key[:-1]
+        again = np.flatnonzero(~new)
+        new[again] = unlike(data, at[again - 1], at[again], size[again])
+    return new
+
+
 def packed(ids: np.ndarray) -> bytes:
     """Ids in four bytes each where they fit, else in eight; the first byte tells."""
     small = not len(ids) or (ids.min() >= 0 and ids.max() < 1 << 32)
@@ -190,7 +224,7 @@ def power(n: int) -> np.uint64:
 
 
 class Spans:
-    """Spans of some pieces of text: piece, begin in the piece, windows, minimizer hash (40 bits), content hash."""
+    """Spans of some pieces of text: piece, begin in the piece, windows, minimizer hash (40 bits)."""
 
     def __init__(self, pieces: list[bytes]):
         data = np.frombuffer(b"".join(pieces), np.uint8)
@@ -198,8 +232,8 @@ class Spans:
         self.data, self.ends = data, np.cumsum(sizes)
         n = len(data)
         if n < K:
-            self.piece = self.begin = self.windows = np.zeros(0, np.int64)
-            self.key = self.content = np.zeros(0, np.uint64)
+            self.piece = self.begin = self.windows = self.at = np.zeros(0, np.int64)
+            self.key = np.zeros(0, np.uint64)
             return
         h = data.astype(np.uint64) + np.uint64(1)
         width, eight = 1, h
@@ -225,7 +259,6 @@ class Spans:
         self.piece = np.searchsorted(self.ends, at, "right")
         self.begin = at - (self.ends - sizes)[self.piece]
         self.key = v[at] >> PLACE
-        self.content = content_hash(data, at, at + self.windows + K - 1)
 
 
 def pieces_of(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -243,18 +276,112 @@ def pieces_of(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield step
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, block: int = BLOCK) -> DataFrame:
+@dataclass
+class Units:
+    """The strings that a block sends, sorted by bucket, key and bytes; of is each one's number among the distinct ones."""
+
+    data: np.ndarray  # the block's texts
+    ends: np.ndarray  # of each text
+    text: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    key: np.ndarray
+    owner: np.ndarray
+    new: np.ndarray  # first of its kind, with the least owner
+    of: np.ndarray
+
+
+def block_units(texts: list[bytes], owners: np.ndarray, wanted: np.ndarray, hot: np.ndarray, low: np.uint64) -> Units:
+    """Spans of the wanted minimizers (sorted); windows instead where a minimizer is hot."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    begins = ends - np.fromiter(map(len, texts), np.int64, len(texts))
+    found: list[tuple[np.ndarray, ...]] = []
+    for step in pieces_of(texts) if len(wanted) else ():
+        s = Spans([p for _, _, p in step])
+        place = np.minimum(np.searchsorted(wanted, s.key), len(wanted) - 1)
+        take = wanted[place] == s.key
+        where = np.array([begins[i] + o for i, o, _ in step], np.int64)
+        of = np.array([i for i, _, _ in step], np.int64)
+        cold, split = np.flatnonzero(take & ~hot[place]), np.flatnonzero(take & hot[place])
+        n = s.windows[split]
+        at = np.concatenate([s.at[cold], ranges(s.at[split], n)])
+        size = np.concatenate([s.windows[cold] + K - 1, np.full(n.sum(), K)])
+        content = content_hash(s.data, at, at + size)
+        key = np.concatenate([s.key[cold], content[len(cold) :] >> PLACE])
+        piece = np.concatenate([s.piece[cold], np.repeat(s.piece[split], n)])
+        begin = np.concatenate([s.begin[cold], ranges(s.begin[split], n)])
+        found.append((of[piece], where[piece] + begin, size, key, content))
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    text, at, size, key, content = (np.concatenate(x) for x in zip(none, *found, strict=True))
+    owner = owners[text]
+    order = np.lexsort((owner, content, key, key & low))
+    text, at, size, key, content, owner = (x[order] for x in (text, at, size, key, content, owner))
+    new = firsts(data, at, size, key, content)
+    return Units(data, ends, text, at, size, key, owner, new, np.cumsum(new) - 1)
+
+
+def window_owners(data: bytes, at: np.ndarray, size: np.ndarray, key: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each window of distinct spans (sorted by key), the least owner of a span of that key that has it."""
+    array = np.frombuffer(data, np.uint8)
+    n = size - K + 1
+    out = np.repeat(owner, n)
+    alone = np.ones(len(key), bool)
+    alone[1:] &= key[1:] != key[:-1]
+    alone[:-1] &= key[1:] != key[:-1]
+    many = np.flatnonzero(~alone)
+    if not len(many):
+        return out
+    # windows of keys with several spans: their place in data and in out, and the number of their span
+    begin, place = ranges(at[many], n[many]), ranges((np.cumsum(n) - n)[many], n[many])
+    span = np.repeat(many, n[many])
+    group = np.cumsum(np.diff(key[many], prepend=key[many[:1]]) != 0)[np.cumsum(np.diff(span, prepend=span[:1]) != 0)]
+    hashes = content_hash(array, begin, begin + K)
+    order = np.lexsort((hashes, group))
+    again = np.zeros(len(order), bool)
+    same = (hashes[order[1:]] == hashes[order[:-1]]) & (group[order[1:]] == group[order[:-1]])
+    again[order[1:]] |= same
+    again[order[:-1]] |= same
+    # runs of windows that may be repeated are what the suffix arrays get, each distinct one once
+    starts = np.flatnonzero(again & (np.diff(span, prepend=-1) != 0) | again & ~np.concatenate([[False], again[:-1]]))
+    if not len(starts):
+        return out
+    length = np.diff(np.append(np.cumsum(again)[starts] - 1, again.sum()))
+    a, b, g, least = begin[starts], length + K - 1, group[starts], owner[span[starts]]
+    content = content_hash(array, a, a + b)
+    order = np.lexsort((least, content, g))
+    new = firsts(array, a[order], b[order], g[order], content[order])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    one = order[new]
+    found: list[list[int]] = []
+    cuts = [*np.flatnonzero(np.diff(g[one], prepend=-1)).tolist(), len(one)]
+    begin_list, size_list, least_list = a[one].tolist(), b[one].tolist(), least[one].tolist()
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        if y - x == 1:  # nothing to sort
+            found.append(least_list[x:y] * (size_list[x] - K + 1))
+        else:
+            found += least_owners([data[begin_list[i] : begin_list[i] + size_list[i]] for i in range(x, y)], least_list[x:y])
+    flat = np.array([m for f in found for m in f], np.int64)
+    first = np.cumsum(length[one]) - length[one]
+    out[place[again]] = flat[ranges(first[of], length)]
+    return out
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, block: int | None = None, hot: int = HOT) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, and kept (the bytes left) or, with digests, kept_sha256.
 
     A byte goes if a K-byte string over it also starts in a document with a smaller id; null ids come last and rows of one
     id do not count against each other. Null and empty texts are empty. Repeated rows each give their row; other columns
-    are not looked at; an empty table gives an empty result.
+    are not looked at; an empty table gives an empty result. block is the bytes of a block, hot the number of documents from
+    which on a minimizer is hot; they do not change the result.
     """
-    blocks = max(1, -(-docs.count() // block))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // (block or min(max(total // SHARE, LEAST_BLOCK), MOST_BLOCK))))
     buckets = 1 << max(8, int(blocks - 1).bit_length())
     bits, low = np.uint64(buckets.bit_length() - 1), np.uint64(buckets - 1)
-    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    rows = docs.select(ids.alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
 
     def per_bucket(key: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -265,8 +392,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if b > a:
                 yield int(bucket[a]), slice(a, b)
 
+    def block_rows(table: pa.Table) -> tuple[list[int | None], list[bytes], np.ndarray]:
+        """Ids, texts and owners of a block, in an order of their own."""
+        both = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        return [x[0] for x in both], [x[1] for x in both], np.array([LAST if x[0] is None else x[0] for x in both], np.int64)
+
     def send_keys(table: pa.Table) -> pa.Table:
-        """Each distinct minimizer hash of a block, and whether two of its documents have it."""
+        """Each distinct minimizer hash of a block, and how many of its documents have it, 255 at most."""
         found = []
         for step in pieces_of(table["text"].to_pylist()):
             s = Spans([p for _, _, p in step])
@@ -276,160 +408,109 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         key, times = np.unique(pair >> PLACE, return_counts=True)
         order = np.lexsort((key, key & low))
         key, times = key[order], times[order]
-        out = [(b, (key[s] >> bits).astype("<u4").tobytes(), (times[s] > 1).tobytes()) for b, s in per_bucket(key)]
+        out = [(b, (key[s] >> bits).astype("<u4").tobytes(), np.minimum(times[s], 255).astype(np.uint8).tobytes()) for b, s in per_bucket(key)]
         return pa.table(
             {
                 "bucket": pa.array([o[0] for o in out], pa.int64()),
                 "block": pa.array([table["block"][0].as_py()] * len(out), pa.int64()),
                 "keys": pa.array([o[1] for o in out], pa.binary()),
-                "many": pa.array([o[2] for o in out], pa.binary()),
+                "times": pa.array([o[2] for o in out], pa.binary()),
             }
         )
 
     def shared_keys(table: pa.Table) -> pa.Table:
-        """The hashes of each block that two documents have."""
+        """The hashes of each block that two documents have, and whether they are hot."""
         keys = [np.frombuffer(k, "<u4") for k in table["keys"].to_pylist()]
-        every, back, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        many = np.frombuffer(b"".join(table["many"].to_pylist()), bool)
+        every, back = np.unique(np.concatenate(keys), return_inverse=True)
+        times = np.bincount(back, np.frombuffer(b"".join(table["times"].to_pylist()), np.uint8))
         shared = times > 1
-        shared[back[many]] = True
         cuts = np.cumsum([len(k) for k in keys])[:-1]
-        out = [k[f].tobytes() for k, f in zip(keys, np.split(shared[back], cuts), strict=True)]
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "keys": pa.array(out, pa.binary())})
+        out = [(k[f].tobytes(), h[f].tobytes()) for k, f, h in zip(keys, np.split(shared[back], cuts), np.split((times >= hot)[back], cuts), strict=True)]
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "keys": pa.array([o[0] for o in out], pa.binary()), "hot": pa.array([o[1] for o in out], pa.binary())})
 
     def send_spans(docs_: pa.Table, shared: pa.Table) -> pa.Table:
-        """Each distinct span of a block in a shared bucket, with its least owner."""
-        wanted = [np.frombuffer(k, "<u4").astype(np.uint64) << bits | np.uint64(b) for b, k in zip(shared["bucket"].to_pylist(), shared["keys"].to_pylist(), strict=True)]
-        wanted = np.sort(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
-        owner = np.array(docs_["doc_id"].to_pylist(), np.int64)
-        keys, contents, owners, spans = [], [], [], []
-        for step in pieces_of(docs_["text"].to_pylist()) if len(wanted) else ():
-            s = Spans([p for _, _, p in step])
-            place = np.minimum(np.searchsorted(wanted, s.key), len(wanted) - 1)
-            take = np.flatnonzero(wanted[place] == s.key)
-            own = owner[np.array([i for i, _, _ in step], np.int64)[s.piece[take]]]
-            order = np.lexsort((own, s.content[take], s.key[take]))
-            take, own = take[order], own[order]
-            new = np.ones(len(take), bool)
-            new[1:] = (s.key[take[1:]] != s.key[take[:-1]]) | (s.content[take[1:]] != s.content[take[:-1]])
-            take, own = take[new], own[new]
-            data = s.data.tobytes()
-            keys.append(s.key[take])
-            contents.append(s.content[take])
-            owners.append(own)
-            spans.extend(data[a : a + w + K - 1] for a, w in zip(s.at[take].tolist(), s.windows[take].tolist(), strict=True)) if len(take) else None
-        out = []
-        if spans:
-            key, content, own = np.concatenate(keys), np.concatenate(contents), np.concatenate(owners)
-            order = np.lexsort((own, content, key, key & low))
-            key, content, own = key[order], content[order], own[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-            key, content, own, order = key[new], content[new], own[new], order[new]
-            for b, s in per_bucket(key):
-                listed = [spans[i] for i in order[s]]
-                out.append((b, (key[s] >> bits).astype("<u4").tobytes(), packed(own[s]), bytes(map(len, listed)), b"".join(listed)))
+        """Each distinct string of a block in a shared bucket, with its least owner; and, to itself, what was shared."""
+        none = np.zeros(0, np.uint64)
+        wanted = np.concatenate([none, *(np.frombuffer(k, "<u4").astype(np.uint64) << bits | np.uint64(b) for b, k in zip(shared["bucket"].to_pylist(), shared["keys"].to_pylist(), strict=True))])
+        hot_ = np.frombuffer(b"".join(shared["hot"].to_pylist()), bool)
+        order = np.argsort(wanted)
+        wanted, hot_ = wanted[order], hot_[order]
+        block_ = (docs_ if docs_.num_rows else shared)["block"][0].as_py()
+        _, texts, owners = block_rows(docs_)
+        u = block_units(texts, owners, wanted, hot_, low)
+        data = u.data.tobytes()
+        key, own, size, at = (x[u.new] for x in (u.key, u.owner, u.size, u.at))
+        out = [(-1 - block_, wanted.astype("<u8").tobytes(), b"", hot_.tobytes(), b"")]
+        for b, s in per_bucket(key):
+            listed = b"".join([data[a : a + n] for a, n in zip(at[s].tolist(), size[s].tolist(), strict=True)])
+            out.append((b, (key[s] >> bits).astype("<u4").tobytes(), packed(own[s]), size[s].astype(np.uint8).tobytes(), listed))
         return pa.table(
             {
                 "bucket": pa.array([o[0] for o in out], pa.int64()),
-                "block": pa.array([docs_["block"][0].as_py()] * len(out), pa.int64()),
+                "block": pa.array([block_] * len(out), pa.int64()),
                 **{c: pa.array([o[i] for o in out], pa.binary()) for i, c in enumerate(("key", "owner", "size", "data"), 1)},
             }
         )
 
     def reply(table: pa.Table) -> pa.Table:
-        """For each block's spans, runs of windows with one least owner."""
+        """For each block's strings, runs of windows with one least owner."""
+        if (bucket := table["bucket"][0].as_py()) < 0:  # what the block sent to itself
+            return pa.table({"block": table["block"], "bucket": table["bucket"], "runs": table["key"], "length": table["size"], "owner": table["owner"]})
         read = lambda c, kind: [np.frombuffer(x, kind) for x in table[c].to_pylist()]
         keys = read("key", "<u4")
         key, own = np.concatenate(keys), np.concatenate([unpacked(x) for x in table["owner"].to_pylist()])
-        sizes = np.concatenate(read("size", np.uint8)).astype(np.int64)
+        size = np.concatenate(read("size", np.uint8)).astype(np.int64)
         data = b"".join(table["data"].to_pylist())
-        begins = np.cumsum(sizes) - sizes
-        content = content_hash(np.frombuffer(data, np.uint8), begins, begins + sizes)
-        contents = np.split(content, np.cumsum([len(k) for k in keys])[:-1])
+        array = np.frombuffer(data, np.uint8)
+        at = np.cumsum(size) - size
+        content = content_hash(array, at, at + size)
         order = np.lexsort((own, content, key))
-        new = np.ones(len(order), bool)
-        new[1:] = (key[order[1:]] != key[order[:-1]]) | (content[order[1:]] != content[order[:-1]])
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        one = order[new]  # distinct spans, by key, with their least owner first
-        runs: list[tuple[bytes, list[int], int]] = []
-        cuts = [*np.flatnonzero(np.diff(key[one], prepend=~key[one[:1]])).tolist(), len(one)]
-        own_list, size_list, begin_list = own[one].tolist(), sizes[one].tolist(), begins[one].tolist()
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b - a == 1:  # nothing to sort: every window's least owner is the span's
-                runs.append((bytes([size_list[a] - K + 1]), [own_list[a]], 1))
-                continue
-            spans = [data[begin_list[i] : begin_list[i] + size_list[i]] for i in range(a, b)]
-            for least in least_owners(spans, own_list[a:b]):
-                lengths, values = [], []
-                for m in least:
-                    if values and values[-1] == m:
-                        lengths[-1] += 1
-                    else:
-                        values.append(m)
-                        lengths.append(1)
-                runs.append((bytes(lengths), values, len(lengths)))
-        out = []
-        for ids_, content_ in zip(np.split(which, np.cumsum([len(c) for c in contents])[:-1]), contents, strict=True):
-            got = [runs[i] for i in ids_]
-            out.append((content_.tobytes(), bytes(g[2] for g in got), b"".join(g[0] for g in got), packed(np.array([m for g in got for m in g[1]], np.int64))))
-        return pa.table({"block": table["block"], **{c: pa.array([o[i] for o in out], pa.binary()) for i, c in enumerate(("content", "runs", "length", "owner"))}})
+        new = firsts(array, at[order], size[order], key[order], content[order])
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        one = order[new]
+        least, n = window_owners(data, at[one], size[one], key[one], own[one]), size[one] - K + 1
+        span = np.repeat(np.arange(len(one)), n)
+        turn = np.flatnonzero((np.diff(least, prepend=least[:1]) != 0) | (np.diff(span, prepend=-1) != 0))
+        length, runs = np.diff(np.append(turn, len(least))), np.bincount(span[turn], minlength=len(one))
+        first, out = np.cumsum(runs) - runs, []
+        for ids_ in np.split(of, np.cumsum([len(k) for k in keys])[:-1]):
+            each = ranges(first[ids_], runs[ids_])
+            out.append((runs[ids_].astype(np.uint8).tobytes(), length[each].astype(np.uint8).tobytes(), packed(least[turn][each])))
+        return pa.table({"block": table["block"], "bucket": pa.array([bucket] * len(out), pa.int64()), **{c: pa.array([o[i] for o in out], pa.binary()) for i, c in enumerate(("runs", "length", "owner"))}})
 
     def remove(docs_: pa.Table, replies: pa.Table) -> pa.Table:
         """Mark what smaller ids have, and give what is left."""
-        read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in replies[c].to_pylist()] or [np.zeros(0, kind)])
-        content, runs = read("content", np.uint64), read("runs", np.uint8).astype(np.int64)
-        length = read("length", np.uint8).astype(np.int64)
-        owner_ = np.concatenate([unpacked(x) for x in replies["owner"].to_pylist()] or [np.zeros(0, np.int64)])
-        order = np.argsort(content, kind="stable")
-        content, first_run, runs = content[order], (np.cumsum(runs) - runs)[order], runs[order]
-        # where a run begins inside its span
-        along = np.cumsum(length) - length
-        texts, ids_ = docs_["text"].to_pylist(), np.array(docs_["doc_id"].to_pylist(), np.int64)
-        marks: dict[int, np.ndarray] = {}
-        for step in pieces_of(texts) if len(content) else ():
-            s = Spans([p for _, _, p in step])
-            place = np.minimum(np.searchsorted(content, s.content), len(content) - 1)
-            hit = np.flatnonzero(content[place] == s.content)
-            if not len(hit):
-                continue
-            place = place[hit]
-            each = runs[place]
-            run = np.repeat(first_run[place], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            span = np.repeat(hit, each)
-            piece = s.piece[span]
-            text = np.array([i for i, _, _ in step], np.int64)[piece]
-            later = np.flatnonzero(owner_[run] < ids_[text])
-            if not len(later):
-                continue
-            run, span = run[later], span[later]
-            begin = s.at[span] + along[run] - np.repeat(along[first_run[place]], each)[later]
-            edge = np.zeros(len(s.data) + 1, np.int32)
-            np.add.at(edge, begin, 1)
-            np.add.at(edge, begin + length[run] + K - 1, -1)
-            covered = np.cumsum(edge[:-1]) > 0
-            for j in np.unique(piece[later]).tolist():
-                i, o, p = step[j]
-                if i not in marks:
-                    marks[i] = np.zeros(len(texts[i]), bool)
-                end = int(s.ends[j])
-                marks[i][o : o + len(p)] |= covered[end - len(p) : end]
+        replies = replies.sort_by("bucket")
+        bucket = replies["bucket"].to_pylist()
+        columns = [replies[c].to_pylist() for c in ("runs", "length", "owner")]
+        wanted, hot_ = np.frombuffer(columns[0][0], "<u8"), np.frombuffer(columns[1][0], bool)
+        assert bucket[0] < 0 and all(b >= 0 for b in bucket[1:])
+        runs = np.frombuffer(b"".join(columns[0][1:]), np.uint8).astype(np.int64)
+        length = np.frombuffer(b"".join(columns[1][1:]), np.uint8).astype(np.int64)
+        owner_ = np.concatenate([np.zeros(0, np.int64), *map(unpacked, columns[2][1:])])
+        ids_, texts, owners = block_rows(docs_)
+        u = block_units(texts, owners, wanted, hot_, low)
+        first_run = np.cumsum(runs) - runs
+        along = np.cumsum(length) - length  # where a run begins inside its string
+        each = runs[u.of]
+        run, unit = ranges(first_run[u.of], each), np.repeat(np.arange(len(u.of)), each)
+        later = np.flatnonzero(owner_[run] < u.owner[unit])
+        run, unit = run[later], unit[later]
+        begin = u.at[unit] + along[run] - along[first_run[u.of[unit]]]
+        edge = np.bincount(begin, minlength=len(u.data) + 1) - np.bincount(begin + length[run] + K - 1, minlength=len(u.data) + 1)
+        gone = np.cumsum(edge[:-1]) > 0
         removed, spans, kept = [], [], []
-        for i, t in enumerate(texts):
-            left = t
-            if i in marks:
-                gone = marks[i]
-                removed.append(int(gone.sum()))
-                spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                left = np.frombuffer(t, np.uint8)[~gone].tobytes()
-            else:
-                removed.append(0)
-                spans.append(0)
+        for t, end in zip(texts, u.ends.tolist(), strict=True):
+            own, left = gone[end - len(t) : end], t
+            removed.append(int(own.sum()))
+            spans.append(int(own[:1].sum()) + int((own[1:] & ~own[:-1]).sum()))
+            if removed[-1]:
+                left = np.frombuffer(t, np.uint8)[~own].tobytes()
             kept.append(hashlib.sha256(left).hexdigest() if digests else left)
         return pa.table(
             {
-                "doc_id": pa.array([None if i == LAST else i for i in ids_.tolist()], pa.int64()),
+                "doc_id": pa.array(ids_, pa.int64()),
                 "n_bytes": pa.array(list(map(len, texts)), pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()),
                 "n_spans": pa.array(spans, pa.int64()),
@@ -438,11 +519,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         )
 
     by_block = placed.groupBy("block")
-    sent = by_block.applyInArrow(send_keys, "bucket long, block long, keys binary, many binary")
-    shared = sent.groupBy("bucket").applyInArrow(shared_keys, "block long, bucket long, keys binary")
+    sent = by_block.applyInArrow(send_keys, "bucket long, block long, keys binary, times binary")
+    shared = sent.groupBy("bucket").applyInArrow(shared_keys, "block long, bucket long, keys binary, hot binary")
     spans = by_block.cogroup(shared.groupBy("block")).applyInArrow(
         send_spans, "bucket long, block long, key binary, owner binary, size binary, data binary"
     )
-    replies = spans.groupBy("bucket").applyInArrow(reply, "block long, content binary, runs binary, length binary, owner binary")
+    replies = spans.groupBy("bucket").applyInArrow(reply, "block long, bucket long, runs binary, length binary, owner binary")
     last = "kept_sha256 string" if digests else "kept binary"
     return by_block.cogroup(replies.groupBy("block")).applyInArrow(remove, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")

@@ -1,5 +1,9 @@
+import hashlib
 import random
 
+import numpy as np
+
+from feedloom.llm import queries
 from feedloom.llm import suffix_dedup as sd
 from rows import clashing, empty, frame, hard_rows
 
@@ -37,7 +41,8 @@ def got(df, **more):
 def test_hard_rows(spark):
     want = brute([(i, t) for i, t, *_ in hard_rows()])
     assert got(clashing(frame(spark))) == want
-    assert got(frame(spark), block=3) == want
+    for hot in (1, 2, 99):
+        assert got(frame(spark), block=400, hot=hot) == want
 
 
 def test_random_edits(spark):
@@ -49,7 +54,38 @@ def test_random_edits(spark):
         for _ in range(r.randint(0, 6)):
             t[r.randrange(len(t))] = r.choice("xyz")
         rows.append((i, "".join(t), None, None, None))
-    assert got(frame(spark, rows), block=7) == brute([(i, t) for i, t, *_ in rows])
+    want = brute([(i, t) for i, t, *_ in rows])
+    for hot in (1, 3, 99):
+        assert got(frame(spark, rows), block=2000, hot=hot) == want
+
+
+def test_equal_hashes(spark, monkeypatch):
+    """Strings are compared where hashes meet: with a hash of two values the result is the same."""
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcd ") for _ in range(r.randint(0, 150))) for _ in range(12)]
+    texts += [t[10:] + t[:30] for t in texts]
+    owners = list(range(len(texts)))
+    spans = [t.encode()[:70] for t in texts if len(t) >= 70]
+    keys = np.zeros(len(spans), np.uint32)
+    data, size = b"".join(spans), np.array([len(s) for s in spans])
+    want = {}
+    for s, o in zip(spans, owners, strict=False):
+        for i in range(len(s) - sd.K + 1):
+            want[s[i : i + sd.K]] = min(want.get(s[i : i + sd.K], o), o)
+    monkeypatch.setattr(sd, "content_hash", lambda data, at, stop: ((stop - at) & 1).astype(np.uint64))
+    found = sd.window_owners(data, np.cumsum(size) - size, size, keys, np.arange(len(spans)))
+    assert found.tolist() == [want[s[i : i + sd.K]] for s in spans for i in range(len(s) - sd.K + 1)]
+
+
+def test_query(spark, tmp_path):
+    """The registered query over a folder of its own, with texts of half a megabyte that share a passage."""
+    r = random.Random(3)
+    long = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(90_000))
+    rows = [(i, t) for i, t, *_ in hard_rows()] + [(100, long), (101, long[5000:80_000] + " end"), (102, "start " + long[-3000:])]
+    frame(spark, [(*x, None, None, None) for x in rows]).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op3_suffix_dedup(spark, str(tmp_path)).collect()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in found) == sorted((*x[:4], sha(x[4])) for x in brute(rows))
 
 
 def test_pieces_of_long_texts(spark, monkeypatch):
