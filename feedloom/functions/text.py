@@ -35,8 +35,15 @@ def strip_html(col: Column) -> Column:
 def char_trigrams(col: Column) -> Column:
     """Distinct runs of three code points of the trimmed text; shorter text is its own single one; none of ''."""
     s = strip(F.coalesce(col, F.lit("")))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3)))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    none = F.array().cast("array<string>")
+
+    def runs(chars: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(chars) - 2)
+        return F.array_distinct(F.transform(at, lambda i: F.concat(F.element_at(chars, i), F.element_at(chars, i + 1), F.element_at(chars, i + 2))))
+
+    # the code points as a lambda's variable, so that the text is taken apart once
+    long = F.get(F.transform(F.array(F.split(s, "")), runs), F.lit(0))
+    return F.when(s == "", none).when(F.length(s) < 3, F.array(s)).otherwise(long)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,20 +26,22 @@ def build_label_prompt(items: DataFrame, today: Column, template: str = TEMPLATE
 
 
 def score(prompts: DataFrame, model_fn: Callable[[str], str], concurrency: int = 8) -> DataFrame:
-    """id, raw: the model's answer to each prompt; a call that fails gives null and never fails the batch."""
+    """id, raw: the model's answer to each prompt; a call that fails gives null and never fails the batch. Each task has
+    `concurrency` calls open at a time; the number of tasks follows the prompts' partitions."""
+
+    def ask(prompt: str) -> str | None:
+        try:
+            return model_fn(prompt)
+        except Exception:  # noqa: BLE001  a model may fail in any way
+            return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for prompt in pdf["prompt"]:
-                try:
-                    out.append(model_fn(prompt))
-                except Exception:  # noqa: BLE001  a model may fail in any way
-                    out.append(None)
-            yield pd.DataFrame({"id": pdf["id"], "raw": out})
+        with ThreadPoolExecutor(concurrency) as calls:
+            for pdf in batches:
+                yield pd.DataFrame({"id": pdf["id"], "raw": list(calls.map(ask, pdf["prompt"]))})
 
     kind = prompts.schema["id"].dataType.simpleString()
-    return prompts.select("id", "prompt").repartition(concurrency).mapInPandas(run, f"id {kind}, raw string")
+    return prompts.select("id", "prompt").mapInPandas(run, f"id {kind}, raw string")
 
 
 def _typed(v: Column, path: str, kind: str) -> Column:

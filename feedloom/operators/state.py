@@ -45,10 +45,12 @@ def merge_keyed(target: DataFrame, updates: DataFrame, keys: list[str], mode: st
 
 
 def insert_items_if_new(target: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of batch to append: not blank, first of their id, and neither id nor (source_id, url) is in target."""
-    new = _first(batch.filter("url <> ''"), ["id"], [F.col("fetched_at"), F.xxhash64("title", "content")])
-    new = new.join(target.select("id"), "id", "left_anti")
-    return new.join(target.select("source_id", "url"), ["source_id", "url"], "left_anti").select(*batch.columns)
+    """Rows of batch to append: not blank, neither id nor (source_id, url) in target, and each id and each
+    (source_id, url) only once: the row fetched first, then the least id."""
+    new = batch.filter("url <> ''").join(target.select("id"), "id", "left_anti")
+    new = new.join(target.select("source_id", "url"), ["source_id", "url"], "left_anti").select(*batch.columns)
+    new = _first(new, ["id"], [F.col("fetched_at"), F.xxhash64("title", "content")])
+    return _first(new, ["source_id", "url"], [F.col("fetched_at"), F.col("id")])
 
 
 def upsert_sources(target: DataFrame, updates: DataFrame) -> DataFrame:

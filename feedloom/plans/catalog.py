@@ -69,11 +69,7 @@ def html_text(v: Views) -> DataFrame:
 """
 )
 def insert_if_new(v: Views) -> DataFrame:
-    keyed = v.items.withColumn("n", F.col("id")).withColumn("id", F.concat_ws("|", "source_id", "url"))
-    target, batch = keyed.filter("n % 3 = 0"), keyed.filter("n % 3 <> 0")
-    new = state.insert_items_if_new(target.drop("n"), batch.drop("n"))
-    first = batch.groupBy("id").agg(F.min_by("n", "fetched_at").alias("n"))
-    return new.join(first, "id").select(F.col("n").alias("id"), "source_id", "url")
+    return state.insert_items_if_new(v.items.filter("id % 3 = 0"), v.items.filter("id % 3 <> 0")).select("id", "source_id", "url")
 
 
 @query(
@@ -480,7 +476,7 @@ def aggregator_items(v: Views) -> DataFrame:
     """
 WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
 f AS (SELECT 'https://www.xiaohongshu.com/explore/f' || CAST(conv_id % 50 AS VARCHAR) || '-' || CAST(turn AS VARCHAR) || '?xsec_token=tok' AS url, conv_id, turn,
-  CASE WHEN turn % 2 = 0 AND substr(text, 1, 40) <> '' THEN substr(text, 1, 40) ELSE 'plain' END AS title, role AS author FROM c WHERE k <= 10 AND turn % 4 <> 3)
+  CASE WHEN turn % 2 = 0 AND text <> '' THEN text ELSE 'plain' END AS title, role AS author FROM c WHERE k <= 10 AND turn % 4 <> 3)
 SELECT url, title, author FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY conv_id, turn) AS rn FROM f) WHERE rn = 1
 """,
     plain=True,
@@ -489,10 +485,10 @@ def social_items(v: Views) -> DataFrame:
     return social.first_of_url(social.parse_social_search(v.search_payloads)).select("url", "title", "author")
 
 
-@query("SELECT conv_id, turn, trim(substr(text, 1, 60)) AS content, 'T' || CAST(turn AS VARCHAR) AS title FROM conversations WHERE turn % 5 <> 4 AND trim(substr(text, 1, 60)) <> ''", plain=True)
+@query("SELECT conv_id, turn, trim(text) AS content, 'T' || CAST(turn AS VARCHAR) AS title FROM conversations WHERE turn % 5 <> 4 AND trim(text) <> ''", plain=True)
 def note_detail(v: Views) -> DataFrame:
     c = v.table("conversations")
-    card = F.struct(F.concat(F.lit("T"), F.col("turn").cast("string")).alias("title"), F.substring("text", 1, 60).alias("desc"))
+    card = F.struct(F.concat(F.lit("T"), F.col("turn").cast("string")).alias("title"), F.col("text").alias("desc"))
     inner = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(card.alias("noteCard")))).otherwise(F.to_json(F.struct(F.struct(card.alias("noteCard")).alias("data"))))
     body = F.struct(F.struct(F.array(F.struct(F.lit("text").alias("type"), inner.alias("text"))).alias("content"), (F.col("turn") % 5 == 4).alias("isError")).alias("result"))
     rows = c.select("conv_id", "turn", social.extract_note_detail(F.to_json(body)).alias("d"))
@@ -534,9 +530,9 @@ def mark_pushed(v: Views) -> DataFrame:
     return out.select("id", "push_attempts", F.col("pushed_at").isNotNull().alias("pushed"))
 
 
-@query("SELECT item_id FROM assignments WHERE item_id % 7 = 0 AND NOT EXISTS (SELECT 1 FROM items i WHERE i.id = item_id AND i.kind = 'news')")
+@query("SELECT item_id FROM assignments WHERE NOT EXISTS (SELECT 1 FROM items i WHERE i.id = item_id AND i.kind = 'news')")
 def integrity(v: Views) -> DataFrame:
-    return state.orphans(v.assignments.filter("item_id % 7 = 0"), v.items.filter(F.col("kind") == "news"), "item_id").select("item_id")
+    return state.orphans(v.assignments, v.items.filter(F.col("kind") == "news"), "item_id").select("item_id")
 
 
 @query("SELECT id FROM items WHERE id % 10 = 3")

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir. Where none is set, a local session gets a temporary one (tests); on a
+    cluster that is an error, as a folder of one machine is not seen by the others."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        jvm_dir = spark.sparkContext.getCheckpointDir()
-        folder = jvm_dir or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -22,7 +24,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
     The result survives lost executors (it lives in shared storage), has no lineage, is compressed and
-    lets later reads prune columns.
+    lets later reads prune columns. Results may be read for as long as the application runs, so the folder is emptied
+    by whoever set it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -36,7 +36,7 @@ class Views:
             F.col("source").alias("source_id"),
             F.concat(F.lit("https://feed.example.com/p/"), key.cast("string")).alias("url"),
             F.concat(F.lit("https://feed.example.com/p/"), key.cast("string"), F.when(n % 2 == 0, F.lit("?utm_source=f")).otherwise(F.lit("/"))).alias("raw_url"),
-            F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+            F.substring_index("text", "\n", 1).alias("title"),
             F.col("text").alias("content"),
             F.lit(None).cast("string").alias("author"),
             F.when(n % 13 != 0, F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + n * 420)).alias("published_at"),
@@ -152,7 +152,7 @@ class Views:
         feed = F.struct(
             F.concat(F.lit("f"), F.col("conv_id") % 50, F.lit("-"), F.col("turn")).alias("id"),
             token.alias("xsecToken"),
-            F.struct(F.when(F.col("turn") % 2 == 0, F.substring("text", 1, 40)).alias("displayTitle"), F.lit("plain").alias("title"), F.substring("text", 1, 60).alias("desc"), F.struct(F.col("role").alias("nickname")).alias("user"), (F.lit(1700000000000) + F.col("conv_id") * 1000).alias("createTime")).alias("noteCard"),
+            F.struct(F.when(F.col("turn") % 2 == 0, F.col("text")).alias("displayTitle"), F.lit("plain").alias("title"), F.col("text").alias("desc"), F.struct(F.col("role").alias("nickname")).alias("user"), (F.lit(1700000000000) + F.col("conv_id") * 1000).alias("createTime")).alias("noteCard"),
         )
         listed = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", feed.alias("f")))).alias("l"))
         inner = F.to_json(F.struct(F.col("l.f").alias("feeds")))
@@ -165,7 +165,7 @@ class Views:
         d = self.table("documents")
         esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
         day = F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")
-        item = F.concat(F.lit("<item><title>"), esc(F.substring(F.substring_index("text", "\n", 1), 1, 60)), F.lit("</title><link>https://r.example.com/"), F.col("doc_id").cast("string"), F.lit("</link><description><![CDATA[<p>"), F.replace(F.substring("text", 1, 200), F.lit("]]>"), F.lit("")), F.lit("</p>]]></description><pubDate>Mon, "), day, F.lit(" Jan 2024 08:00:00 +0800</pubDate></item>"))
+        item = F.concat(F.lit("<item><title>"), esc(F.substring_index("text", "\n", 1)), F.lit("</title><link>https://r.example.com/"), F.col("doc_id").cast("string"), F.lit("</link><description><![CDATA[<p>"), F.replace("text", F.lit("]]>"), F.lit("")), F.lit("</p>]]></description><pubDate>Mon, "), day, F.lit(" Jan 2024 08:00:00 +0800</pubDate></item>"))
         listed = d.select(F.floor(F.col("doc_id") / 20).alias("g"), "doc_id", item.alias("item")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("l"))
         return listed.select(F.col("g").cast("string").alias("source_id"), F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>t</title>'), F.array_join("l.item", ""), F.lit("</channel></rss>")).alias("payload"))
 
@@ -187,7 +187,7 @@ class Views:
 ORACLE = """
 items AS (
   SELECT doc_id AS id, source AS source_id, 'https://feed.example.com/p/' || CAST(CASE WHEN doc_id % 10 = 9 THEN doc_id - 1 WHEN doc_id % 40 = 25 THEN doc_id - 20 ELSE doc_id END AS VARCHAR) AS url,
-    substr(split_part(text, chr(10), 1), 1, 80) AS title, text AS content,
+    split_part(text, chr(10), 1) AS title, text AS content,
     CASE WHEN doc_id % 13 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes(7 * doc_id) END AS published_at,
     TIMESTAMP '2024-03-01' + to_seconds(doc_id) AS fetched_at,
     CASE doc_id % 5 WHEN 0 THEN 'event' WHEN 1 THEN 'news' WHEN 2 THEN 'tool' WHEN 3 THEN 'other' ELSE 'unclassified' END AS kind,

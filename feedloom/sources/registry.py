@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.plans.persist import materialize
+
 
 def load_sources(config: DataFrame) -> DataFrame:
     """Registry rows of config (id, display_name, fetcher_type, config struct, enabled): enabled unless said otherwise,
@@ -24,17 +26,25 @@ def load_sources(config: DataFrame) -> DataFrame:
     )
 
 
-def route_payloads(payloads: DataFrame, sources: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+def route_payloads(payloads: DataFrame, sources: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame | None, DataFrame]:
     """(items, failures): each enabled source's payloads through the parser of its type; an unknown type only fails that
-    source. payloads: source_id, payload, ..."""
+    source, and a parser that throws only the sources of its type. payloads: source_id, payload, ..."""
     types = sources.filter("enabled").select(F.col("id").alias("source_id"), "fetcher_type")
     typed = payloads.drop("fetcher_type").join(types, "source_id")
-    items = None
+    items, thrown = None, []
     for kind, parser in parsers.items():
-        one = parser(typed.filter(F.col("fetcher_type") == kind))
+        own = typed.filter(F.col("fetcher_type") == kind)
+        try:
+            one = materialize(parser(own), "parsed")
+        except Exception as e:  # noqa: BLE001  a parser may fail in any way; its sources are reported
+            said = (str(e).splitlines() or [""])[0][:500]
+            thrown.append(own.select("source_id", F.lit(f"{type(e).__name__}: {said}").alias("error")).distinct())
+            continue
         items = one if items is None else items.unionByName(one, allowMissingColumns=True)
     unknown = typed.filter(~F.col("fetcher_type").isin(list(parsers)) | F.col("fetcher_type").isNull())
     failures = unknown.select("source_id", F.concat(F.lit("unknown fetcher type: "), F.coalesce("fetcher_type", F.lit("null"))).alias("error")).distinct()
+    for one in thrown:
+        failures = failures.union(one)
     return items, failures
 
 

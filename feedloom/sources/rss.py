@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import parse_feed_time
 from feedloom.functions.text import strip_html
 
-_RSS = "channel struct<item:array<struct<title:string,link:string,description:string,author:string,`dc:creator`:string,pubDate:string,updated:string,`content:encoded`:string>>>"
+_ITEM = "array<struct<title:string,link:string,description:string,author:string,`dc:creator`:string,pubDate:string,`dc:date`:string,updated:string,`content:encoded`:string>>"
+_RSS = f"channel struct<item:{_ITEM}>, item {_ITEM}"  # RSS 1.0 has its items beside the channel
 _TEXT = "struct<_VALUE:string,_type:string>"
 _ATOM = f"entry array<struct<title:{_TEXT},link:array<struct<_href:string,_rel:string>>,summary:{_TEXT},content:array<{_TEXT}>,author:struct<name:string>,published:string,updated:string>>"
 
@@ -19,14 +20,16 @@ def parse_rss(payloads: DataFrame, max_items: int = 50) -> DataFrame:
     Content is the full content, else the summary or description, without HTML. Missing url and title are ''.
     """
     both = payloads.select("source_id", F.from_xml("payload", f"struct<{_RSS}>").alias("r"), F.from_xml("payload", f"struct<{_ATOM}>").alias("a"))
-    rss = both.select("source_id", F.posexplode("r.channel.item").alias("pos", "i")).select(
+    none = F.array().cast(_ITEM)
+    listed = F.concat(F.coalesce("r.channel.item", none), F.coalesce("r.item", none))
+    rss = both.select("source_id", F.posexplode(listed).alias("pos", "i")).select(
         "source_id",
         "pos",
         F.col("i.link").alias("url"),
         F.col("i.title").alias("title"),
         F.coalesce(F.col("i.`content:encoded`"), F.col("i.description")).alias("content"),
         F.coalesce(F.col("i.author"), F.col("i.`dc:creator`")).alias("author"),
-        F.coalesce("i.pubDate", "i.updated").alias("time"),
+        F.coalesce(F.col("i.pubDate"), F.col("i.`dc:date`"), F.col("i.updated")).alias("time"),
     )
     entries = both.select("source_id", F.posexplode("a.entry").alias("pos", "i")).select(
         "source_id",

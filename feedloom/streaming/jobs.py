@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from feedloom.operators.state import insert_items_if_new, merge_keyed
-from feedloom.plans.snapshots import append_batch, read_snapshot, write_snapshot
+from feedloom.operators.state import insert_items_if_new
+from feedloom.plans.persist import materialize
+from feedloom.plans.snapshots import append_batch, read_snapshot
 
 
 def ingest(stream: DataFrame, parse: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, schema: str) -> StreamingQuery:
     """Payload stream -> parser -> insert-if-new into the item table at `table`. A batch that is run again appends
-    nothing twice: its folder is named by the batch and its rows are compared with the other batches'."""
+    nothing twice: its rows are compared with all that is there, its own first run included."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        append_batch(insert_items_if_new(read_snapshot(df.sparkSession, table, schema, but=batch_id), parse(df)), table, batch_id)
+        append_batch(insert_items_if_new(read_snapshot(df.sparkSession, table, schema), parse(df)), table, batch_id)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -54,29 +55,61 @@ def health_stream(outcomes: DataFrame, alpha: float = 0.3) -> DataFrame:
     return outcomes.groupBy("source_id").transformWithStateInPandas(_Health(alpha), outputStructType=schema, outputMode="Update", timeMode="None")
 
 
-def label_stream(stream: DataFrame, label: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, schema: str) -> StreamingQuery:
-    """Unlabelled items -> label (id, kind, classified_at) -> the label snapshot; rows without a label come again with
-    the next payload of their item."""
+def label_pending(spark: SparkSession, pending: Callable[[], DataFrame], label: Callable[[DataFrame], DataFrame], table: str, schema: str, tick: int = 0) -> None:
+    """One tick: items of pending() (id, ...) that the label table lacks -> label (a row (id, kind, ...) for each that got
+    one) -> appended. Items whose label failed are asked again at the next tick; of several labels the latest appended
+    counts as well as any, as an item that has one is not asked again."""
+    known = read_snapshot(spark, table, schema)
+    got = label(pending().join(known.select("id"), "id", "left_anti"))
+    append_batch(got.dropDuplicates(["id"]).select(*known.columns), table, tick)
+
+
+def label_stream(stream: DataFrame, pending: Callable[[], DataFrame], label: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, schema: str) -> StreamingQuery:
+    """label_pending at each arrival: what arrived is not what is labelled, but all that is pending then."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        write_snapshot(merge_keyed(read_snapshot(spark, table, schema), label(df), ["id"], "replace"), table)
+        label_pending(df.sparkSession, pending, label, table, schema, batch_id)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def deliver_stream(stream: DataFrame, deliver: Callable[[DataFrame], DataFrame], ledger: str, checkpoint: str, schema: str, quiet: Column | None = None) -> StreamingQuery:
-    """Rows that the ledger does not have -> deliver (item_id, ok) -> the ledger gets the successful ones. In quiet hours
-    a batch fails before anything is sent, so its rows are deferred to the next run."""
+def deliver_pending(
+    spark: SparkSession, pending: Callable[[], DataFrame], deliver: Callable[[DataFrame], DataFrame], ledger: str, schema: str, quiet: Column | None = None, tick: int = 0
+) -> dict[str, int | bool]:
+    """One tick: rows of pending() (item_id, ...) that the ledger lacks -> deliver (item_id, ok) -> the ledger gets the
+    successful ones. Gives found, pushed, skipped_quiet.
+
+    What failed, and all that is found in quiet hours, is pending at the next tick again. A tick that is run again sends
+    only what its first run did not record; what was sent when a run was lost before recording may be sent twice.
+    """
+    known = read_snapshot(spark, ledger, schema)
+    fresh = pending().dropDuplicates(["item_id"]).join(known.select("item_id"), "item_id", "left_anti")
+    if quiet is not None and spark.range(1).select(quiet).first()[0]:
+        return {"found": fresh.count(), "pushed": 0, "skipped_quiet": True}
+    # deliver runs once: later reads are of what it gave
+    outcomes = materialize(deliver(fresh).select("item_id", F.coalesce("ok", F.lit(False)).alias("ok")), "outcomes")
+    sent = outcomes.filter("ok").select("item_id")
+    append_batch(sent.withColumns({c: F.lit(None).cast(known.schema[c].dataType) for c in known.columns if c != "item_id"}).select(*known.columns), ledger, tick)
+    counts = outcomes.agg(F.count("*"), F.count_if("ok")).first()
+    return {"found": counts[0], "pushed": counts[1], "skipped_quiet": False}
+
+
+def deliver_stream(
+    stream: DataFrame,
+    pending: Callable[[], DataFrame],
+    deliver: Callable[[DataFrame], DataFrame],
+    ledger: str,
+    checkpoint: str,
+    schema: str,
+    quiet: Column | None = None,
+    told: Callable[[dict[str, int | bool]], None] | None = None,
+) -> StreamingQuery:
+    """deliver_pending at each arrival; told gets what each tick gave."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        if quiet is not None and spark.range(1).select(quiet).first()[0]:
-            raise RuntimeError("quiet hours: the batch waits")
-        known = read_snapshot(spark, ledger, schema, but=batch_id)
-        fresh = df.dropDuplicates(["item_id"]).join(known.select("item_id"), "item_id", "left_anti")
-        sent = deliver(fresh).filter("ok").select("item_id")
-        append_batch(sent.withColumns({c: F.lit(None).cast(known.schema[c].dataType) for c in known.columns if c != "item_id"}), ledger, batch_id)
+        got = deliver_pending(df.sparkSession, pending, deliver, ledger, schema, quiet, batch_id)
+        if told is not None:
+            told(got)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
