@@ -1,6 +1,7 @@
 """License scans by an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is a line. Templates and blocks are sets of words. All words that templates use are counted over the whole
+A block is a run of LINES consecutive lines, one starting at each line, so a notice may be wrapped. Templates and blocks
+are sets of words. All words that templates use are counted over the whole
 corpus, and both sides are put in that global order, rarest first. A block can only contain a template's share t of n
 words if it has one of the template's n - ceil(t*n) + 1 rarest words (prefix filter), if it has ceil(t*n) template
 words at all (length filter), and if enough words are left on both sides from the first common word on (positional
@@ -22,6 +23,8 @@ from feedloom.llm.words import BETWEEN, LOWER, UPPER, word_count, word_line, wor
 
 MAX_TERMS = 5000
 CONTAINMENT = 0.9
+#: Lines of a block: the longest template fits at some 45 characters a line.
+LINES = 4
 
 #: Phrases whose places are counted, and their labels.
 PHRASES = {
@@ -70,8 +73,9 @@ def literal(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def block_matches(lines: Column, sets: dict[str, list[str]], order: list[str], containment: float) -> Column:
-    """array<struct<label, share, line>>: every (line, template) with at least that share of the template's words."""
+def block_matches(lines: Column, sets: dict[str, list[str]], order: list[str], containment: float, span: int) -> Column:
+    """array<struct<label, share, line>>: every (block, template) with at least that share of the template's words; line is
+    the block's first one."""
     place = {w: i for i, w in enumerate(order)}
     ranked = {label: sorted(words, key=place.__getitem__) for label, words in sets.items()}
     least = min(math.ceil(containment * len(w) - 1e-9) for w in ranked.values())
@@ -89,8 +93,13 @@ def block_matches(lines: Column, sets: dict[str, list[str]], order: list[str], c
             one.append(F.when(hit, F.struct(F.lit(label).alias("label"), (F.size(common) / F.lit(float(n))).alias("share"), at.alias("line"))))
         return F.filter(F.array(*one), lambda x: x.isNotNull())
 
-    # a block's template words, in the global order
-    blocks = F.transform(lines, lambda line: F.array_intersect(literal(order), F.split(word_line(line), " ")))
+    def joined(own: Column) -> Column:
+        """The template words of each block, in the global order, from those of its lines."""
+        return F.transform(own, lambda _, i: F.array_intersect(literal(order), F.flatten(F.slice(own, i + 1, F.lit(span)))))
+
+    own = F.transform(lines, lambda line: F.array_intersect(literal(order), F.split(word_line(line), " ")))
+    # the lines' words as a lambda's variable, so that they are found once
+    blocks = F.get(F.transform(F.array(own), joined), F.lit(0))
     return F.flatten(F.transform(blocks, lambda block, at: F.when(F.size(block) >= least, of(block, at)).otherwise(F.array().cast("array<struct<label:string,share:double,line:int>>"))))
 
 
@@ -99,14 +108,15 @@ def license_scan(
     templates: dict[str, str] | None = None,
     phrases: dict[str, str] | None = None,
     containment: float = CONTAINMENT,
+    lines: int = LINES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
     n_base counts the places of the phrases; first_word and last_word are their smallest and largest starts (null
-    without any). blocks lists each line that contains a template. labels are those of the phrases and of the
-    templates, sorted. score is the greatest share of a template found in a line, 1 where a phrase stands, else 0.
+    without any). blocks lists each run of `lines` lines that contains a template, by its first line. labels are those of the phrases and of the
+    templates, sorted. score is the greatest share of a template found in a block, 1 where a phrase stands, else 0.
     Null and empty texts have no words and no labels; repeated rows, null ids and ties need no order; an empty table
     gives an empty result; other columns are not looked at.
     """
@@ -149,7 +159,7 @@ def license_scan(
     # the prefix filter once for the whole text: no rare word, no template
     maybe = F.rlike("spaced", F.lit(" (?:" + "|".join(re.escape(w) for w in sorted(rare)) + ") ")) if rare else F.lit(False)
     none = F.array().cast("array<struct<label:string,share:double,line:int>>")
-    found = F.when(maybe, block_matches(F.split("text", "\n"), sets, order, containment)).otherwise(none) if sets else none
+    found = F.when(maybe, block_matches(F.split("text", "\n"), sets, order, containment, lines)).otherwise(none) if sets else none
     rows = rows.select(
         "doc_id",
         word_count(F.col("words")).alias("n_words"),
@@ -193,7 +203,7 @@ WITH d AS (
   VALUES {_values(template_sets(TEMPLATES))}
 ), lines AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(line, '{UPPER}', '{LOWER}'), '{BETWEEN}'), lambda x: x <> '') AS b
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  FROM (SELECT doc_id, array_to_string(l[i:i + {LINES - 1}], chr(10)) AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM d)))
 ), hits AS (
   SELECT doc_id, label, len(list_intersect(list_distinct(b), words)) / len(words)::DOUBLE AS share FROM lines, t
   WHERE len(list_intersect(list_distinct(b), words)) >= ceil({CONTAINMENT}::DOUBLE * len(words) - 1e-9)

@@ -69,6 +69,10 @@ def test_license(spark):
     assert got[103].labels == ["cc-by", "cc-by-nc-4.0"]
     assert (got[5].n_words, got[5].labels, got[5].score) == (0, [], 0.0)
     assert ls.license_scan(frame(spark, rows)).count() == len(rows)
+    wrapped = ["# Licensed under the Apache License,\n# Version 2.0", "x\nPermission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software and associated\ndocumentation files", "Licensed under the Apache License\n" + "other line\n" * 9 + "Version 2.0"]
+    found = {r.doc_id: r for r in ls.license_scan(frame(spark, [(k, t, None, None, None) for k, t in enumerate(wrapped)])).collect()}
+    assert [found[k].labels for k in range(3)] == [["apache-2.0"], ["mit-grant"], []]
+    assert [b.line for b in found[1].blocks] == [1]
     assert ls.license_scan(empty(spark)).count() == 0
 
 
