@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from feedloom.operators import state
-from feedloom.plans.snapshots import read_snapshot
+from feedloom.plans.snapshots import compact, read_snapshot
 from feedloom.sources import aggregator, cards, registry, retry_queue, rss, social
 from feedloom.streaming import jobs
 
@@ -24,6 +24,9 @@ def test_rss(spark):
     assert rss.parse_rss(payload(spark, feed), 1).count() == 1
     atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>T</title><link href="l"/><summary>s</summary><updated>2024-01-01T00:00:00Z</updated></entry></feed>'
     assert [(r.title, r.url, r.content) for r in rss.parse_rss(payload(spark, atom)).collect()] == [("T", "l", "s")]
+    rdf = '<rdf:RDF xmlns:rdf="r" xmlns:dc="d"><channel><title>c</title></channel><item><title>R</title><link>l1</link><dc:date>2024-01-02T03:04:05Z</dc:date></item><item><title>S</title><link>l2</link></item></rdf:RDF>'
+    got = rss.parse_rss(payload(spark, rdf)).orderBy("pos").collect()
+    assert [(r.title, r.url, r.published_at) for r in got] == [("R", "l1", dt.datetime(2024, 1, 2, 3, 4, 5)), ("S", "l2", None)]
     bad = payload(spark, "<rss><channel>")
     assert rss.rss_outcomes(bad, rss.parse_rss(bad)).first().ok is False
 
@@ -69,6 +72,14 @@ def test_registry(spark):
     items, failures = registry.route_payloads(sent, sources, {"rss": lambda df: df.select("source_id")})
     assert [r.source_id for r in items.collect()] == ["a"] and [r.source_id for r in failures.collect()] == ["b"]
 
+    def throws(df):
+        raise ValueError("no such feed")
+
+    everyone = sources.withColumn("enabled", F.lit(True)).withColumn("fetcher_type", F.when(F.col("id") == "c", "bad").otherwise(F.col("fetcher_type")))
+    items, failures = registry.route_payloads(sent, everyone, {"rss": lambda df: df.select("source_id"), "bad": throws})
+    assert [r.source_id for r in items.collect()] == ["a"]
+    assert sorted((r.source_id, r.error) for r in failures.collect()) == [("b", "unknown fetcher type: odd"), ("c", "ValueError: no such feed")]
+
 
 def test_retry_queue(spark, tmp_path):
     (tmp_path / "q").mkdir()
@@ -101,3 +112,53 @@ def test_health_stream(spark, tmp_path):
     q.awaitTermination()
     batch = state.health_scores(spark.read.schema(schema).json(str(path))).first().health_score
     assert abs(spark.table("health").first().health_score - batch) < 1e-12
+
+
+LEDGER = "item_id string, pushed_at timestamp"
+
+
+def test_delivery_retries_and_defers(spark, tmp_path):
+    """Failures and quiet hours leave rows pending; a replay after a lost commit sends nothing twice."""
+    landing, ledger, cp = tmp_path / "in", str(tmp_path / "ledger"), tmp_path / "cp"
+    landing.mkdir()
+    (landing / "1.json").write_text('{"item_id": "tick"}')
+    pending = lambda: spark.createDataFrame([("a",), ("b",)], "item_id string")
+    sent, told = [], []
+
+    def deliver(failing):
+        def run(df):
+            ids = [r.item_id for r in df.collect()]
+            sent.extend(ids)
+            return spark.createDataFrame([(i, i not in failing) for i in ids], "item_id string, ok boolean")
+
+        return run
+
+    def tick(failing, quiet=None):
+        stream = jobs.file_stream(spark, str(landing), "item_id string")
+        jobs.deliver_stream(stream, pending, deliver(failing), ledger, str(cp), LEDGER, quiet, told.append).awaitTermination()
+
+    tick({"b"})
+    assert sorted(sent) == ["a", "b"] and told == [{"found": 2, "pushed": 1, "skipped_quiet": False}]
+    for f in (cp / "commits").iterdir():  # the batch counts as not done, so it runs again
+        f.unlink()
+    tick({"b"})
+    assert sorted(sent) == ["a", "b", "b"]
+    (landing / "2.json").write_text('{"item_id": "tick"}')
+    tick(set(), F.lit(True))
+    assert told[-1] == {"found": 1, "pushed": 0, "skipped_quiet": True} and sorted(sent) == ["a", "b", "b"]
+    assert jobs.deliver_pending(spark, pending, deliver(set()), ledger, LEDGER) == {"found": 1, "pushed": 1, "skipped_quiet": False}
+    assert sorted(sent) == ["a", "b", "b", "b"] and sorted(r.item_id for r in read_snapshot(spark, ledger, LEDGER).collect()) == ["a", "b"]
+    assert jobs.deliver_pending(spark, pending, deliver(set()), ledger, LEDGER)["found"] == 0
+
+
+def test_labels_are_asked_again(spark, tmp_path):
+    table, schema = str(tmp_path / "labels"), "id string, kind string"
+    pending = lambda: spark.createDataFrame([("a",), ("b",)], "id string")
+    label = lambda bad: lambda df: df.filter(F.col("id") != bad).withColumn("kind", F.lit("news"))
+    jobs.label_pending(spark, pending, label("b"), table, schema)
+    assert [r.id for r in read_snapshot(spark, table, schema).collect()] == ["a"]
+    jobs.label_pending(spark, pending, label("none"), table, schema, 1)
+    assert sorted(r.id for r in read_snapshot(spark, table, schema).collect()) == ["a", "b"]
+    assert compact(spark, table, schema) and sorted(r.id for r in read_snapshot(spark, table, schema).collect()) == ["a", "b"]
+    jobs.label_pending(spark, lambda: spark.createDataFrame([("c",)], "id string"), label("none"), table, schema, 2)
+    assert sorted(r.id for r in read_snapshot(spark, table, schema).collect()) == ["a", "b", "c"]

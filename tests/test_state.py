@@ -51,6 +51,9 @@ def test_insert_if_new(spark):
     target = spark.createDataFrame([item("a", "u1")], ITEMS)
     batch = spark.createDataFrame([item("a", "u9"), item("b", "u1"), item("c", "u2"), item("c", "u2"), item("d", "")], ITEMS)
     assert rows(state.insert_items_if_new(target, batch), "id") == [("c",)]
+    later = dt.datetime(2024, 1, 2)
+    same = spark.createDataFrame([item("e", "u5", later), item("f", "u5"), item("g", "u6"), item("g", "u7", later)], ITEMS)
+    assert rows(state.insert_items_if_new(target, same), "id", "url") == [("f", "u5"), ("g", "u6")]
 
 
 def test_digests(spark):
