@@ -574,3 +574,103 @@ def delivered_events(v: Views) -> DataFrame:
     found = v.items.filter(F.col("kind") == "event").select(F.col("id").alias("item_id"))
     outcomes = v.items.select(F.col("id").alias("item_id"), (F.col("id") % 4 == 0).alias("ok"))
     return render.delivered(found, outcomes).select(F.col("item_id").alias("id"))
+
+
+@query(
+    """
+SELECT doc_id AS id, CAST(epoch(TIMESTAMP '2024-01-01 10:00:00' + to_days(CAST(doc_id % 28 AS INT)) - to_hours(CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN -5 WHEN 2 THEN 8 ELSE -7 END)) AS BIGINT) AS seconds FROM documents
+""",
+    plain=True,
+)
+def feed_times(v: Views) -> DataFrame:
+    n = F.col("doc_id")
+    zone = F.element_at(F.array(*[F.lit(z) for z in ("GMT", "EST", "+0800", "PDT")]), (n % 4 + 1).cast("int"))
+    said = F.concat((n % 28 + 1).cast("string"), F.lit(" Jan "), F.when(n % 3 == 0, F.lit("24")).otherwise(F.lit("2024")), F.lit(" 10:00:00 "), zone)
+    return v.table("documents").select(n.alias("id"), F.unix_timestamp(dates.parse_feed_time(said)).alias("seconds"))
+
+
+@query(
+    """ SELECT id, 'Renamed ' || id AS display_name, false AS enabled, 1.0::DOUBLE AS health_score FROM sources WHERE id <> 'src0'
+UNION ALL SELECT id, display_name, true, 1.0::DOUBLE FROM sources WHERE id = 'src0'
+UNION ALL SELECT 'extra-' || id, 'Renamed ' || id, false, 0.0::DOUBLE FROM sources WHERE id <> 'src0'"""
+)
+def upsert_sources(v: Views) -> DataFrame:
+    renamed = v.sources.filter("id <> 'src0'").withColumns({"display_name": F.concat(F.lit("Renamed "), "id"), "enabled": F.lit(False), "health_score": F.lit(0.0)})
+    updates = renamed.unionByName(renamed.withColumn("id", F.concat(F.lit("extra-"), "id")))
+    return state.upsert_sources(v.sources, updates).select("id", "display_name", "enabled", "health_score")
+
+
+@query("SELECT id, id % 6 = 0 AS archived FROM items")
+def mark_archived(v: Views) -> DataFrame:
+    out = state.mark_archived(v.items, v.items.filter("id % 6 = 0"), F.lit("2024-03-02").cast("timestamp"))
+    return out.select("id", F.col("notion_archived_at").isNotNull().alias("archived"))
+
+
+@query("SELECT id FROM items WHERE id IN (SELECT item_id FROM ledger)")
+def synced_items(v: Views) -> DataFrame:
+    return state.is_synced(v.items, v.ledger).select("id")
+
+
+@query("SELECT CAST(k.digest_date AS VARCHAR) AS digest_date, coalesce(d.push_attempts, 0) AS push_attempts FROM digests k LEFT JOIN digests d ON d.digest_date = k.digest_date AND d.kind = 'event_batch'")
+def push_attempts(v: Views) -> DataFrame:
+    keys = v.digests.select("digest_date", F.lit("event_batch").alias("kind"))
+    return state.push_attempts(keys, v.digests).select(F.col("digest_date").cast("string").alias("digest_date"), "push_attempts")
+
+
+@query(
+    f"""SELECT id, 'Today is {TODAY}. Label the item as event, news, tool or other; answer in JSON.' || chr(10) || 'Title: ' || coalesce(nullif(title, ''), '(无标题)') || chr(10) || 'Text: ' || substr(coalesce(content, ''), 1, 1500) AS prompt FROM items"""
+)
+def label_prompts(v: Views) -> DataFrame:
+    return labels.build_label_prompt(v.items, today())
+
+
+@query("SELECT count(*) FILTER (id % 3 <> 0) AS succeeded, count(*) FILTER (id % 3 = 0) AS failed, count(*) FILTER (id % 6 = 0) AS queued FROM items")
+def archive_summary(v: Views) -> DataFrame:
+    return render.archive_summary(v.items.select((F.col("id") % 3 != 0).alias("ok"), (F.col("id") % 6 == 0).alias("queued")))
+
+
+@query("SELECT id AS item_id, 'status ' || CAST(id % 7 AS VARCHAR) AS error, title FROM items WHERE id % 4 = 1")
+def retry_rows(v: Views) -> DataFrame:
+    items = v.items.select(F.col("id").alias("item_id"), "title", "url")
+    outcomes = items.select("item_id", (F.col("item_id") % 4 != 1).alias("ok"), F.concat(F.lit("status "), (F.col("item_id") % 7).cast("string")).alias("error"))
+    return render.retry_rows(outcomes, items, F.lit("2024-03-02").cast("timestamp")).select("item_id", "error", "item.title")
+
+
+@query("SELECT id AS item_id, CASE WHEN id % 3 = 1 THEN 'again' ELSE 'old' END AS error, id % 3 = 1 AS retried FROM items WHERE id % 2 = 0 AND id % 3 <> 0")
+def replay_rows(v: Views) -> DataFrame:
+    queue = v.items.filter("id % 2 = 0").select(F.col("id").alias("item_id"), F.lit("old").alias("error"), F.lit(None).cast("timestamp").alias("last_retry_ts"))
+    outcomes = v.items.filter("id % 3 <> 2").select(F.col("id").alias("item_id"), (F.col("id") % 3 == 0).alias("ok"), F.lit("again").alias("error"))
+    out = render.replay_queue(queue, outcomes, F.lit("2024-03-02").cast("timestamp"))
+    return out.select("item_id", "error", F.col("last_retry_ts").isNotNull().alias("retried"))
+
+
+@query("SELECT id FROM items WHERE NOT ((hour(published_at) + 8) % 24 >= 23 OR (hour(published_at) + 8) % 24 < 7)")
+def delivery_gate(v: Views) -> DataFrame:
+    return render.delivery_gate(v.items, dates.is_quiet(F.col("published_at"), 23, 7)).select("id")
+
+
+@query("SELECT id, coalesce(display_name, id) AS display_name, id <> 'src1' AS enabled FROM sources")
+def load_sources(v: Views) -> DataFrame:
+    config = v.sources.select("id", "display_name", "fetcher_type", F.col("config_json").alias("config"), F.when(F.col("id") == "src1", F.lit(False)).alias("enabled"))
+    return registry.load_sources(config).select("id", "display_name", "enabled")
+
+
+@query(
+    f"""+ days AS (SELECT digest_date FROM digests UNION SELECT digest_date FROM topics)
+SELECT CAST(max(digest_date) FILTER (digest_date < DATE '{TODAY}') AS VARCHAR) AS previous_date, CAST(min(digest_date) FILTER (digest_date > DATE '{TODAY}') AS VARCHAR) AS next_date,
+  count(*) FILTER (digest_date = DATE '{TODAY}') > 0 AS has_data FROM days"""
+)
+def dash_near(v: Views) -> DataFrame:
+    tables = {n: getattr(v, n) for n in ("digests", "topics", "assignments", "items", "sources", "metadata", "pushes", "ledger")}
+    near = queues.dashboard(tables, today())["near"]
+    return near.select(F.col("previous_date").cast("string").alias("previous_date"), F.col("next_date").cast("string").alias("next_date"), "has_data")
+
+
+@query("SELECT i.source_id, i.id FROM items i WHERE i.source_id <> 'src1' AND i.source_id <> 'src2'")
+def route_payloads(v: Views) -> DataFrame:
+    """src1 is not enabled and src2's type is unknown."""
+    kind = F.when(F.col("id") == "src2", F.lit("odd")).otherwise(F.col("fetcher_type"))
+    sources = v.sources.withColumns({"fetcher_type": kind, "enabled": F.col("id") != "src1"})
+    payloads = v.items.select("source_id", F.col("id").cast("string").alias("payload"))
+    found, _ = registry.route_payloads(payloads, sources, {"rss": lambda df: df.select("source_id", F.col("payload").cast("long").alias("id"))})
+    return found
