@@ -29,7 +29,7 @@ CHUNK, OVERLAP = 16384, 256
 #: Characters past a pre-token's end that its match can depend on.
 LOOKAHEAD = 3
 #: Keys in the newer half of what a Python worker remembers, and the longest of them; characters encoded at a time.
-REMEMBERED, LONGEST, STEP = 1 << 17, 64, 1 << 21
+REMEMBERED, LONGEST, STEP = 3 << 16, 64, 3 << 20
 #: Above every rank.
 NONE = (1 << 31) - 1
 
