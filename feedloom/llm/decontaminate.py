@@ -1,30 +1,36 @@
-"""Benchmark decontamination by a positional inverted index, in DataFrame functions only.
-
-No index of the corpus is stored: the postings (term, document, position) of a document are made and read in one task.
-Benchmark items are cut into windows of consecutive words. Over the whole corpus each window's terms are counted, and
-its two rarest places are its anchors: the positions of the rarest term, less the anchor's offset, give candidate
-starts; those where the document's words have the second term at its own offset are kept; the others of the window's
-terms are then compared. Matches by proximity allow the two terms to be apart by a stated number of words.
-
-The benchmark's windows are broadcast only where their count is under BROADCAST_WINDOWS; beyond it they are joined by a
-shuffle on the term.
+"""Benchmark decontamination by a distributed positional inverted index, in DataFrame functions only.
+
+The index is a stored table of postings (document, term, position) of the documents' words that stand in the benchmark,
+and one end mark for each row, at the place after its last word. Texts are read once, for this table; all else reads
+postings. Benchmark items are cut into windows of consecutive words. The two rarest places of a window (by the index's
+counts) are its anchors: the lists of both, less the anchors' offsets, are intersected. Where they meet, the lists of
+the window's other terms are intersected too, which gives exact phrases; where they are apart by at most `slop` words,
+the place is a match by proximity.
+
+Every intersection is a join on document, window and place, so no term, document or window is a key by itself. Tables
+made from the benchmark are broadcast only where their counted rows are at most BROADCAST_ROWS; beyond it all words are
+indexed and the joins shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.words import word_list
 from feedloom.plans.persist import materialize
 
 #: About 100 bytes each: some 20 MB broadcast at most.
-BROADCAST_WINDOWS = 200_000
+BROADCAST_ROWS = 200_000
+#: The end mark of a document, which no word is.
+END = ""
+#: How far from its place, in words, the second anchor of a match by proximity may stand.
+SLOP = 2
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint where the counted size allows it."""
-    return F.broadcast(df) if rows <= BROADCAST_WINDOWS else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def item_windows(items: DataFrame, size: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -34,93 +40,138 @@ def item_windows(items: DataFrame, size: int, id_col: str = "item_id", text_col:
     return listed.select("item_id", "w", starts.alias("i")).select("item_id", F.expr(f"slice(w, i, {size})").alias("window")).distinct()
 
 
-def indexed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_key and words; rows of equal id and text share a key."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), word_list(text).alias("words"))
-
-
-def anchors(windows: DataFrame, counts: DataFrame, present: bool = False) -> DataFrame:
-    """window, and the offset and term of its two rarest places (term2 null if it has one); present: of those whose
-    terms some document has."""
-    places = windows.select("window", F.posexplode("window").alias("at", "term")).join(counts, "term", "inner" if present else "left")
-    order = Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "term", "at")
-    ranked = places.withColumn("rank", F.row_number().over(order)).filter("rank <= 2")
-    return ranked.groupBy("window").agg(
-        F.max(F.when(F.col("rank") == 1, F.col("term"))).alias("term"),
-        F.max(F.when(F.col("rank") == 1, F.col("at"))).alias("at"),
-        F.max(F.when(F.col("rank") == 2, F.col("term"))).alias("term2"),
-        F.max(F.when(F.col("rank") == 2, F.col("at"))).alias("at2"),
-        # a term that no document has ends the search for its window
-        F.min(F.coalesce("n", F.lit(0))).alias("least"),
+def numbered(windows: DataFrame) -> DataFrame:
+    """wid, window: the distinct windows, stored, so that their numbers stay."""
+    return materialize(windows.select("window").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def positional_index(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc (id and text_key), term, pos (from 0) of each word that the windows have, and one END for each row; stored.
+
+    Rows of equal id and text are one document with repeated postings.
+    """
+    doc = F.struct(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"))
+    postings = docs.select(doc.alias("doc"), F.posexplode(F.concat(word_list(F.col(text_col)), F.array(F.lit(END)))).alias("pos", "term"))
+    mark = docs.sparkSession.range(1).select(F.lit(END).alias("term"))
+    terms = materialize(windows.select(F.explode("window").alias("term")).union(mark).distinct(), "terms")
+    n = terms.count()
+    # beyond the bound the index holds the words of no window too
+    return materialize(postings.join(F.broadcast(terms), "term", "left_semi") if n <= BROADCAST_ROWS else postings, "postings")
+
+
+def anchors(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """wid, length, the term and offset of the two rarest places whose terms the index has, and whole: it has them all.
+
+    A window with one such place has it twice; it can be met only if it is whole.
+    """
+    counts = index.filter(F.col("term") != END).groupBy("term").agg(F.count("*").alias("n"))
+    places = windows.select("wid", F.size("window").alias("length"), F.posexplode("window").alias("at", "term")).join(counts, "term")
+    order = Window.partitionBy("wid").orderBy("n", "term", "at")
+    ranked = places.withColumn("rank", F.row_number().over(order))
+
+    def nth(rank: int, col: str) -> Column:
+        return F.max(F.when(F.col("rank") == rank, F.col(col)))
+
+    chosen = ranked.groupBy("wid", "length").agg(
+        nth(1, "term").alias("term"),
+        nth(1, "at").alias("at"),
+        F.coalesce(nth(2, "term"), nth(1, "term")).alias("term2"),
+        F.coalesce(nth(2, "at"), nth(1, "at")).alias("at2"),
+        (F.count("*") == F.col("length")).alias("whole"),
     )
+    return chosen.filter(F.col("whole") | (F.col("at") != F.col("at2")))
+
+
+def anchor_list(index: DataFrame, side: DataFrame, start: str, pos: str) -> DataFrame:
+    """The postings of one anchor of each window (side: wid, term, at): doc, wid, pos, and start, the pos less the offset."""
+    return index.join(side, "term").select("doc", "wid", F.col("pos").alias(pos), (F.col("pos") - F.col("at")).alias(start)).distinct()
+
+
+def index_matches(index: DataFrame, windows: DataFrame, slop: int | None = None) -> DataFrame:
+    """Places of numbered windows in an index: doc, wid, start, length, exact; see window_matches."""
+    width = max(slop or 0, 1)
+    chosen = anchors(windows, index)
+    chosen = materialize(chosen.filter("whole") if slop is None else chosen, "anchors")
+    n = chosen.count()
+    first = anchor_list(index, bounded(chosen.select("wid", "term", "at"), n), "start", "pos")
+    second = anchor_list(index, bounded(chosen.select("wid", F.col("term2").alias("term"), F.col("at2").alias("at")), n), "start2", "pos2")
+    cell, cell2 = F.floor(F.col("start") / width), F.floor(F.col("start2") / width)
+    first = first.withColumn("cell", F.explode(F.sequence(cell - 1, cell + 1)) if slop else cell)
+    pairs = first.join(second.withColumn("cell", cell2), ["doc", "wid", "cell"]).filter(F.abs(F.col("start") - F.col("start2")) <= (slop or 0))
+    met = pairs.groupBy("doc", "wid", "start").agg(F.max(F.col("start") == F.col("start2")).alias("meets"), F.max(F.col("pos") != F.col("pos2")).alias("near"))
+    found = materialize(met, "places").join(bounded(chosen.select("wid", "length", "whole", "at", "at2"), n), "wid")
+    phrases = found.filter(F.col("meets") & F.col("whole") & (F.col("start") >= 0))
+    # the lists of the other terms, of the documents that have places
+    placed = materialize(phrases.select("doc").distinct(), "placed")
+    n_placed = placed.count()
+    others = index.join(F.broadcast(placed), "doc", "left_semi") if n_placed <= BROADCAST_ROWS else index
+    wanted = phrases.join(bounded(windows, n), "wid").select("doc", "wid", "start", "length", F.posexplode("window").alias("offset", "term"))
+    wanted = wanted.withColumn("pos", (F.col("start") + F.col("offset")).cast("int"))
+    whole = wanted.join(others, ["doc", "term", "pos"], "left_semi").groupBy("doc", "wid", "start", "length").agg(F.count("*").alias("n")).filter("n = length")
+    whole = whole.select("doc", "wid", "start", F.lit(True).alias("exact"))
+    if slop is None:
+        return found.select("doc", "wid", "start", "length").join(whole, ["doc", "wid", "start"])
+    marked = found.join(whole, ["doc", "wid", "start"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    return marked.filter("exact or near").select("doc", "wid", "start", "length", "exact")
 
 
 def window_matches(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", slop: int | None = None) -> DataFrame:
-    """Places of windows in documents: doc_id, text_key, window, start (from 0), length, exact.
+    """Places of windows in documents: doc_id, text_key, window, start (from 0), length, exact; each place once.
 
     With slop None only exact phrases; else also places where the window's two rarest terms that the corpus has, less
     their offsets, are at most slop words apart (exact false; start is the first term's and may lie before the text).
     """
-    distinct = materialize(windows.select("window").distinct(), "windows")
-    n = distinct.count()
-    terms = distinct.select(F.explode("window").alias("term")).distinct()
-    postings = indexed(docs, id_col, text_col)
-    counts = postings.select(F.explode("words").alias("term")).join(bounded(terms, n), "term").groupBy("term").agg(F.count("*").alias("n"))
-    chosen = anchors(distinct, counts).filter("least > 0") if slop is None else anchors(distinct, counts, present=True)
-    chosen = materialize(chosen.drop("least"), "anchors")
-    listed = postings.select("doc_id", "text_key", "words", F.posexplode("words").alias("pos", "term"))
-    starts = listed.join(bounded(chosen, n), "term").withColumn("start", F.col("pos") - F.col("at"))
-    phrase = F.expr("start >= 0 and start + size(window) <= size(words)")
-    second = F.expr("term2 is null or get(words, start + at2) = term2")
-    whole = F.expr("slice(words, greatest(start, 0) + 1, size(window)) = window")
-    exact = phrase & second & whole
-    out = ["doc_id", "text_key", "window", "start", F.size("window").alias("length")]
-    if slop is None:
-        return starts.filter(phrase).filter(second).filter(whole).select(*out, F.lit(True).alias("exact"))
-    # the second term at another place than the first's, at most slop words from where it should be
-    near = F.expr(
-        f"start + at2 + {slop} >= 0 and exists(sequence(greatest(start + at2 - {slop}, 0), greatest(start + at2 + {slop}, 0)), p -> p <> pos and coalesce(get(words, p) = term2, false))"
-    )
-    return starts.filter(exact | (F.col("term2").isNotNull() & near)).select(*out, exact.alias("exact"))
+    known = numbered(windows)
+    found = index_matches(positional_index(docs, known, id_col, text_col), known, slop).join(known, "wid")
+    return found.select(F.col("doc.id").alias("doc_id"), F.col("doc.text_key").alias("text_key"), "window", "start", "length", "exact")
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text"
+    docs: DataFrame,
+    items: DataFrame,
+    size: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    slop: int = SLOP,
 ) -> DataFrame:
     """One row per input row: doc_id, text_key, n_words, n_hit (words inside an exact occurrence of a window), items (ids with
-    occurring windows, sorted as strings), contaminated.
+    occurring windows, sorted as strings), contaminated (n_hit > 0), n_near (places of windows that match by proximity
+    only) and near_items (ids of those windows, sorted as strings).
 
-    Null and empty texts have no words; an item without words has no window. Rows with a null id or a repeated id are
-    kept apart by their texts; repeated rows each give their row. Empty tables give no hits or no rows. Other columns
-    are not looked at.
+    Null and empty texts have no words; an item without words has no window; an item with a null id hits words but is
+    not listed. Rows with a null id or a repeated id are kept apart by their texts; repeated rows each give their row.
+    Empty tables give no hits or no rows. Other columns are not looked at.
     """
     windows = materialize(item_windows(items, size, item_id, item_text), "item-windows")
-    found = materialize(window_matches(docs, windows, id_col, text_col).select("doc_id", "text_key", "window", "start", "length").distinct(), "matches")
-    hit = (
-        found.select("doc_id", "text_key", F.explode(F.expr("sequence(start, start + length - 1)")).alias("pos"))
-        .distinct()
-        .groupBy("doc_id", "text_key")
-        .agg(F.count("*").alias("n_hit"))
-    )
-    named = (
-        found.select("doc_id", "text_key", "window")
-        .distinct()
-        .join(windows, "window")
-        .groupBy("doc_id", "text_key")
-        .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    known = numbered(windows)
+    index = positional_index(docs, known, id_col, text_col)
+    found = materialize(index_matches(index, known, slop), "matches")
+    hit = found.filter("exact").select("doc", F.explode(F.expr("sequence(start, start + length - 1)")).alias("pos")).distinct()
+    hit = hit.groupBy("doc").agg(F.count("*").alias("n_hit"))
+    near = found.filter("not exact").groupBy("doc").agg(F.count("*").alias("n_near"))
+    owners = windows.join(known, "window").select("wid", F.col("item_id").cast("string").alias("item"))
+    named = found.select("doc", "wid", "exact").distinct().join(owners, "wid").groupBy("doc").agg(
+        *[F.array_sort(F.collect_set(F.when(kind, F.col("item")))).alias(c) for c, kind in (("items", F.col("exact")), ("near_items", ~F.col("exact")))]
     )
-    rows = indexed(docs, id_col, text_col).select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"))
-    for side, name in ((hit, "h"), (named, "i")):
-        right = side.select(F.col("doc_id").alias(f"{name}_id"), F.col("text_key").alias(f"{name}_key"), *[c for c in side.columns if c not in ("doc_id", "text_key")])
-        rows = rows.join(right, F.col("doc_id").eqNullSafe(F.col(f"{name}_id")) & (F.col("text_key") == F.col(f"{name}_key")), "left")
+    # one side of all three, as a document with matches has a row in `named` at least
+    matched = named.join(hit, "doc", "left").join(near, "doc", "left")
+    rows = index.filter(F.col("term") == END).select("doc", F.col("pos").cast("long").alias("n_words")).join(matched, "doc", "left")
+    none, nobody = F.lit(0), F.array().cast("array<string>")
     return rows.select(
-        "doc_id",
-        "text_key",
+        F.col("doc.id").alias("doc_id"),
+        F.col("doc.text_key").alias("text_key"),
         "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.coalesce("n_hit", none).cast("long").alias("n_hit"),
+        F.coalesce("items", nobody).alias("items"),
+        (F.coalesce("n_hit", none) > 0).alias("contaminated"),
+        F.coalesce("n_near", none).cast("long").alias("n_near"),
+        F.coalesce("near_items", nobody).alias("near_items"),
     )
 
 
@@ -128,7 +179,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, size: int = 10, id_col: s
     """docs without the rows that hold a window of an item, all columns as they were."""
     found = window_matches(docs, item_windows(items, size), id_col, text_col)
     bad = found.select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    keyed = docs.withColumn("_key", text_key(F.col(text_col)))
     left = keyed.join(bad, (F.col("_key") == F.col("_bad_key")) & F.col(id_col).eqNullSafe(F.col("_bad_id")), "left_anti")
     return left.select(*docs.columns)
 
@@ -150,14 +201,32 @@ WITH d AS (
   SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
 ), found AS (
-  SELECT g.doc_id, g.i, g.n, win.item_id FROM grams g JOIN win ON g.k = win.k AND g.n = win.n
+  SELECT g.doc_id, g.k, g.i, g.n, win.item_id FROM grams g JOIN win ON g.k = win.k AND g.n = win.n
 ), hit AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id
+), vocab AS (
+  SELECT DISTINCT unnest(w) AS t FROM b
+), tok AS (
+  SELECT doc_id, t, p FROM (SELECT doc_id, unnest(w) AS t, unnest(range(0, len(w))) AS p FROM d) WHERE t IN (SELECT t FROM vocab)
+), freq AS (
+  SELECT t, count(*) AS c FROM tok GROUP BY t
+), ranked AS (
+  SELECT k, n, t, p, row_number() OVER (PARTITION BY k ORDER BY c, t, p) AS r
+  FROM (SELECT k, n, unnest(string_split(k, ' ')) AS t, unnest(range(0, n)) AS p FROM (SELECT DISTINCT k, n FROM win)) JOIN freq USING (t)
+), two AS (
+  SELECT x.k, x.t AS t1, x.p AS p1, y.t AS t2, y.p AS p2 FROM ranked x JOIN ranked y ON x.k = y.k WHERE x.r = 1 AND y.r = 2
+), probe AS (
+  SELECT doc_id, k, tok.p - p1 AS s, t2, tok.p AS q1, unnest(range(tok.p - p1 + p2 - 2, tok.p - p1 + p2 + 3)) AS q2 FROM tok JOIN two ON tok.t = two.t1
+), near AS (
+  SELECT doc_id, count(*) AS n_near FROM (
+    SELECT DISTINCT probe.doc_id, k, s FROM probe JOIN tok ON tok.doc_id = probe.doc_id AND tok.t = probe.t2 AND tok.p = q2 WHERE q1 <> q2
+    EXCEPT SELECT doc_id, k, i - 1 FROM found
+  ) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
   FROM found GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """

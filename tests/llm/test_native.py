@@ -59,6 +59,20 @@ def test_proximity_keeps_changed_and_leading_passages(spark):
     assert got == {(0, "one", 0, False), (1, "p", -2, False)}
 
 
+def test_near_items(spark):
+    """A passage whose changed word is not of the two rarest is near, not hit; a copy is hit; repeated rows each have a row."""
+    passage = "one two three four five six seven eight nine ten"
+    rows = [(1, "x " + passage), (2, passage.replace("one", "zero")), (4, "four " * 50)] + [(3, passage.replace("four", "other"))] * 40
+    docs = frame(spark, [(i, t, None, None, None) for i, t in rows])
+    items = spark.createDataFrame([("a", passage), ("b", "absent words")], "item_id string, text string")
+    got = dc.decontaminate(docs, items).collect()
+    assert len(got) == 43
+    # the rarest terms are "one" and "eight", so a passage without "one" is not near
+    assert {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.n_near, tuple(r.near_items)) for r in got} == {
+        (1, 11, 10, ("a",), 0, ()), (2, 10, 0, (), 0, ()), (3, 10, 0, (), 1, ("a",)), (4, 50, 0, (), 0, ())
+    }
+
+
 def test_license(spark):
     notes = ["Released under the MIT License.", "CC BY cc by", "x\nAll Rights Reserved\nGNU General Public License all rights reserved", "Licensed under CC BY-NC 4.0."]
     rows = hard_rows() + [(100 + k, t, None, None, None) for k, t in enumerate(notes)]
