@@ -1,15 +1,15 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame functions only.
 
-The index is a stored table of postings (document, term, position) of the documents' words that stand in the benchmark,
-and one end mark for each row, at the place after its last word. Texts are read once, for this table; all else reads
+The index is a stored table of postings (row, term, position) of the documents' words that stand in the benchmark, and
+one end mark for each row, at the place after its last word. Texts are read once, for this table; all else reads
 postings. Benchmark items are cut into windows of consecutive words. The two rarest places of a window (by the index's
 counts) are its anchors: the lists of both, less the anchors' offsets, are intersected. Where they meet, the lists of
 the window's other terms are intersected too, which gives exact phrases; where they are apart by at most `slop` words,
 the place is a match by proximity.
 
-Every intersection is a join on document, window and place, so no term, document or window is a key by itself. Tables
-made from the benchmark are broadcast only where their counted rows are at most BROADCAST_ROWS; beyond it all words are
-indexed and the joins shuffle.
+Every intersection is a join on row, window and place, so no term, row or window is a key by itself. Tables made from the
+benchmark, and the ids of rows with places, are broadcast only where their counted rows are at most BROADCAST_ROWS;
+beyond it the joins shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from feedloom.plans.persist import materialize
 #: About 100 bytes each: some 20 MB broadcast at most.
 BROADCAST_ROWS = 200_000
 #: The end mark of a document, which no word is.
-END = ""
+END, END_ID = "", -1
 #: How far from its place, in words, the second anchor of a match by proximity may stand.
 SLOP = 2
 
@@ -49,26 +49,38 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def positional_index(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc (id and text_key), term, pos (from 0) of each word that the windows have, and one END for each row; stored.
+def vocabulary(windows: DataFrame) -> DataFrame:
+    """term, term_id: the words of the windows and END, stored, so that their numbers stay."""
+    mark = windows.sparkSession.range(1).select(F.lit(END).alias("term"))
+    terms = windows.select(F.explode("window").alias("term")).union(mark).distinct()
+    return materialize(terms.withColumn("term_id", F.when(F.col("term") == END, END_ID).otherwise(F.monotonically_increasing_id())), "terms")
 
-    Rows of equal id and text are one document with repeated postings.
-    """
-    doc = F.struct(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"))
-    postings = docs.select(doc.alias("doc"), F.posexplode(F.concat(word_list(F.col(text_col)), F.array(F.lit(END)))).alias("pos", "term"))
-    mark = docs.sparkSession.range(1).select(F.lit(END).alias("term"))
-    terms = materialize(windows.select(F.explode("window").alias("term")).union(mark).distinct(), "terms")
-    n = terms.count()
-    # beyond the bound the index holds the words of no window too
-    return materialize(postings.join(F.broadcast(terms), "term", "left_semi") if n <= BROADCAST_ROWS else postings, "postings")
+
+def positional_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row (a number for each row of docs), term_id, pos (from 0) of each word that terms has, and one END for each row, which
+    alone has the row's doc_id and text_key; stored once, so that the numbers stay."""
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col(id_col).alias("doc_id"),
+        text_key(F.col(text_col)).alias("text_key"),
+        F.concat(word_list(F.col(text_col)), F.array(F.lit(END))).alias("words"),
+    )
+    postings = rows.select("row", "doc_id", "text_key", F.posexplode("words").alias("pos", "term")).join(bounded(terms, terms.count()), "term")
+    last = F.col("term_id") == END_ID
+    return materialize(postings.select("row", "term_id", "pos", F.when(last, F.col("doc_id")).alias("doc_id"), F.when(last, F.col("text_key")).alias("text_key")), "postings")
+
+
+def marks(index: DataFrame) -> DataFrame:
+    """row, doc_id, text_key, n_words of every row of the documents."""
+    return index.filter(F.col("term_id") == END_ID).select("row", "doc_id", "text_key", F.col("pos").cast("long").alias("n_words"))
 
 
-def anchors(windows: DataFrame, index: DataFrame) -> DataFrame:
-    """wid, length, the term and offset of the two rarest places whose terms the index has, and whole: it has them all.
+def anchors(windows: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:
+    """wid, length, the term_id and offset of the two rarest places whose terms the index has, and whole: it has them all.
 
     A window with one such place has it twice; it can be met only if it is whole.
     """
-    counts = index.filter(F.col("term") != END).groupBy("term").agg(F.count("*").alias("n"))
+    counts = index.filter(F.col("term_id") != END_ID).groupBy("term_id").agg(F.count("*").alias("n")).join(terms, "term_id")
     places = windows.select("wid", F.size("window").alias("length"), F.posexplode("window").alias("at", "term")).join(counts, "term")
     order = Window.partitionBy("wid").orderBy("n", "term", "at")
     ranked = places.withColumn("rank", F.row_number().over(order))
@@ -77,9 +89,9 @@ def anchors(windows: DataFrame, index: DataFrame) -> DataFrame:
         return F.max(F.when(F.col("rank") == rank, F.col(col)))
 
     chosen = ranked.groupBy("wid", "length").agg(
-        nth(1, "term").alias("term"),
+        nth(1, "term_id").alias("term_id"),
         nth(1, "at").alias("at"),
-        F.coalesce(nth(2, "term"), nth(1, "term")).alias("term2"),
+        F.coalesce(nth(2, "term_id"), nth(1, "term_id")).alias("term_id2"),
         F.coalesce(nth(2, "at"), nth(1, "at")).alias("at2"),
         (F.count("*") == F.col("length")).alias("whole"),
     )
@@ -87,47 +99,50 @@ def anchors(windows: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def anchor_list(index: DataFrame, side: DataFrame, start: str, pos: str) -> DataFrame:
-    """The postings of one anchor of each window (side: wid, term, at): doc, wid, pos, and start, the pos less the offset."""
-    return index.join(side, "term").select("doc", "wid", F.col("pos").alias(pos), (F.col("pos") - F.col("at")).alias(start)).distinct()
+    """The postings of one anchor of each window (side: wid, term_id, at): row, wid, pos, and start, the pos less the offset."""
+    return index.join(side, "term_id").select("row", "wid", F.col("pos").alias(pos), (F.col("pos") - F.col("at")).alias(start))
 
 
-def index_matches(index: DataFrame, windows: DataFrame, slop: int | None = None) -> DataFrame:
-    """Places of numbered windows in an index: doc, wid, start, length, exact; see window_matches."""
+def index_matches(index: DataFrame, terms: DataFrame, windows: DataFrame, slop: int | None = None) -> DataFrame:
+    """Places of numbered windows in an index: row, wid, start, length, exact; see window_matches."""
     width = max(slop or 0, 1)
-    chosen = anchors(windows, index)
+    chosen = anchors(windows, terms, index)
     chosen = materialize(chosen.filter("whole") if slop is None else chosen, "anchors")
     n = chosen.count()
-    first = anchor_list(index, bounded(chosen.select("wid", "term", "at"), n), "start", "pos")
-    second = anchor_list(index, bounded(chosen.select("wid", F.col("term2").alias("term"), F.col("at2").alias("at")), n), "start2", "pos2")
+    first = anchor_list(index, bounded(chosen.select("wid", "term_id", "at"), n), "start", "pos")
+    second = anchor_list(index, bounded(chosen.select("wid", F.col("term_id2").alias("term_id"), F.col("at2").alias("at")), n), "start2", "pos2")
     cell, cell2 = F.floor(F.col("start") / width), F.floor(F.col("start2") / width)
     first = first.withColumn("cell", F.explode(F.sequence(cell - 1, cell + 1)) if slop else cell)
-    pairs = first.join(second.withColumn("cell", cell2), ["doc", "wid", "cell"]).filter(F.abs(F.col("start") - F.col("start2")) <= (slop or 0))
-    met = pairs.groupBy("doc", "wid", "start").agg(F.max(F.col("start") == F.col("start2")).alias("meets"), F.max(F.col("pos") != F.col("pos2")).alias("near"))
-    found = materialize(met, "places").join(bounded(chosen.select("wid", "length", "whole", "at", "at2"), n), "wid")
+    pairs = first.join(second.withColumn("cell", cell2), ["row", "wid", "cell"]).filter(F.abs(F.col("start") - F.col("start2")) <= (slop or 0))
+    met = pairs.groupBy("row", "wid", "start").agg(F.max(F.col("start") == F.col("start2")).alias("meets"), F.max(F.col("pos") != F.col("pos2")).alias("near"))
+    found = materialize(met, "places").join(bounded(chosen.select("wid", "length", "whole"), n), "wid")
     phrases = found.filter(F.col("meets") & F.col("whole") & (F.col("start") >= 0))
-    # the lists of the other terms, of the documents that have places
-    placed = materialize(phrases.select("doc").distinct(), "placed")
+    # the lists of all the window's terms, of the rows that have places
+    placed = materialize(phrases.select("row").distinct(), "placed")
     n_placed = placed.count()
-    others = index.join(F.broadcast(placed), "doc", "left_semi") if n_placed <= BROADCAST_ROWS else index
-    wanted = phrases.join(bounded(windows, n), "wid").select("doc", "wid", "start", "length", F.posexplode("window").alias("offset", "term"))
-    wanted = wanted.withColumn("pos", (F.col("start") + F.col("offset")).cast("int"))
-    whole = wanted.join(others, ["doc", "term", "pos"], "left_semi").groupBy("doc", "wid", "start", "length").agg(F.count("*").alias("n")).filter("n = length")
-    whole = whole.select("doc", "wid", "start", F.lit(True).alias("exact"))
+    lists = index.select("row", "term_id", "pos")
+    lists = lists.join(F.broadcast(placed), "row", "left_semi") if n_placed <= BROADCAST_ROWS else lists
+    listed = windows.select("wid", F.posexplode("window").alias("offset", "term")).join(terms, "term").select("wid", "offset", "term_id")
+    wanted = phrases.join(listed, "wid").select("row", "wid", "start", "length", "term_id", (F.col("start") + F.col("offset")).alias("pos"))
+    whole = wanted.join(lists, ["row", "term_id", "pos"], "left_semi").groupBy("row", "wid", "start", "length").agg(F.count("*").alias("n")).filter("n = length")
+    whole = whole.select("row", "wid", "start", "length", F.lit(True).alias("exact"))
     if slop is None:
-        return found.select("doc", "wid", "start", "length").join(whole, ["doc", "wid", "start"])
-    marked = found.join(whole, ["doc", "wid", "start"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
-    return marked.filter("exact or near").select("doc", "wid", "start", "length", "exact")
+        return whole
+    marked = found.join(whole.drop("length"), ["row", "wid", "start"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    return marked.filter("exact or near").select("row", "wid", "start", "length", "exact")
 
 
 def window_matches(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", slop: int | None = None) -> DataFrame:
-    """Places of windows in documents: doc_id, text_key, window, start (from 0), length, exact; each place once.
+    """Places of windows in documents: doc_id, text_key, window, start (from 0), length, exact; each place of a row once.
 
     With slop None only exact phrases; else also places where the window's two rarest terms that the corpus has, less
     their offsets, are at most slop words apart (exact false; start is the first term's and may lie before the text).
     """
     known = numbered(windows)
-    found = index_matches(positional_index(docs, known, id_col, text_col), known, slop).join(known, "wid")
-    return found.select(F.col("doc.id").alias("doc_id"), F.col("doc.text_key").alias("text_key"), "window", "start", "length", "exact")
+    terms = vocabulary(known)
+    index = positional_index(docs, terms, id_col, text_col)
+    found = index_matches(index, terms, known, slop).join(known, "wid").join(marks(index), "row")
+    return found.select("doc_id", "text_key", "window", "start", "length", "exact")
 
 
 def decontaminate(
@@ -150,22 +165,23 @@ def decontaminate(
     """
     windows = materialize(item_windows(items, size, item_id, item_text), "item-windows")
     known = numbered(windows)
-    index = positional_index(docs, known, id_col, text_col)
-    found = materialize(index_matches(index, known, slop), "matches")
-    hit = found.filter("exact").select("doc", F.explode(F.expr("sequence(start, start + length - 1)")).alias("pos")).distinct()
-    hit = hit.groupBy("doc").agg(F.count("*").alias("n_hit"))
-    near = found.filter("not exact").groupBy("doc").agg(F.count("*").alias("n_near"))
+    terms = vocabulary(known)
+    index = positional_index(docs, terms, id_col, text_col)
+    found = materialize(index_matches(index, terms, known, slop), "matches")
+    hit = found.filter("exact").select("row", F.explode(F.expr("sequence(start, start + length - 1)")).alias("pos")).distinct()
+    hit = hit.groupBy("row").agg(F.count("*").alias("n_hit"))
+    near = found.filter("not exact").groupBy("row").agg(F.count("*").alias("n_near"))
     owners = windows.join(known, "window").select("wid", F.col("item_id").cast("string").alias("item"))
-    named = found.select("doc", "wid", "exact").distinct().join(owners, "wid").groupBy("doc").agg(
+    named = found.select("row", "wid", "exact").distinct().join(owners, "wid").groupBy("row").agg(
         *[F.array_sort(F.collect_set(F.when(kind, F.col("item")))).alias(c) for c, kind in (("items", F.col("exact")), ("near_items", ~F.col("exact")))]
     )
-    # one side of all three, as a document with matches has a row in `named` at least
-    matched = named.join(hit, "doc", "left").join(near, "doc", "left")
-    rows = index.filter(F.col("term") == END).select("doc", F.col("pos").cast("long").alias("n_words")).join(matched, "doc", "left")
+    # one side of all three, as a row with matches has a row in `named` at least
+    matched = named.join(hit, "row", "left").join(near, "row", "left")
+    rows = marks(index).join(matched, "row", "left")
     none, nobody = F.lit(0), F.array().cast("array<string>")
     return rows.select(
-        F.col("doc.id").alias("doc_id"),
-        F.col("doc.text_key").alias("text_key"),
+        "doc_id",
+        "text_key",
         "n_words",
         F.coalesce("n_hit", none).cast("long").alias("n_hit"),
         F.coalesce("items", nobody).alias("items"),
