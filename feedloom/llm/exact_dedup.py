@@ -1,11 +1,14 @@
 """Exact dedup by skew-safe combining, in DataFrame functions only.
 
 1. Locally: rows of one text inside an input partition are combined by the map side of a grouped aggregate.
-2. Salted groups: (digest, content, salt) is merged next. The salt is the id's block of BLOCK consecutive ids, so no
-   group ever lists more than BLOCK ids, however many copies a text has.
-3. Globally: the salts' winners of one (digest, content) are combined; the map side reduces them once more.
+2. Salted groups: (digest, content, salt) is merged next. The salt is the id's block of BLOCK consecutive ids, so a
+   group lists at most BLOCK distinct ids, however many copies a text has. Null ids of a text are one group, and rows
+   that repeat an id are in one group, whatever their number.
+3. Globally: the salts' winners of one (digest, content) are combined; the map side reduces them once more. A text with
+   copies in many blocks lists one winner for each.
 
-The full content is part of every grouping key, so two texts that shared a digest would stay apart.
+The full content is part of every grouping key, so two texts that shared a digest would stay apart there. The join of
+the salts' members with what was decided has the digest, the salt and the winner's id as its key, not the content.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from feedloom.llm import decontaminate as dc
@@ -59,8 +60,11 @@ def test_proximity_keeps_changed_and_leading_passages(spark):
     assert got == {(0, "one", 0, False), (1, "p", -2, False)}
 
 
-def test_near_items(spark):
-    """A passage whose changed word is not of the two rarest is near, not hit; a copy is hit; repeated rows each have a row."""
+@pytest.mark.parametrize("rows_sent", [dc.BROADCAST_ROWS, -1])
+def test_near_items(spark, monkeypatch, rows_sent):
+    """A passage whose changed word is not of the two rarest is near, not hit; a copy is hit; repeated rows each have a row.
+    Both with small tables broadcast and with every join shuffled."""
+    monkeypatch.setattr(dc, "BROADCAST_ROWS", rows_sent)
     passage = "one two three four five six seven eight nine ten"
     rows = [(1, "x " + passage), (2, passage.replace("one", "zero")), (4, "four " * 50)] + [(3, passage.replace("four", "other"))] * 40
     docs = frame(spark, [(i, t, None, None, None) for i, t in rows])
