@@ -16,11 +16,12 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, pairwise
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,10 @@ CHUNK, OVERLAP = 16384, 256
 LOOKAHEAD = 3
 #: Keys in the newer half of what a Python worker remembers, and the longest of them; characters encoded at a time.
 REMEMBERED, LONGEST, STEP = 3 << 16, 64, 3 << 20
+#: White space of Unicode, with the separators that Python's isspace counts too.
+WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A space at a text's start or behind white space.
+OPEN = f"^ |[{WHITE}] "
 #: Above every rank.
 NONE = (1 << 31) - 1
 
@@ -40,9 +45,8 @@ class Recent:
     def __init__(self, make: Callable[[list[str]], list]):
         self.make, self.newer, self.older = make, {}, {}
 
-    def __call__(self, keys: Iterable[str]) -> dict[str, object]:
-        """The values of keys; those not remembered are made together."""
-        distinct = list(set(keys))
+    def __call__(self, distinct: list[str]) -> dict[str, object]:
+        """The values of keys that are all different; those not remembered are made together."""
         if len(self.newer) >= REMEMBERED:
             self.older, self.newer = self.newer, {}
         newer, older = self.newer, self.older
@@ -65,7 +69,8 @@ class Codec:
 
     spaces tells that a space behind another character than white space always starts a pre-token, as in patterns whose
     matches hold white space at their start or alone. Then a text may be cut there, and each part (the text between two
-    such spaces) has one encoding wherever it stands.
+    such spaces) has one encoding wherever it stands. Parts and pre-tokens are Arrow columns: each distinct one is
+    encoded once, and the ids and bytes of texts are joined from them column by column.
     """
 
     def __init__(self, path: str, pattern: str, spaces: bool = True):
@@ -87,7 +92,7 @@ class Codec:
         order = np.argsort(keys)
         self.pair_keys = np.append(keys[order], np.int64(-1))
         self.pair_ranks = np.append(np.fromiter(pairs.values(), np.int32, len(pairs))[order], NONE).astype(np.int32)
-        self.pattern, self.spaces, self.white = regex.compile(pattern), spaces, regex.compile(r"\s")
+        self.pattern, self.spaces = regex.compile(pattern), spaces
         self.pieces, self.parts = Recent(self.merge_all), Recent(self.encode_parts)
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -172,48 +177,73 @@ class Codec:
     def written(self, ids: list[int]) -> tuple[str, bytes]:
         return ",".join([self.decimal[i] for i in ids]), b"".join([self.raw[i] for i in ids])
 
-    def encode_pieces(self, pieces: list[str]) -> tuple[str, bytes]:
-        """Pre-tokens of one text, encoded."""
-        known = self.pieces(pieces)
-        return together([known[p] for p in pieces])
-
     def encode_parts(self, parts: list[str]) -> list[tuple[str, bytes]]:
         split = [self.pattern.findall(" " + p) for p in parts]
-        known = self.pieces(chain.from_iterable(split))
+        known = self.pieces(list(set(chain.from_iterable(split))))
         return [known[pieces[0]] if len(pieces) == 1 else together([known[p] for p in pieces]) for pieces in split]
 
-    def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+    def encode_pieces(self, pieces: pa.Array) -> tuple[str, bytes]:
+        """The pre-tokens of one text, encoded."""
+        ids, raw = self.joined(pieces, np.array([0, len(pieces)]), self.pieces)
+        return ids[0].as_py(), raw[0].as_py()
+
+    def joined(self, words: pa.Array, offsets: np.ndarray, recent: Recent, heads: list[str] | None = None) -> tuple[pa.Array, pa.Array]:
+        """Ids and bytes of the texts of which the words start at offsets; heads stand for the texts' first words."""
+        coded = words.dictionary_encode()
+        keys, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        known = recent(keys)
+        values = [known[k] for k in keys]
+        if heads is not None:
+            at = at.copy()
+            at[offsets[:-1]] = len(values) + np.arange(len(heads))
+            split = [self.pattern.findall(h) for h in heads]
+            first = self.pieces(list(set(chain.from_iterable(split))))
+            values += [together([first[p] for p in pieces]) for pieces in split]
+        out = []
+        for i, kind, between in ((0, pa.large_string(), ","), (1, pa.large_binary(), b"")):
+            column = pa.array([v[i] for v in values], kind).take(pa.array(at))
+            lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), column)
+            out.append(pc.binary_join(lists, pa.scalar(between, kind)))
+        return out[0], out[1]
+
+    def encode_texts(self, texts: pa.Array) -> Iterator[tuple[str, bytes]]:
         """Each text encoded; texts of about STEP characters at a time."""
-        cuts, size = [], 0
-        for i, text in enumerate(texts):
-            cuts.append(self.cut(text))
-            size += len(text)
-            if size >= STEP or i + 1 == len(texts):
-                known = self.parts(chain.from_iterable(parts for _, parts in cuts))
-                heads = [self.pattern.findall(head) for head, _ in cuts]
-                first = self.pieces(chain.from_iterable(heads))
-                for pieces, (_, parts) in zip(heads, cuts, strict=True):
-                    yield together([*map(first.__getitem__, pieces), *map(known.__getitem__, parts)])
-                cuts, size = [], 0
-
-    def cut(self, text: str) -> tuple[str, list[str]]:
-        """text up to its first cut, and each later part without the space that starts it."""
+        texts = texts.cast(pa.large_string())
+        sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False)) // STEP
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            some = texts.slice(a, b - a)
+            plain = pc.invert(pc.match_substring_regex(some, OPEN)).to_numpy(zero_copy_only=False) & self.spaces
+            rest = [self.cut(t) for t in some.filter(pa.array(~plain)).to_pylist()]
+            split = pc.split_pattern(some.filter(pa.array(plain)), " ")
+            groups = []
+            if len(split):
+                offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+                words = split.flatten()
+                groups.append((np.flatnonzero(plain), self.joined(words, offsets, self.parts, words.take(pa.array(offsets[:-1])).to_pylist())))
+            if rest:
+                offsets = np.cumsum([0, *map(len, rest)])
+                words = pa.array(list(chain.from_iterable(rest)), pa.large_string())
+                groups.append((np.flatnonzero(~plain), self.joined(words, offsets, self.parts, [parts[0] for parts in rest])))
+            found: list[tuple[str, bytes]] = [("", b"")] * (b - a)
+            for at, (ids, raw) in groups:
+                for i, x, y in zip(at.tolist(), ids.to_pylist(), raw.to_pylist(), strict=True):
+                    found[i] = x, y
+            yield from found
+
+    def cut(self, text: str) -> list[str]:
+        """text up to its first cut, and each later part without the space that starts it; text may have spaces behind
+        white space, which are no cuts: the parts beside them belong together."""
         if not self.spaces:
-            return text, []
-        parts = text.split(" ")
-        # a space behind white space is no cut: the parts beside it belong together
-        if any(map(self.open, {p[-1:] for p in parts})):
-            joined = parts[:1]
-            for part in parts[1:]:
-                if self.open(joined[-1][-1:]):
-                    joined[-1] += " " + part
-                else:
-                    joined.append(part)
-            parts = joined
-        return parts[0], parts[1:]
-
-    def open(self, last: str) -> bool:
-        return not last or last.isspace() or self.white.match(last) is not None
+            return [text]
+        first, *others = text.split(" ")
+        joined = [first]
+        for part in others:
+            if not joined[-1] or joined[-1][-1] in WHITE:
+                joined[-1] += " " + part
+            else:
+                joined.append(part)
+        return joined
 
     def starts(self, text: str, base: int = 0, last: bool = True) -> np.ndarray:
         """Where pre-tokens start, shifted by base; without those that text beyond this one could move, unless last."""
@@ -264,6 +294,14 @@ def stitch(text: str, size: int, chains: list[np.ndarray], own: Codec, overlap:
     return np.concatenate(done)
 
 
+def pieces_at(text: str, starts: np.ndarray) -> pa.Array:
+    """The pre-tokens of text that start at starts."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    first = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))
+    offsets = first[np.append(starts, len(text))].astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -297,7 +335,7 @@ def encode_decode(
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern, spaces)
         for batch in batches:
-            out = [finish(*x) for x in own.encode_texts(batch.column("text").to_pylist())]
+            out = [finish(*x) for x in own.encode_texts(batch.column("text"))]
             columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=names)
 
@@ -313,8 +351,7 @@ def encode_decode(
         one = pdf.drop_duplicates("k").sort_values("k")
         text = "".join(one["part"])
         at = stitch(text, chunk, [np.frombuffer(x, "<i8") for x in one["starts"]], own, overlap)
-        cuts = [*at.tolist(), len(text)]
-        out = finish(*own.encode_pieces([text[a:b] for a, b in pairwise(cuts)]))
+        out = finish(*own.encode_pieces(pieces_at(text, at)))
         row = [pdf["doc_id"].iloc[0], *out]
         frame = pd.DataFrame([row] * repeats, columns=names)
         return frame.astype({"doc_id": "Int64"})

@@ -2,7 +2,9 @@ import base64
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,7 +40,7 @@ def test_digests(spark, library):
 def test_long_runs(library):
     own = byte_bpe.codec(PATH, public_tokenizers.PATTERN)
     for t in ("a" * 3000, "ab" * 999, "é" * 500, " " * 1000 + "x", "the" * 400, "0" * 777):
-        assert own.encode_pieces(own.pattern.findall(t)) == (",".join(map(str, library.encode_ordinary(t))), t.encode())
+        assert own.encode_pieces(pa.array(own.pattern.findall(t), pa.large_string())) == (",".join(map(str, library.encode_ordinary(t))), t.encode())
 
 
 @given(st.text(alphabet=" \n\t\u00a0\u2003\x1c\x85aé.,'s1漢_", max_size=40))
@@ -47,16 +49,21 @@ def test_parts(library, text):
     """Cutting at spaces gives what the whole text gives, and the same places of pre-tokens."""
     for spaces in (True, False):
         own = byte_bpe.codec(PATH, public_tokenizers.PATTERN, spaces)
-        assert list(own.encode_texts([text, text]))[1] == (",".join(map(str, library.encode_ordinary(text))), text.encode())
+        assert list(own.encode_texts(pa.array([text, text])))[1] == (",".join(map(str, library.encode_ordinary(text))), text.encode())
         assert own.starts(text).tolist() == [m.start() for m in own.pattern.finditer(text)]
 
 
+def test_white_space():
+    """The listed white space is what the pattern's engine and Python count as such."""
+    assert set(byte_bpe.WHITE) == {c for c in map(chr, range(0x110000)) if c.isspace() or regex.match(r"\s", c)}
+
+
 def test_forgets(library, monkeypatch):
     """Results do not depend on what is remembered."""
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 3)
     own = byte_bpe.Codec(PATH, public_tokenizers.PATTERN)
     for t in [words(i, 50) for i in range(5)] * 2:
-        assert next(own.encode_texts([t])) == (",".join(map(str, library.encode_ordinary(t))), t.encode())
+        assert next(own.encode_texts(pa.array([t]))) == (",".join(map(str, library.encode_ordinary(t))), t.encode())
 
 
 def test_query(spark, library, tmp_path):
