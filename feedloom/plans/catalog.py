@@ -328,15 +328,17 @@ def refill_counters(v: Views) -> DataFrame:
 
 
 def _topic_rows(v: Views) -> DataFrame:
-    """Topics as a model would return them: up to six items each, one of them unknown."""
-    used = v.assignments.groupBy("topic_id", "digest_date").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
+    """Topics as a model would return them, with all assigned items of a block of 600 ids and an unknown one; the blocks
+    of a topic are topics of days of their own, so lists stay short and days grow with the input."""
+    used = v.assignments.withColumn("block", F.expr("item_id div 600")).groupBy("topic_id", "digest_date", "block").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
     t = v.topics.join(used.withColumnsRenamed({"topic_id": "id"}), ["id", "digest_date"])
-    ids = F.transform(F.concat(F.array(F.lit(-1).cast("long")), F.slice("ids", 1, 5)), lambda x: x.cast("string"))
-    return t.select("digest_date", F.substring("id", 2, 9).cast("int").alias("pos"), "name", "summary", ids.alias("item_ids"))
+    ids = F.transform(F.concat(F.array(F.lit(-1).cast("long")), "ids"), lambda x: x.cast("string"))
+    day = F.date_add("digest_date", (F.col("block") % 3650 * 24).cast("int"))
+    return t.select(day.alias("digest_date"), (F.col("block") * 120 + F.substring("id", 2, 9).cast("long")).alias("pos"), "name", "summary", ids.alias("item_ids"))
 
 
 TOPICS = """
-tr AS (SELECT t.digest_date, CAST(substr(t.id, 2) AS INT) AS pos, t.name, t.summary, list(a.item_id ORDER BY a.item_id)[1:5] AS ids
+tr AS (SELECT t.digest_date + CAST(a.item_id // 600 % 3650 * 24 AS INT) AS digest_date, a.item_id // 600 * 120 + CAST(substr(t.id, 2) AS BIGINT) AS pos, t.name, t.summary, list(a.item_id ORDER BY a.item_id) AS ids
   FROM topics t JOIN assignments a ON a.topic_id = t.id AND a.digest_date = t.digest_date GROUP BY ALL)
 """
 
@@ -350,7 +352,7 @@ def parse_topics(v: Views) -> DataFrame:
     answers = one.select(F.concat_ws("#", F.col("digest_date").cast("string"), F.col("pos").cast("string")).alias("digest_date"), F.concat(F.lit("```\n"), "json", F.lit("\n```")).alias("raw"))
     sent = one.select(F.concat_ws("#", F.col("digest_date").cast("string"), F.col("pos").cast("string")).alias("digest_date"), F.explode("item_ids").alias("item_id")).filter("item_id <> '-1'")
     out = labels.parse_topics(answers, sent)
-    return out.select(F.substring_index("digest_date", "#", 1).alias("digest_date"), F.substring_index("digest_date", "#", -1).cast("int").alias("pos"), "name", "summary", F.array_join("item_ids", ",").alias("ids"))
+    return out.select(F.substring_index("digest_date", "#", 1).alias("digest_date"), F.substring_index("digest_date", "#", -1).cast("long").alias("pos"), "name", "summary", F.array_join("item_ids", ",").alias("ids"))
 
 
 @query(
