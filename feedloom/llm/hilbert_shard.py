@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve.
 
-Metadata dimensions (language, source, size, id) are quantised to `bits` bits each; their cell's place on a Hilbert
+Metadata dimensions (language, source, size, id) are quantised in their order, at approximate quantiles, to `bits` bits each; their cell's place on a Hilbert
 curve orders the rows, and the order is cut into shards of counts at most one apart, so that each shard's files cover
 a compact region of every dimension and a filter on any of them prunes files.
 
@@ -11,6 +11,8 @@ so a cell that holds a third of all rows is still ranked by many tasks.
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from feedloom.plans.persist import materialize
 
 BITS, SALTS = 3, 64
+#: Bytes of a category behind what all values share that order it, and the accuracy of quantiles.
+PREFIX, ACCURACY = 6, 10000
 
 
 def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -49,16 +53,15 @@ def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def hashed(col: Column, bits: int) -> Column:
-    """A category's cell; null has one too."""
-    return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(1 << bits)).cast("int")
+def number(col: Column, shared: int) -> Column:
+    """A category as a number in the order of its bytes, of which all values share the first ones."""
+    data = F.substring(F.coalesce(col.cast("string"), F.lit("")).cast("binary"), shared + 1, PREFIX)
+    return F.conv(F.rpad(F.hex(data), 2 * PREFIX, "0"), 16, 10).cast("long")
 
 
-def scaled(col: Column, low: float, high: float, bits: int) -> Column:
-    """The cell of a number between low and high; null is in the first one."""
-    top = (1 << bits) - 1
-    share = (col.cast("double") - F.lit(low)) / F.lit(max(high - low, 1.0))
-    return F.coalesce(F.least(F.greatest(F.floor(share * (top + 1)), F.lit(0)), F.lit(top)), F.lit(0)).cast("int")
+def quantised(col: Column, cuts: list) -> Column:
+    """How many of the cuts a number has reached; null is in the first cell."""
+    return F.coalesce(sum([(col >= F.lit(c)).cast("int") for c in cuts], F.lit(0)), F.lit(0))
 
 
 def hilbert_shards(
@@ -75,16 +78,18 @@ def hilbert_shards(
         return pd.Series(hilbert_index(axes.to_numpy(), bits).astype("int32"))
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    bounds = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long"))).first()
-    low, high = (float(bounds[0] or 0), float(bounds[1] or 0))
+    names = [F.col(c).cast("string") for c in categories]
+    ends = docs.agg(*[f(n) for n in names for f in (F.min, F.max)]).first() if categories else []
+    shared = [len(commonprefix([(x or "").encode() for x in ends[2 * i : 2 * i + 2]])) for i in range(len(names))]
     size = F.octet_length(text).cast("long") + 1
+    measures = [*map(number, names, shared), size, F.col(id_col).cast("long")]
+    steps = [k / (1 << bits) for k in range(1, 1 << bits)]
+    cuts = docs.agg(*[F.percentile_approx(m, steps, ACCURACY) for m in measures]).first()
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         size.alias("size"),
         F.crc32(text).alias("text_crc32"),
-        *[hashed(F.col(c), bits).alias(f"axis_{i}") for i, c in enumerate(categories)],
-        scaled(F.log2(size), 0.0, 24.0, bits).alias("axis_size"),
-        scaled(F.col(id_col), low, high + 1, bits).alias("axis_id"),
+        *[quantised(m, found or []).alias(f"axis_{i}") for i, (m, found) in enumerate(zip(measures, cuts, strict=True))],
     )
     axes = [c for c in rows.columns if c.startswith("axis_")]
     placed = rows.withColumn("cell", place(F.struct(*axes))).select(

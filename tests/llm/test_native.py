@@ -120,3 +120,14 @@ def test_shards(spark):
     assert hs.hilbert_shards(empty(spark)).count() == 0
     few = hs.hilbert_shards(frame(spark, hard_rows()[:3])).collect()
     assert sorted(r.slot for r in few) == [0, 0, 0] and len({r.shard for r in few}) == 3
+
+
+def test_shards_prune(spark):
+    """Lowest and highest values of the shards let a filter on any dimension skip some of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = hs.hilbert_shards(docs).join(docs.select("doc_id", "lang", "source"), "doc_id").toPandas()
+    for c, most in (("lang", 7), ("source", 6), ("size", 7), ("doc_id", 7)):
+        ends = rows.groupby("shard")[c].agg(["min", "max"])
+        values = rows[c].drop_duplicates()
+        read = sum(((ends["min"] <= v) & (ends["max"] >= v)).sum() for v in values) / len(values)
+        assert read < most, (c, read)
