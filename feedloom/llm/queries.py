@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import byte_bpe, decontaminate, exact_dedup, hilbert_shard, labelled, license_scan, ngram_join, quality_fm, suffix_dedup, toxicity_gru, wordpiece_counts
+from feedloom.llm import block_mix, byte_bpe, decontaminate, exact_dedup, hilbert_shard, labelled, license_scan, ngram_join, quality_fm, suffix_dedup, toxicity_gru, wordpiece_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")}).drop("blocks")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_mix.taken_words(block_mix.mix(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -80,9 +84,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_decontaminate,
             op9_ngram_join,
             op10_license_scan,
+            op11_source_mix,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op10_license_scan": license_scan.OP10_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op10_license_scan": license_scan.OP10_SQL, "op11_source_mix": block_mix.OP11_SQL}
