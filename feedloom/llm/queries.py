@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import block_mix, byte_bpe, decontaminate, exact_dedup, hilbert_shard, labelled, license_scan, ngram_join, quality_fm, suffix_dedup, toxicity_gru, wordpiece_counts
+from feedloom.llm import block_mix, byte_bpe, decontaminate, exact_dedup, hilbert_shard, importance_draw, labelled, license_scan, ngram_join, quality_fm, suffix_dedup, token_align, toxicity_gru, wordpiece_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,15 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_mix.taken_words(block_mix.mix(table(spark, sf_dir, "documents")))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_align.token_alignment(table(spark, sf_dir, "documents"), *paths, digests=True).withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_draw.importance_draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -85,6 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_ngram_join,
             op10_license_scan,
             op11_source_mix,
+            op12_token_alignment,
+            op13_importance_draw,
         )
     }
 
