@@ -48,8 +48,12 @@ def insert_items_if_new(target: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows of batch to append: not blank, neither id nor (source_id, url) in target, and each id and each
     (source_id, url) only once: the row fetched first, then the least id."""
     new = batch.filter("url <> ''").join(target.select("id"), "id", "left_anti")
-    new = new.join(target.select("source_id", "url"), ["source_id", "url"], "left_anti").select(*batch.columns)
-    new = _first(new, ["id"], [F.col("fetched_at"), F.xxhash64("title", "content")])
+    return first_of_batch(new.join(target.select("source_id", "url"), ["source_id", "url"], "left_anti").select(*batch.columns))
+
+
+def first_of_batch(new: DataFrame) -> DataFrame:
+    """Each id and each (source_id, url) only once: the row fetched first, then the least id."""
+    new = _first(new, ["id"], [F.col("fetched_at"), F.xxhash64("source_id", "url", "title", "content")])
     return _first(new, ["source_id", "url"], [F.col("fetched_at"), F.col("id")])
 
 

@@ -20,6 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
@@ -28,6 +33,6 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     by whoever set it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
