@@ -78,13 +78,13 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, rep
     sources = sources.drop(PART).withColumn("weight", weight).withColumn("most", F.col("source_size") * repeats)
     filling = [F.col("most") / F.col("weight"), F.col("k")]
     rows = ranged(sources, filling, "filling")
-    sums = rows.agg(F.sum("source_size").alias("all"), F.sum("weight").alias("weights"))
-    rows = running_totals(rows, filling, {"full": F.col("most"), "used": F.col("weight")}).crossJoin(F.broadcast(sums))  # one row
-    budget = F.col("all") * F.lit(share)
-    rows = rows.withColumn("is_full", F.col("full") + F.col("most") / F.col("weight") * (F.col("weights") - F.col("used")) <= budget)
-    filled = rows.filter("is_full").agg(F.coalesce(F.sum("most"), F.lit(0)).alias("spent"), F.coalesce(F.sum("weight"), F.lit(0)).alias("gone"))
-    target = F.when(F.col("is_full"), F.col("most").cast("double")).otherwise((budget - F.col("spent")) * F.col("weight") / (F.col("weights") - F.col("gone")))
-    rows = rows.crossJoin(F.broadcast(filled)).withColumn("target", target)  # one row
+    total, weights_sum = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.sum("weight")).first()
+    budget = share * total
+    rows = running_totals(rows, filling, {"full": F.col("most"), "used": F.col("weight")})
+    rows = rows.withColumn("is_full", F.col("full") + F.col("most") / F.col("weight") * (F.lit(weights_sum) - F.col("used")) <= budget)
+    spent, gone = rows.filter("is_full").agg(F.coalesce(F.sum("most"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    target = F.when(F.col("is_full"), F.col("most").cast("double")).otherwise(F.lit(budget - spent) * F.col("weight") / (F.lit(weights_sum) - gone))
+    rows = rows.withColumn("target", target)
     words = F.least(F.floor(F.col("target") + 0.5), F.col("most"))
     size, one = F.col("source_size"), F.lit(block)
     rows = rows.withColumn("words", words).withColumn("blocks", F.ceil(size / one)).withColumn("whole", F.floor(size / one))
