@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,10 @@ from feedloom.llm.wordpiece_counts import printable_bytes
 from feedloom.plans.persist import materialize
 
 #: Bytes of text in a piece, and of texts that a tokenizer has in hand at once.
-PIECE, AT_ONCE = 1 << 21, 1 << 18
+PIECE, AT_ONCE = 1 << 20, 1 << 18
+#: Where the first tokenizer may read a text in parts: before a space that a plain character follows. Its pattern never matches across such a
+#: place, and what stands before or behind it does not change its matches.
+APART = re.compile(r"(?= [^\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff])")
 #: Pieces whose counts of one pair meet in one task.
 TOGETHER = 1024
 
@@ -45,14 +49,55 @@ class Tokenizers:
         self.bytes_a = pa.array([of_a.get(i, b"") for i in range(max(of_a) + 1)], pa.binary())
         b = self.b
         self.bytes_b = pa.array([bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())], pa.binary())
+        self.length_a = pc.binary_length(self.bytes_a).to_numpy(zero_copy_only=False).astype(np.int64)
         n_a, n_b = len(self.bytes_a), len(self.bytes_b)
         self.starts = np.cumsum([0, n_a, n_a, n_b])
         self.written = pa.array([f"{i}{end}".encode() for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for i in range(n)], pa.binary())
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of both tokenizers for each text; the first one reads a space before the text, which the second one adds."""
-        a = [np.array(e.ids, np.int32) for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return a, [np.array(x, np.int32) for x in self.b.encode(texts, num_threads=1)]
+    def encode_a(self, texts: list[str]) -> pa.ListArray:
+        """Ids of the first tokenizer for each text behind a space. The parts of all texts that begin at a place of APART are
+        encoded once each, joined to long lines; the token ends in a line give back the ids of each part."""
+        cut = [APART.split(" " + t) for t in texts]
+        cut = [parts if parts[0] else parts[1:] for parts in cut]
+        per_text = np.array([len(p) for p in cut], np.int64)
+        coded = pa.array([p for parts in cut for p in parts], pa.string()).dictionary_encode()
+        parts, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        first, size = [], AT_ONCE
+        for i, p in enumerate(parts):
+            if size + len(p) > AT_ONCE or p[0] != " " or not APART.match(p):
+                first.append(i)
+                size = 0
+            size += len(p)
+        lines = ["".join(parts[i:j]) for i, j in zip(first, [*first[1:], len(parts)], strict=True)]
+        ids, ends, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        for e in self.a.encode_batch_fast(lines, add_special_tokens=False):
+            ids.append(np.array(e.ids, np.int32))
+            ends.append(at + np.cumsum(self.length_a[ids[-1]]))
+            at = int(ends[-1][-1]) if len(ends[-1]) else at
+        ids_all, ends_all = np.concatenate(ids), np.concatenate(ends)
+        bounds = np.cumsum(pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64))
+        stop = np.searchsorted(ends_all, bounds, "left") + 1
+        if len(bounds) and not (stop[-1] == len(ends_all) and np.array_equal(ends_all[stop - 1], bounds)):
+            raise ValueError("a token of the first tokenizer crosses a place where its texts are cut")
+        start = np.concatenate([[0], stop[:-1]])
+        count = (stop - start)[code]
+        before = np.cumsum(count) - count
+        flat = ids_all[np.repeat(start[code] - before, count) + np.arange(int(count.sum()))]
+        upto = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(per_text)])]
+        return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(flat, pa.int32()))
+
+    def encode_b(self, texts: list[str]) -> pa.ListArray:
+        """Ids of the second tokenizer, which adds the space itself; at most AT_ONCE characters or one text at a time."""
+        ids, start = [], 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= AT_ONCE):
+                size += len(texts[stop])
+                stop += 1
+            ids.extend(np.array(x, np.int32) for x in self.b.encode(texts[start:stop], num_threads=1))
+            start = stop
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
@@ -64,9 +109,11 @@ def tokenizers(path_a: str, path_b: str) -> Tokenizers:
     return _loaded[path_a, path_b]
 
 
-def list_array(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
+def only(lists: pa.ListArray, kept: np.ndarray) -> pa.ListArray:
+    """The lists that are kept; the others empty."""
+    count = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(count * kept)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pc.list_flatten(lists).filter(pa.array(np.repeat(kept, count))))
 
 
 class Side:
@@ -86,7 +133,9 @@ class Side:
         return self.data[self.bounds[i] : self.bounds[i + 1]]
 
     def table(self, name: str) -> pa.Table:
-        return pa.table({"text": self.text, "end": self.end, name: self.id, f"at_{name}": pa.array(np.arange(len(self.id)))})
+        """Tokens by the number of their text and their end in it, as one key."""
+        key = pc.bit_wise_or(pc.shift_left(self.text.cast(pa.int64()), 40), self.end)
+        return pa.table({"text_end": key, name: self.id, f"at_{name}": pa.array(np.arange(len(self.id), dtype=np.int32))})
 
     def cuts(self, common: np.ndarray) -> np.ndarray:
         """Whether a token is the last one that ends at a common end."""
@@ -100,22 +149,11 @@ class Side:
 def encoded(of: Tokenizers, texts: list[str]) -> tuple[Side, Side, np.ndarray]:
     """Both sides of the texts, without tokens where the joined bytes of either differ from a space and the text; and
     which texts have tokens."""
-    ids: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
-    start = 0
-    while start < len(texts):
-        stop, size = start, 0
-        while stop < len(texts) and (stop == start or size + len(texts[stop]) <= AT_ONCE):
-            size += len(texts[stop])
-            stop += 1
-        for all_ids, some in zip(ids, of.encode(texts[start:stop]), strict=True):
-            all_ids.extend(some)
-        start = stop
-    sides = [Side(list_array(x), v) for x, v in zip(ids, (of.bytes_a, of.bytes_b), strict=True)]
+    sides = [Side(of.encode_a(texts), of.bytes_a), Side(of.encode_b(texts), of.bytes_b)]
     whole = [b" " + t.encode("utf-8", "surrogatepass") if t else None for t in texts]
     fits = np.array([w is not None and all(s.bytes_of(i) == w for s in sides) for i, w in enumerate(whole)], bool)
     if not fits.all():
-        none = np.zeros(0, np.int32)
-        sides = [Side(list_array([x if f else none for x, f in zip(some, fits, strict=True)]), v) for some, v in zip(ids, (of.bytes_a, of.bytes_b), strict=True)]
+        sides = [Side(only(s.lists, fits), v) for s, v in zip(sides, (of.bytes_a, of.bytes_b), strict=True)]
     return sides[0], sides[1], fits
 
 
@@ -139,14 +177,14 @@ def aligned_piece(of: Tokenizers, texts: list[str], digests: bool) -> dict[str,
     """Columns of a piece: counts and groups of each text, its links as codes of pairs, and (in the first row) the pairs
     of ids with how often each is linked."""
     a, b, fits = encoded(of, texts)
-    links = a.table("a").join(b.table("b"), keys=["text", "end"], join_type="inner", use_threads=False).sort_by([("at_a", "ascending"), ("at_b", "ascending")])
+    links = a.table("a").join(b.table("b"), keys="text_end", join_type="inner", use_threads=False).sort_by([("at_a", "ascending"), ("at_b", "ascending")])
     cut_a, cut_b = (s.cuts(links[f"at_{n}"].to_numpy()) for s, n in ((a, "a"), (b, "b")))
     groups = written_groups(of, a, b, cut_a, cut_b)
     shown = [(hashlib.sha256(g).hexdigest() if digests else bytes(g).decode()) if f else "" for g, f in zip(groups, fits, strict=True)]
     pair = pc.add(pc.multiply(links["a"].cast(pa.int64()), 1 << 32), links["b"].cast(pa.int64())).combine_chunks().dictionary_encode()
     counted = pa.table({"code": pair.indices}).group_by("code", use_threads=False).aggregate([([], "count_all")]).sort_by("code")
     keys = pair.dictionary.to_numpy(zero_copy_only=False)
-    n_links = np.bincount(links["text"].to_numpy(), minlength=len(texts))
+    n_links = np.bincount(a.text.take(links["at_a"]).to_numpy(), minlength=len(texts))
     first = lambda x, kind: pa.array([x] + [None] * (len(texts) - 1), pa.list_(kind))
     return {
         "n_a": pa.array(a.count),
