@@ -141,7 +141,7 @@ def mix(
     kept = [text.alias("text")] if texts else []
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), mark.alias("mark"), F.xxhash64(text).alias("same"), *kept)
     order = [F.col("source").asc_nulls_last(), F.col("mark"), F.col("size"), F.col("same")]
-    rows = ranged(sized, order, "streams")
+    rows = ranged(materialize(sized, "sized"), order, "streams")  # ranges are found in a read of their own
     sources = source_targets(rows, weights, share, repeats, block)
     # starts of sources in each range of the order, so that documents meet their source by range and a hot source stays split
     parts = rows.groupBy(PART, "source").agg(F.sum("size").alias("n")).join(sources.select(F.col("source").alias("_source"), "k", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source")))
