@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from feedloom.llm.wordpiece_counts import printable_bytes
 from feedloom.plans.persist import materialize
 
-#: Bytes of text in a piece, and of texts that a tokenizer has in hand at once.
-PIECE, AT_ONCE = 1 << 20, 1 << 18
-#: Where the first tokenizer may read a text in parts: before a space that a plain character follows. Its pattern never matches across such a
-#: place, and what stands before or behind it does not change its matches.
-APART = re.compile(r"(?= [^\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff])")
+#: Bytes of text in a piece, and characters of a line of its distinct parts.
+PIECE, AT_ONCE = 1 << 20, 1 << 11
+#: Where texts may be read in parts: before a space that stands behind another character and before a plain one. The first tokenizer's pattern
+#: never matches across such a place, nor has the second one a piece across it (checked when it is loaded), and what stands on one side does not
+#: change the tokens of the other.
+APART = re.compile(r"(?<=[^ ])(?= [^\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2581\u3000\ufeff])")
+PLAIN = re.compile(APART.pattern.removeprefix("(?<=[^ ])"))
 #: Pieces whose counts of one pair meet in one task.
 TOGETHER = 1024
 
@@ -50,54 +52,57 @@ class Tokenizers:
         b = self.b
         self.bytes_b = pa.array([bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())], pa.binary())
         self.length_a = pc.binary_length(self.bytes_a).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.length_b = pc.binary_length(self.bytes_b).to_numpy(zero_copy_only=False).astype(np.int64)
+        if any(re.search("[^▁]▁", b.id_to_piece(i)) for i in range(b.get_piece_size()) if not b.is_control(i)):
+            raise ValueError("the second tokenizer has pieces across words")
         n_a, n_b = len(self.bytes_a), len(self.bytes_b)
         self.starts = np.cumsum([0, n_a, n_a, n_b])
         self.written = pa.array([f"{i}{end}".encode() for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for i in range(n)], pa.binary())
 
-    def encode_a(self, texts: list[str]) -> pa.ListArray:
-        """Ids of the first tokenizer for each text behind a space. The parts of all texts that begin at a place of APART are
-        encoded once each, joined to long lines; the token ends in a line give back the ids of each part."""
+    def encode(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
+        """Ids of both tokenizers for each text; the first one reads a space before the text, which the second one adds. The distinct
+        parts of all texts are encoded once each, joined to long lines."""
         cut = [APART.split(" " + t) for t in texts]
-        cut = [parts if parts[0] else parts[1:] for parts in cut]
         per_text = np.array([len(p) for p in cut], np.int64)
         coded = pa.array([p for parts in cut for p in parts], pa.string()).dictionary_encode()
         parts, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        first, size = [], AT_ONCE
+        sizes = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
+        first, size, open_ = [], AT_ONCE, False
         for i, p in enumerate(parts):
-            if size + len(p) > AT_ONCE or p[0] != " " or not APART.match(p):
+            if not open_ or size + len(p) > AT_ONCE or not PLAIN.match(p):
                 first.append(i)
                 size = 0
             size += len(p)
-        lines = ["".join(parts[i:j]) for i, j in zip(first, [*first[1:], len(parts)], strict=True)]
-        ids, ends, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
-        for e in self.a.encode_batch_fast(lines, add_special_tokens=False):
-            ids.append(np.array(e.ids, np.int32))
-            ends.append(at + np.cumsum(self.length_a[ids[-1]]))
-            at = int(ends[-1][-1]) if len(ends[-1]) else at
-        ids_all, ends_all = np.concatenate(ids), np.concatenate(ends)
-        bounds = np.cumsum(pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64))
-        stop = np.searchsorted(ends_all, bounds, "left") + 1
-        if len(bounds) and not (stop[-1] == len(ends_all) and np.array_equal(ends_all[stop - 1], bounds)):
-            raise ValueError("a token of the first tokenizer crosses a place where its texts are cut")
-        start = np.concatenate([[0], stop[:-1]])
-        count = (stop - start)[code]
-        before = np.cumsum(count) - count
-        flat = ids_all[np.repeat(start[code] - before, count) + np.arange(int(count.sum()))]
-        upto = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(per_text)])]
-        return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(flat, pa.int32()))
-
-    def encode_b(self, texts: list[str]) -> pa.ListArray:
-        """Ids of the second tokenizer, which adds the space itself; at most AT_ONCE characters or one text at a time."""
-        ids, start = [], 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= AT_ONCE):
-                size += len(texts[stop])
-                stop += 1
-            ids.extend(np.array(x, np.int32) for x in self.b.encode(texts[start:stop], num_threads=1))
-            start = stop
-        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))
+            open_ = p[-1] != " "
+        spans = list(zip(first, [*first[1:], len(parts)], strict=True))
+        lines = ["".join(parts[i:j]) for i, j in spans]
+        of_a = [np.array(e.ids, np.int32) for e in self.a.encode_batch_fast(lines, add_special_tokens=False)]
+        of_b = [np.array(x, np.int32) for x in self.b.encode([x[1:] for x in lines], num_threads=1)]
+        out = []
+        for found, length, alone in ((of_a, self.length_a, None), (of_b, self.length_b, lambda some: self.b.encode([p[1:] for p in some], num_threads=1))):
+            ids, counts = [], []
+            for (i, j), x in zip(spans, found, strict=True):
+                ends, bounds = np.cumsum(length[x]), np.cumsum(sizes[i:j])
+                stop = np.searchsorted(ends, bounds) + 1
+                if len(ends) and stop[-1] == len(ends) and np.array_equal(ends[stop - 1], bounds):
+                    ids.append(x)
+                    counts.append(np.diff(stop, prepend=0))
+                elif alone is None:
+                    raise ValueError("a token of the first tokenizer crosses a place where its texts are cut")
+                else:  # a character that the second tokenizer does not give back
+                    ids.extend(each := [np.array(y, np.int32) for y in alone(parts[i:j])])
+                    counts.append(np.array([len(y) for y in each], np.int64))
+            out.append(_gathered(np.concatenate(ids), np.concatenate(counts), code, per_text))
+        return out[0], out[1]
+
+
+def _gathered(ids: np.ndarray, counts: np.ndarray, code: np.ndarray, per_text: np.ndarray) -> pa.ListArray:
+    """The ids of each text from those of its parts."""
+    start, count = (np.cumsum(counts) - counts)[code], counts[code]
+    before = np.cumsum(count) - count
+    flat = ids[np.repeat(start - before, count) + np.arange(int(count.sum()))]
+    upto = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(per_text)])]
+    return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(flat, pa.int32()))
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
@@ -149,7 +154,7 @@ class Side:
 def encoded(of: Tokenizers, texts: list[str]) -> tuple[Side, Side, np.ndarray]:
     """Both sides of the texts, without tokens where the joined bytes of either differ from a space and the text; and
     which texts have tokens."""
-    sides = [Side(of.encode_a(texts), of.bytes_a), Side(of.encode_b(texts), of.bytes_b)]
+    sides = [Side(x, v) for x, v in zip(of.encode(texts), (of.bytes_a, of.bytes_b), strict=True)]
     whole = [b" " + t.encode("utf-8", "surrogatepass") if t else None for t in texts]
     fits = np.array([w is not None and all(s.bytes_of(i) == w for s in sides) for i, w in enumerate(whole)], bool)
     if not fits.all():
