@@ -87,7 +87,15 @@ def take_apart(texts: list[bytes]) -> Words:
         at = np.cumsum(lengths) - lengths
         place = np.arange(len(letters)) - np.repeat(at, lengths)
         letters *= _powers[place & 63]
-        hashes = mix(np.add.reduceat(letters, at))
+        # blocks of 64 letters; those of a longer word are mixed with their number before they are added up
+        per = (lengths + 63) >> 6
+        first = np.cumsum(per) - per
+        number = np.arange(int(per.sum())) - np.repeat(first, per)
+        blocks = np.add.reduceat(letters, np.repeat(at, per) + 64 * number)
+        hashes = mix(blocks[first])
+        if len(blocks) > len(hashes):
+            mixed = mix(blocks + number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            hashes = np.where(per > 1, mix(np.add.reduceat(mixed, first)), hashes)
     else:
         hashes = np.zeros(0, np.uint64)
     text_ends = np.cumsum(sizes + 1)

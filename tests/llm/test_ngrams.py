@@ -101,3 +101,33 @@ def test_bands():
 
 def test_empty(spark):
     assert nj.ngram_classes(empty(spark)).count() == 0
+
+
+def test_long_words_with_blocks_in_another_order(spark):
+    """Words over 64 letters are told apart by the order of their blocks, and pieces of 64 letters and 65 are not mixed up."""
+    low, high = "a" * 63 + "b", "c" * 63 + "d"
+    texts = [low + high, high + low, low + high + "e", low, low + "a", low + high, high + low[:63]]
+    rows = [(k, " ".join([t] * 5 + [f"w{k}" for k in range(3)]), None, None, None) for k, t in enumerate(texts)]
+    got = check(spark, rows)
+    assert [r.n_links for r in sorted(got, key=lambda r: r.doc_id)] == [0] * 7
+
+
+def test_recall_on_the_supplied_documents(spark):
+    """Against all pairs: at least nine tenths of the links, and no pair that is not similar."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    grams = {t: sets(t) for t in set(texts.values())}
+    holders = {}
+    for t, g in grams.items():
+        for x in g:
+            holders.setdefault(x, []).append(t)
+    want = dict.fromkeys(grams, 0)
+    for t, g in grams.items():
+        shared = {}
+        for x in g:
+            for o in holders[x]:
+                shared[o] = shared.get(o, 0) + 1
+        want[t] = sum(1 for o, n in shared.items() if o != t and n / (len(g) + len(grams[o]) - n) >= 0.8)
+    got = {r.doc_id: r.n_links for r in nj.ngram_classes(docs).collect()}
+    assert all(got[i] <= want[t] for i, t in texts.items())
+    assert sum(got.values()) >= 0.9 * sum(want[t] for t in texts.values()) > 0
