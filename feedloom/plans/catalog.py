@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import dates, text, urls
 from feedloom.operators import labels, queues, render, state, stories
+from feedloom.plans.persist import shared_path
 from feedloom.plans.views import ORACLE, TODAY, Views, today
-from feedloom.sources import aggregator, cards, registry, rss, social
+from feedloom.schemas import CALENDAR
+from feedloom.sources import aggregator, cards, registry, retry_queue, rss, social
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -223,9 +225,30 @@ def recent_dates(v: Views) -> DataFrame:
     return queues.recent_dates(v.digests, v.topics).select(F.col("digest_date").cast("string").alias("digest_date"))
 
 
-@query("SELECT s.id, s.display_name, count(i.id) AS n_items FROM sources s LEFT JOIN items i ON i.source_id = s.id GROUP BY s.id, s.display_name")
+OUTCOMES = """
+o AS (SELECT 'src' || CAST(user_id % 20 AS VARCHAR) AS id, ts, event_id, event_type <> 'error' AS ok FROM events),
+h AS (SELECT id, list_reduce(list_prepend(1.0::DOUBLE, list(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY ts, event_id)), lambda a, x: 0.3::DOUBLE * x + 0.7::DOUBLE * a) AS health_score,
+  max(ts) FILTER (ok) AS last_success_at, CASE WHEN NOT arg_max(ok, {'ts': ts, 'id': event_id}) THEN 'error' END AS last_error FROM o GROUP BY id)
+"""
+
+
+def _checked_sources(v: Views) -> DataFrame:
+    """Sources after the outcomes of all fetches."""
+    return state.update_health(v.sources, v.outcomes.withColumn("source_id", F.concat(F.lit("src"), "source_id")))
+
+
+@query(
+    "+" + OUTCOMES + """ SELECT s.id, s.display_name, count(i.id) AS n_items, round(coalesce(any_value(health_score), 1.0), 9) AS health_score, epoch_us(any_value(last_success_at)) AS last_success
+FROM sources s LEFT JOIN items i ON i.source_id = s.id LEFT JOIN h ON h.id = s.id GROUP BY s.id, s.display_name"""
+)
 def source_board(v: Views) -> DataFrame:
-    return queues.source_board(v.sources, v.items).select("id", "display_name", "n_items")
+    out = queues.source_board(_checked_sources(v), v.items)
+    return out.select("id", "display_name", "n_items", F.round("health_score", 9).alias("health_score"), F.unix_micros("last_success_at").alias("last_success"))
+
+
+@query("+" + OUTCOMES + " SELECT s.id, round(coalesce(health_score, 1.0), 9) AS health_score, epoch_us(last_success_at) AS last_success, last_error FROM sources s LEFT JOIN h USING (id)")
+def update_health(v: Views) -> DataFrame:
+    return _checked_sources(v).select("id", F.round("health_score", 9).alias("health_score"), F.unix_micros("last_success_at").alias("last_success"), "last_error")
 
 
 @query("SELECT id, title FROM items WHERE source_id = 'src0' AND kind = 'event' AND (contains(lower(title), 'the') OR contains(lower(content), 'the'))")
@@ -478,13 +501,13 @@ def aggregator_items(v: Views) -> DataFrame:
     """
 WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
 f AS (SELECT 'https://www.xiaohongshu.com/explore/f' || CAST(conv_id % 50 AS VARCHAR) || '-' || CAST(turn AS VARCHAR) || '?xsec_token=tok' AS url, conv_id, turn,
-  CASE WHEN turn % 2 = 0 AND text <> '' THEN text ELSE 'plain' END AS title, role AS author FROM c WHERE k <= 10 AND turn % 4 <> 3)
-SELECT url, title, author FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY conv_id, turn) AS rn FROM f) WHERE rn = 1
+  CASE WHEN turn % 2 = 0 AND text <> '' THEN text ELSE 'plain' END AS title, role AS author, text AS content, 1700000000 + conv_id AS published_s FROM c WHERE k <= 10 AND turn % 4 <> 3)
+SELECT url, title, author, content, published_s FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY conv_id, turn) AS rn FROM f) WHERE rn = 1
 """,
     plain=True,
 )
 def social_items(v: Views) -> DataFrame:
-    return social.first_of_url(social.parse_social_search(v.search_payloads)).select("url", "title", "author")
+    return social.first_of_url(social.parse_social_search(v.search_payloads)).select("url", "title", "author", "content", F.unix_seconds("published_at").alias("published_s"))
 
 
 @query("SELECT conv_id, turn, trim(text) AS content, 'T' || CAST(turn AS VARCHAR) AS title FROM conversations WHERE turn % 5 <> 4 AND trim(text) <> ''", plain=True)
@@ -542,23 +565,41 @@ def bad_kinds(v: Views) -> DataFrame:
     return state.bad_kinds(v.items.select("id", F.when(F.col("id") % 10 == 3, F.lit("spam")).otherwise(F.col("kind")).alias("kind"))).select("id")
 
 
+def _bare(sql: str) -> str:
+    """SQL of text.strip_html for the entities that occur."""
+    tags = f"regexp_replace(regexp_replace(regexp_replace({sql}, '<style[^>]*>.*?</style>', ' ', 'gis'), '<script[^>]*>.*?</script>', ' ', 'gis'), '<[^>]+>', ' ', 'g')"
+    for entity, letter in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        tags = f"replace({tags}, '{entity}', '{letter}')"
+    return f"trim(regexp_replace({tags}, '\\s+', ' ', 'g'))"
+
+
 @query(
-    """+ x AS (SELECT doc_id AS n, CAST(doc_id // 20 AS VARCHAR) AS source_id FROM documents)
-SELECT source_id, 'https://r.example.com/' || CAST(n AS VARCHAR) AS url, CAST(DATE '2024-01-01' + CAST(n % 28 AS INT) AS VARCHAR) AS day FROM x"""
+    f"""+ x AS (SELECT doc_id AS n, CAST(doc_id // 20 AS VARCHAR) AS source_id, text FROM documents)
+SELECT source_id, 'https://r.example.com/' || CAST(n AS VARCHAR) AS url, {_bare("split_part(text, chr(10), 1)")} AS title, {_bare("'<p>' || replace(text, ']]>', '') || '</p>'")} AS content,
+  CAST(DATE '2024-01-01' + CAST(n % 28 AS INT) AS VARCHAR) AS day FROM x"""
 )
 def rss_items(v: Views) -> DataFrame:
-    return rss.parse_rss(v.rss_payloads).select("source_id", "url", F.to_date("published_at").cast("string").alias("day"))
+    return rss.parse_rss(v.rss_payloads).select("source_id", "url", "title", "content", F.to_date("published_at").cast("string").alias("day"))
+
+
+@query("SELECT CAST(g AS VARCHAR) AS source_id, g % 3 <> 1 AS ok, CAST(CASE WHEN g % 3 = 0 THEN n ELSE 0 END AS BIGINT) AS n_items FROM (SELECT doc_id // 20 AS g, count(*) AS n FROM documents GROUP BY 1)")
+def rss_outcomes(v: Views) -> DataFrame:
+    """One payload in three is malformed, one has no entries."""
+    n = F.col("source_id").cast("long") % 3
+    payloads = v.rss_payloads.withColumn("payload", F.when(n == 1, F.lit("<rss><channel>")).when(n == 2, F.lit("<rss><channel></channel></rss>")).otherwise(F.col("payload")))
+    return rss.rss_outcomes(payloads, rss.parse_rss(payloads))
 
 
 @query(
     f"""+ x AS (SELECT doc_id AS n, doc_id // 10 AS g, make_date(2024, CAST(doc_id % 12 + 1 AS INT), CAST(doc_id % 28 + 1 AS INT)) AS c FROM documents WHERE doc_id % 9 <> 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY g, n % 7 ORDER BY n) AS rn FROM x)
 SELECT g AS page_pos, 'https://www.huodongxing.com/event/' || CAST(n % 7 + g * 10 AS VARCHAR) AS url, 'AI ' || CAST(n AS VARCHAR) AS title, 'Org ' || CAST(n % 5 AS VARCHAR) AS author,
-  CAST(CASE WHEN date_diff('day', c, DATE '{TODAY}') > 30 THEN c + INTERVAL 1 YEAR ELSE c END AS DATE)::VARCHAR AS day FROM r WHERE rn = 1"""
+  '📅 时间: ' || d || chr(10) || '⏰ 原始时间表达: AI ' || CAST(n AS VARCHAR) || strftime(c, ' %m/%d 周六 09:00 ') || ['广东深圳', '上海', '线上活动'][n % 3 + 1] || ' Org ' || CAST(n % 5 AS VARCHAR) || ' 粉丝 12' || chr(10) || '📍 地点: ' || ['广东深圳', '上海', '线上'][n % 3 + 1] || chr(10) || '👤 主办方: Org ' || CAST(n % 5 AS VARCHAR) AS content, d AS day
+FROM (SELECT *, CAST(CASE WHEN date_diff('day', c, DATE '{TODAY}') > 30 THEN c + INTERVAL 1 YEAR ELSE c END AS DATE)::VARCHAR AS d FROM r WHERE rn = 1)"""
 )
 def event_cards(v: Views) -> DataFrame:
     out = cards.parse_event_cards(v.card_pages, today(), ["ai"])
-    return out.select("page_pos", "url", "title", "author", F.to_date("published_at").cast("string").alias("day"))
+    return out.select("page_pos", "url", "title", "author", "content", F.to_date("published_at").cast("string").alias("day"))
 
 
 @query("SELECT source_id, count(*) FILTER (id % 3 = 0) < count(*) OR sum(id % 4) > 0 AS ok, count(*) FILTER (id % 3 = 0) AS n_failed, CAST(sum(id % 4) AS BIGINT) AS n_items FROM items GROUP BY source_id")
@@ -668,11 +709,111 @@ def dash_near(v: Views) -> DataFrame:
     return near.select(F.col("previous_date").cast("string").alias("previous_date"), F.col("next_date").cast("string").alias("next_date"), "has_data")
 
 
-@query("SELECT i.source_id, i.id FROM items i WHERE i.source_id <> 'src1' AND i.source_id <> 'src2'")
+@query("SELECT source_id, id, NULL AS error FROM items WHERE source_id <> 'src1' AND source_id <> 'src2' UNION ALL SELECT DISTINCT source_id, NULL, 'unknown fetcher type: odd' FROM items WHERE source_id = 'src2'")
 def route_payloads(v: Views) -> DataFrame:
     """src1 is not enabled and src2's type is unknown."""
     kind = F.when(F.col("id") == "src2", F.lit("odd")).otherwise(F.col("fetcher_type"))
     sources = v.sources.withColumns({"fetcher_type": kind, "enabled": F.col("id") != "src1"})
     payloads = v.items.select("source_id", F.col("id").cast("string").alias("payload"))
-    found, _ = registry.route_payloads(payloads, sources, {"rss": lambda df: df.select("source_id", F.col("payload").cast("long").alias("id"))})
-    return found
+    found, failed = registry.route_payloads(payloads, sources, {"rss": lambda df: df.select("source_id", F.col("payload").cast("long").alias("id"))})
+    return found.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
+
+
+@query(
+    "+" + TOPICS + """ SELECT sha256(concat_ws('|', CAST(digest_date AS VARCHAR), CAST(pos AS VARCHAR), name)) AS id, name, summary, CAST(digest_date AS VARCHAR) AS digest_date FROM tr"""
+)
+def topic_records(v: Views) -> DataFrame:
+    made, _, _ = labels.record_topics(_topic_rows(v), F.lit("2024-03-02").cast("timestamp"))
+    return made.select("id", "name", "summary", F.col("digest_date").cast("string").alias("digest_date"))
+
+
+@query(
+    "+" + TOPICS + """ SELECT item_id, sha256(concat_ws('|', CAST(digest_date AS VARCHAR), CAST(pos AS VARCHAR), name)) AS topic_id, CAST(digest_date AS VARCHAR) AS digest_date
+FROM (SELECT *, unnest(list_concat([-1], ids)) AS item_id FROM tr)"""
+)
+def topic_assignments(v: Views) -> DataFrame:
+    """Recorded twice: the second time adds nothing."""
+    _, used, _ = labels.record_topics(_topic_rows(v), F.lit("2024-03-02").cast("timestamp"))
+    keys = ["item_id", "topic_id", "digest_date"]
+    out = state.merge_keyed(used.select(*keys, F.lit(1).alias("run")), used.select(*keys, F.lit(2).alias("run")), keys, "first_wins")
+    return out.select(F.col("item_id").cast("long").alias("item_id"), "topic_id", F.col("digest_date").cast("string").alias("digest_date"))
+
+
+@query(
+    "+" + TOPICS + """ SELECT (SELECT count(*) FROM items) AS candidates, (SELECT count(DISTINCT url) FROM items) AS after_dedup, (SELECT count(*) FROM tr) AS topics,
+CAST((SELECT sum(len(ids) + 1) FROM tr) AS BIGINT) AS assigned, (SELECT count(*) FROM items WHERE id % 3 <> 0) AS archived, (SELECT count(*) FROM items WHERE id % 3 = 0) AS failed"""
+)
+def digest_counters(v: Views) -> DataFrame:
+    archived = v.items.select((F.col("id") % 3 != 0).alias("ok"))
+    return render.digest_counters(v.items, v.items.select("url").distinct(), _topic_rows(v), archived)
+
+
+@query(
+    """SELECT CAST(digest_date AS VARCHAR) AS digest_date, '📰 AI 资讯日报 · ' || CAST(digest_date AS VARCHAR) || CASE WHEN push_attempts > 1 THEN ' #' || push_attempts ELSE '' END AS title, content_md AS content
+FROM digests WHERE id NOT IN ('d3', 'd4')"""
+)
+def daily_cards(v: Views) -> DataFrame:
+    blank = F.when(F.col("id").isin("d3", "d4"), F.lit(" ")).otherwise(F.col("content_md"))
+    out = render.render_daily_card(v.digests.withColumn("content_md", blank).withColumnRenamed("push_attempts", "attempt"))
+    return out.select(F.col("digest_date").cast("string").alias("digest_date"), F.get_json_object("payload", "$.card.header.title.content").alias("title"), F.get_json_object("payload", "$.card.elements[0].content").alias("content"))
+
+
+@query("SELECT CAST(digest_date AS VARCHAR) AS digest_date, content_md AS body FROM digests")
+def markdown_files(v: Views) -> DataFrame:
+    """The files of a first run, half of which a second run wrote anew."""
+    path = shared_path(v.spark, "markdown")
+    render.write_markdown(v.digests.withColumn("content_md", F.when(F.dayofmonth("digest_date") % 2 == 0, F.lit("old")).otherwise(F.col("content_md"))), path)
+    render.write_markdown(v.digests.filter(F.dayofmonth("digest_date") % 2 == 0), path)
+    rows = v.spark.read.schema("value string, digest_date string").option("wholetext", "true").text(path)
+    return rows.select("digest_date", F.regexp_replace("value", "\\n$", "").alias("body"))
+
+
+@query("SELECT id, event_date IS NOT NULL AS dated FROM items JOIN metadata ON item_id = id WHERE kind = 'event' AND event_date >= DATE '" + TODAY + "'")
+def missing_ledger(v: Views) -> DataFrame:
+    """What is to be put into the calendar as long as there is no ledger."""
+    ledger, exists = queues.ledger_or_empty(v.spark, "calendar_ledger_that_is_not_there", CALENDAR)
+    assert not exists
+    return queues.unsynced_calendar(v.items, v.metadata, ledger, today()).select("id", F.col("event_date").isNotNull().alias("dated"))
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'whole ' || id ELSE substr(content, 1, 200) END AS content FROM items")
+def enriched_items(v: Views) -> DataFrame:
+    items = v.items.select("id", F.concat(F.lit("f"), "id").alias("feed_id"), F.substring("content", 1, 200).alias("content"))
+    cache = v.items.filter("id % 3 <> 1").select(F.concat(F.lit("f"), "id").alias("feed_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("whole "), "id")).otherwise(F.lit("")).alias("content"))
+    return social.enrich_with_detail(items, cache).select("id", "content")
+
+
+@query("SELECT CAST(id AS VARCHAR) AS item_id, 'status ' || CAST(id % 7 AS VARCHAR) AS error, title FROM items WHERE id % 4 = 1")
+def queue_lines(v: Views) -> DataFrame:
+    """The retry queue, written in two goes and read back; lines that are no JSON stand between."""
+    path = shared_path(v.spark, "queue")
+    none = F.lit(None).cast("string")
+    items = v.items.select(F.col("id").cast("string").alias("item_id"), "title", "kind", "url", F.col("source_id").alias("source"), none.alias("summary"), none.alias("topic"), none.alias("digest_date"))
+    n = F.col("item_id").cast("long")
+    outcomes = items.select("item_id", (n % 4 != 1).alias("ok"), F.concat(F.lit("status "), (n % 7).cast("string")).alias("error"))
+    rows = render.retry_rows(outcomes, items, F.lit("2024-03-02").cast("timestamp"))
+    for part in (n % 8 == 1, n % 8 == 5):
+        retry_queue.append_queue(rows.filter(part).drop("item_id"), path)
+    v.items.filter("id % 4 = 0").select(F.concat(F.lit("{broken "), "id").alias("value")).write.mode("append").text(path)
+    return retry_queue.read_queue(v.spark, path).filter("item is not null").select("item.item_id", "error", "item.title")
+
+
+@query("SELECT id, 0 AS archive_attempts, 'none' AS note FROM items")
+def evolved_items(v: Views) -> DataFrame:
+    """Columns added twice."""
+    defaults = {"archive_attempts": F.lit(0), "note": F.lit("none"), "kind": F.lit("never used")}
+    return state.evolve_schema(state.evolve_schema(v.items, defaults), defaults).select("id", "archive_attempts", "note")
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE CAST(CAST(fetched_at AS DATE) AS VARCHAR) END AS day FROM items")
+def coerced_dates(v: Views) -> DataFrame:
+    """Dates of timestamps, of longer texts, and of texts that are too short."""
+    n = F.col("id") % 3
+    said = F.when(n == 0, F.lit("2024-03")).when(n == 1, F.concat(F.date_format("fetched_at", "yyyy-MM-dd"), F.lit("T10:00:00+08:00"))).otherwise(F.col("fetched_at").cast("string"))
+    return v.items.select("id", text.coerce_iso_date(said).cast("string").alias("day"))
+
+
+@query("SELECT id, url FROM (SELECT id, url, row_number() OVER (PARTITION BY source_id, url ORDER BY fetched_at, id) AS rn FROM items) WHERE rn = 1")
+def collapsed_items(v: Views) -> DataFrame:
+    """Items after the collapse, whose URLs are made anew from the raw ones."""
+    return stories.collapse_items(v.items, stories.collapse_plan(v.items)).select("id", "url")

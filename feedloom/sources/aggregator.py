@@ -32,21 +32,29 @@ def parse_aggregator_time(v: Column, tz: str = "Asia/Shanghai") -> Column:
     )
 
 
+def aggregator_entries(payload: Column, max_items: int = 30) -> Column:
+    """url, title, published_at of the first max_items entries of a payload; null where they are not what they should be."""
+    items = F.slice(F.try_variant_get(F.try_parse_json(payload), "$.items", "array<variant>"), 1, max_items)
+    filled = lambda i, path: F.nullif(text_at(i, path), F.lit(""))
+    return F.transform(items, lambda i: F.struct(filled(i, "$.url").alias("url"), filled(i, "$.title").alias("title"), parse_aggregator_time(i).alias("published_at")))
+
+
+def aggregator_error(payload: Column, entries: Column) -> Column:
+    """A payload without an items list fails."""
+    return F.when(entries.isNull(), F.lit("no items list"))
+
+
+def finish_aggregator(rows: DataFrame) -> DataFrame:
+    """Entries with url and title as items; content and author are null."""
+    none = F.lit(None).cast("string")
+    return rows.filter("url is not null and title is not null").withColumns({"content": none, "author": none})
+
+
 def parse_aggregator(payloads: DataFrame, max_items: int = 30) -> DataFrame:
     """Items of each payload (source_id, payload): the first max_items entries, of those the objects with text url and
     title; content and author are null."""
-    v = F.try_parse_json("payload")
-    rows = payloads.select("source_id", F.posexplode(F.try_variant_get(v, "$.items", "array<variant>")).alias("pos", "i")).filter(F.col("pos") < max_items)
-    i = F.col("i")
-    return rows.select(
-        "source_id",
-        "pos",
-        F.nullif(text_at(i, "$.url"), F.lit("")).alias("url"),
-        F.nullif(text_at(i, "$.title"), F.lit("")).alias("title"),
-        F.lit(None).cast("string").alias("content"),
-        F.lit(None).cast("string").alias("author"),
-        parse_aggregator_time(i).alias("published_at"),
-    ).filter("url is not null and title is not null")
+    rows = payloads.select("source_id", F.posexplode(aggregator_entries(F.col("payload"), max_items)).alias("pos", "i"))
+    return finish_aggregator(rows.select("source_id", "pos", "i.*")).select("source_id", "pos", "url", "title", "content", "author", "published_at")
 
 
 def aggregator_outcomes(payloads: DataFrame) -> DataFrame:

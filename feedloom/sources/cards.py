@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.dates import parse_relative_date
+from feedloom.sources.isolated import entries_or_error
 from feedloom.sources.registry import first_in_run
 
 #: Noise words in titles.
@@ -26,7 +25,6 @@ PLACES = [
     "线上", "全国", "线上活动",
 ]
 CARD = "search-tab-content-item-mesh"
-VOID = {"img", "br", "hr", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "track"}
 
 
 class _Cards(HTMLParser):
@@ -62,20 +60,22 @@ class _Cards(HTMLParser):
                 self.anchor[1].append(text)
 
 
-def raw_cards(pages: DataFrame) -> DataFrame:
-    """source_id, page_pos, pos, full_text, anchors of each card in pages (source_id, page_pos, payload)."""
-    schema = "source_id string, page_pos long, pos long, full_text string, anchors array<struct<href:string,text:string>>"
+#: What page_cards gives for each card.
+CARDS = "array<struct<full_text:string,anchors:array<struct<href:string,text:string>>>>"
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for source, page, html in zip(pdf["source_id"], pdf["page_pos"], pdf["payload"], strict=True):
-                parser = _Cards()
-                parser.feed(html or "")
-                out += [(source, page, i, " ".join(texts), [{"href": h, "text": "".join(t)} for h, t in anchors]) for i, (texts, anchors) in enumerate(parser.cards)]
-            yield pd.DataFrame(out, columns=["source_id", "page_pos", "pos", "full_text", "anchors"])
+def page_cards(html: str) -> list[dict]:
+    """full_text and anchors of each card of a page."""
+    parser = _Cards()
+    parser.feed(html)
+    return [{"full_text": " ".join(texts), "anchors": [{"href": h, "text": "".join(t)} for h, t in anchors]} for texts, anchors in parser.cards]
 
-    return pages.select("source_id", F.col("page_pos").cast("long").alias("page_pos"), "payload").mapInPandas(run, schema)
+
+def raw_cards(pages: DataFrame) -> DataFrame:
+    """source_id, page_pos, pos, full_text, anchors of each card in pages (source_id, page_pos, payload). A page that cannot be
+    taken apart has no cards; sources.isolated reports it."""
+    cards = F.posexplode(entries_or_error(page_cards, CARDS)(F.col("payload"))["entries"]).alias("pos", "i")
+    return pages.select("source_id", F.col("page_pos").cast("long").alias("page_pos"), cards).select("source_id", "page_pos", F.col("pos").cast("long").alias("pos"), "i.*")
 
 
 def extract_event_id(url: Column) -> Column:
@@ -108,7 +108,13 @@ def parse_event_cards(
     pages: DataFrame, today: Column, keywords: list[str] | None = None, exclude: list[str] | None = None, base_url: str = "https://www.huodongxing.com/", max_items: int = 20
 ) -> DataFrame:
     """Items of event cards: per page the first max_items that are accepted, one of each event."""
-    cards = raw_cards(pages)
+    return finish_cards(raw_cards(pages), today, keywords, exclude, base_url, max_items)
+
+
+def finish_cards(
+    cards: DataFrame, today: Column, keywords: list[str] | None = None, exclude: list[str] | None = None, base_url: str = "https://www.huodongxing.com/", max_items: int = 20
+) -> DataFrame:
+    """Cards (source_id, page_pos, pos, full_text, anchors) as items."""
     href = F.get(F.filter("anchors", lambda a: a["href"].rlike(r"^/event/\d+")), F.lit(0))["href"]
     cards = cards.withColumn("path", F.substring_index(href, "?", 1)).filter(F.col("path").isNotNull())
     same = F.filter("anchors", lambda a: (F.substring_index(a["href"], "?", 1) == F.col("path")) & (a["text"] != ""))
@@ -122,8 +128,6 @@ def parse_event_cards(
     lines = [time, F.concat(F.lit("⏰ 原始时间表达: "), "when.raw"), F.concat(F.lit("📍 地点: "), "location"), F.concat(F.lit("👤 主办方: "), "organizer")]
     rows = rows.withColumn("content", F.nullif(F.concat_ws("\n", *lines), F.lit("")))
     one = first_in_run(rows.withColumn("key", F.struct("source_id", "page_pos", "event_id")), "key", [F.col("pos")])
-
-
     kept = one.withColumn("nth", F.row_number().over(Window.partitionBy("source_id", "page_pos").orderBy("pos"))).filter(F.col("nth") <= max_items)
     noon = F.col("when.start").cast("timestamp") + F.expr("interval 12 hours")
     return kept.select("source_id", "page_pos", "pos", "url", "title", "content", F.col("organizer").alias("author"), noon.alias("published_at"))

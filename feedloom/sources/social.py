@@ -18,33 +18,39 @@ def envelope_text(payload: Column) -> Column:
     return F.get(F.filter(content, lambda x: (x["type"] == "text") & x["text"].isNotNull()), F.lit(0))["text"]
 
 
+def social_entries(payload: Column, max_per_keyword: int = 10) -> Column:
+    """The first entries of feeds of a search payload; null without a text block or a list."""
+    feeds = F.slice(F.try_variant_get(F.try_parse_json(envelope_text(payload)), "$.feeds", "array<variant>"), 1, max_per_keyword)
+    filled = lambda f, path: F.nullif(text_at(f, path), F.lit(""))
+    return F.transform(
+        feeds,
+        lambda f: F.struct(
+            filled(f, "$.id").alias("feed_id"),
+            F.concat(F.lit(NOTE_URL), filled(f, "$.id"), F.lit("?xsec_token="), filled(f, "$.xsecToken")).alias("url"),
+            F.coalesce(filled(f, "$.noteCard.displayTitle"), filled(f, "$.noteCard.title"), F.lit("")).alias("title"),
+            text_at(f, "$.noteCard.desc").alias("content"),
+            text_at(f, "$.noteCard.user.nickname").alias("author"),
+            F.timestamp_millis(number_at(f, "$.noteCard.createTime").cast("bigint")).alias("published_at"),
+        ),
+    )
+
+
+def social_error(payload: Column, entries: Column) -> Column:
+    """Text that is no JSON fails."""
+    text = envelope_text(payload)
+    return F.when(text.isNotNull() & F.try_parse_json(text).isNull(), F.lit("text is no JSON"))
+
+
 def parse_social_search(payloads: DataFrame, max_per_keyword: int = 10) -> DataFrame:
     """Items of search payloads (source_id, keyword, keyword_pos, payload): per keyword the first entries of feeds, those
     with id and token; no text block or no list gives none."""
-    v = F.try_parse_json(envelope_text(F.col("payload")))
-    feeds = payloads.select("source_id", "keyword", "keyword_pos", F.posexplode(F.try_variant_get(v, "$.feeds", "array<variant>")).alias("pos", "f"))
-    f = F.col("f")
-    feed, token = F.nullif(text_at(f, "$.id"), F.lit("")), F.nullif(text_at(f, "$.xsecToken"), F.lit(""))
-    filled = lambda path: F.nullif(text_at(f, path), F.lit(""))
-    rows = feeds.filter(F.col("pos") < max_per_keyword).select(
-        "source_id",
-        "keyword",
-        "keyword_pos",
-        "pos",
-        feed.alias("feed_id"),
-        F.concat(F.lit(NOTE_URL), feed, F.lit("?xsec_token="), token).alias("url"),
-        F.coalesce(filled("$.noteCard.displayTitle"), filled("$.noteCard.title"), F.lit("")).alias("title"),
-        text_at(f, "$.noteCard.desc").alias("content"),
-        text_at(f, "$.noteCard.user.nickname").alias("author"),
-        F.timestamp_millis(number_at(f, "$.noteCard.createTime").cast("bigint")).alias("published_at"),
-    )
-    return rows.filter(F.col("url").isNotNull())
+    rows = payloads.select("source_id", "keyword", "keyword_pos", F.posexplode(social_entries(F.col("payload"), max_per_keyword)).alias("pos", "f"))
+    return rows.select("source_id", "keyword", "keyword_pos", "pos", "f.*").filter(F.col("url").isNotNull())
 
 
 def search_failures(payloads: DataFrame) -> DataFrame:
     """source_id, keyword, failed: text that is no JSON is a failure of its keyword."""
-    text = envelope_text(F.col("payload"))
-    return payloads.select("source_id", "keyword", (text.isNotNull() & F.try_parse_json(text).isNull()).alias("failed"))
+    return payloads.select("source_id", "keyword", social_error(F.col("payload"), F.lit(None)).isNotNull().alias("failed"))
 
 
 def first_of_url(items: DataFrame) -> DataFrame:
