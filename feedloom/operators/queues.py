@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.dates import placeholder_date
 from feedloom.functions.text import titled
+from feedloom.operators.prefix import numbered, ranged
+
+#: Items of one page of a topic.
+PAGE = 1000
 
 
 def newest() -> list[Column]:
@@ -27,6 +31,17 @@ def unpushed_events(items: DataFrame, metadata: DataFrame, pushes: DataFrame, to
     return rows.orderBy(*newest())
 
 
+def write_assignments(rows: DataFrame, path: str) -> None:
+    """Add rows of the assignment ledger (item_id, topic_id, digest_date), a folder for each date, so that eligible_for_digest reads
+    the dates it asks for."""
+    rows.repartition("digest_date").write.mode("append").partitionBy("digest_date").parquet(path)
+
+
+def read_assignments(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger that write_assignments wrote."""
+    return spark.read.schema("item_id bigint, topic_id string, digest_date date").parquet(path)
+
+
 def eligible_for_digest(items: DataFrame, assignments: DataFrame, since: Column, limit: int = 50) -> DataFrame:
     """Labelled items that are no events and were in no digest since that date, the newest first."""
     used = assignments.filter(F.col("digest_date") >= since).select(F.col("item_id").alias("id"))
@@ -61,23 +76,20 @@ def digests_on(digests: DataFrame, day: Column) -> DataFrame:
     return digests.filter(F.col("digest_date") == day).orderBy("kind")
 
 
-def topics_on(topics: DataFrame, assignments: DataFrame, items: DataFrame, sources: DataFrame, day: Column) -> DataFrame:
-    """Topics of a day, each with its items (newest first); topics without items keep an empty list."""
+def topics_on(topics: DataFrame, assignments: DataFrame, items: DataFrame, sources: DataFrame, day: Column, page_size: int = PAGE) -> DataFrame:
+    """Topics of a day, each with its items (newest first) in pages of page_size from page 0 on; topics without items keep
+    an empty page."""
     of_day = topics.filter(F.col("digest_date") == day)
     used = assignments.filter(F.col("digest_date") == day).select("item_id", "topic_id")
     named = sources.select(F.col("id").alias("source_id"), "display_name")
     rows = used.join(items.withColumnRenamed("id", "item_id"), "item_id").join(named, "source_id", "left")
-    entry = F.struct(
-        (-F.coalesce(F.unix_seconds("published_at"), F.lit(-(1 << 60)))).alias("order"),
-        "item_id",
-        titled(F.col("title"), "(untitled)").alias("title"),
-        "url",
-        F.coalesce("display_name", "source_id").alias("source"),
-    )
-    listed = rows.groupBy("topic_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    rows = rows.select("topic_id", "item_id", titled(F.col("title"), "(untitled)").alias("title"), "url", F.coalesce("display_name", "source_id").alias("source"), "published_at")
+    order = [F.col("topic_id"), F.col("published_at").desc_nulls_last(), F.col("item_id")]
+    rows = numbered(ranged(rows, order, "topic-items"), order, "nth", ["topic_id"]).withColumn("page", F.expr(f"nth div {page_size}"))
+    listed = rows.groupBy("topic_id", "page").agg(F.array_sort(F.collect_list(F.struct("nth", "item_id", "title", "url", "source"))).alias("entries"))
     out = of_day.withColumnRenamed("id", "topic_id").join(listed, "topic_id", "left")
-    entries = F.transform(F.coalesce("entries", F.array().cast(listed.schema["entries"].dataType)), lambda e: e.dropFields("order"))
-    return out.select("topic_id", "name", "summary", entries.alias("items")).orderBy("topic_id")
+    entries = F.transform(F.coalesce("entries", F.array().cast(listed.schema["entries"].dataType)), lambda e: e.dropFields("nth"))
+    return out.select("topic_id", "name", "summary", F.coalesce("page", F.lit(0).cast("long")).alias("page"), entries.alias("items")).orderBy("topic_id", "page")
 
 
 def events_on(items: DataFrame, metadata: DataFrame, pushes: DataFrame, digests: DataFrame, day: Column) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import RICH_TEXT, titled
+from feedloom.operators.prefix import numbered, ranged, running_totals
 
 #: Wording of the rendered texts.
 DAILY, RADAR, PLACEHOLDER = "📰 AI 资讯日报 · ", "📡 AI 事件雷达 · ", "[日期待定] "
 BANNER = "⚠️ 日期未提取，请查看原文确认"
 PER_TOPIC, MAX_CHARS = 4, 2500
+#: Events of one card.
+PER_CARD = 1000
 
 
 def render_daily(topics: DataFrame, items: DataFrame, max_chars: int = MAX_CHARS, per_topic: int = PER_TOPIC) -> DataFrame:
@@ -18,7 +21,8 @@ def render_daily(topics: DataFrame, items: DataFrame, max_chars: int = MAX_CHARS
     published_at.
 
     A topic shows the first per_topic ids, unknown ones left out; topics without a line are skipped. Topics are shown
-    until the first that would overflow, but one always is. Days without any topic to show have no row.
+    until the first that would overflow, but one always is. Days without any topic to show have no row. Lengths are added up
+    in two levels, so a day of many topics is dealt over tasks; what is shown of it is short.
     """
     ids = topics.select("digest_date", "pos", "name", "summary", F.posexplode(F.slice("item_ids", 1, per_topic)).alias("at", "item_id"))
     day = F.date_format("published_at", "MM-dd")
@@ -27,10 +31,11 @@ def render_daily(topics: DataFrame, items: DataFrame, max_chars: int = MAX_CHARS
     chunks = lines.groupBy("digest_date", "pos", "name", "summary").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
     head = F.concat(F.lit("**"), "name", F.lit("**"), F.when(F.coalesce("summary", F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(" — "), "summary")))
     chunks = chunks.select("digest_date", "pos", F.concat_ws("\n", head, F.array_join("l.line", "\n")).alias("chunk"))
-    order = Window.partitionBy("digest_date").orderBy("pos")
+    order = [F.col("digest_date"), F.col("pos")]
+    before = {"run": F.length("chunk") + 2, "nth": F.lit(1)}
     title = F.concat(F.lit(DAILY), F.col("digest_date").cast("string"))
-    run = F.sum(F.length("chunk") + 2).over(order) + F.length(title) + 2
-    shown = chunks.withColumns({"title": title, "run": run, "nth": F.row_number().over(order)}).filter((F.col("run") <= max_chars) | (F.col("nth") == 1))
+    dealt = running_totals(ranged(chunks, order, "chunks"), order, before, ["digest_date"]).withColumn("title", title)
+    shown = dealt.filter((F.col("run") + F.length("chunk") + F.length("title") + 4 <= max_chars) | (F.col("nth") == 0))
     whole = shown.groupBy("digest_date", "title").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("c"))
     return whole.select("digest_date", F.concat("title", F.lit("\n\n"), F.array_join("c.chunk", "\n\n")).alias("content_md"))
 
@@ -61,10 +66,13 @@ def event_line() -> Column:
     return F.concat(F.lit("- "), F.concat_ws(" · ", *parts))
 
 
-def render_event_batch(events: DataFrame) -> DataFrame:
-    """digest_date, n_events, md, payload of events (digest_date, attempt, pos, title, url, ...); no events, no row."""
+def render_event_batch(events: DataFrame, per_card: int = PER_CARD) -> DataFrame:
+    """digest_date, n_events, md, payload of events (digest_date, attempt, pos, title, url, ...); no events, no row. A day of
+    more than per_card events has a card for each per_card of them, in order."""
     rows = events.select("digest_date", "attempt", "pos", event_line().alias("line"))
-    listed = rows.groupBy("digest_date", "attempt").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    order = [F.col("digest_date"), F.col("attempt"), F.col("pos"), F.col("line")]
+    rows = numbered(ranged(rows, order, "events"), order, "nth", ["digest_date", "attempt"]).withColumn("card", F.expr(f"nth div {per_card}"))
+    listed = rows.groupBy("digest_date", "attempt", "card").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
     n = F.size("l")
     title = F.concat(F.lit(RADAR), F.col("digest_date").cast("string"), suffix(F.col("attempt")), F.lit(" · "), n.cast("string"), F.lit(" 个新事件"))
     md = F.array_join("l.line", "\n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.operators.prefix import numbered, ranged
 from feedloom.schemas import KINDS
 
 
@@ -65,15 +66,13 @@ def upsert_sources(target: DataFrame, updates: DataFrame) -> DataFrame:
 def health_scores(outcomes: DataFrame, alpha: float = 0.3, start: float = 1.0) -> DataFrame:
     """source_id, health_score after folding ok in the order (ts, id): alpha * ok + (1 - alpha) * before.
 
-    The fold is a sum with weights that only depend on how many outcomes follow, so each source is reduced from chunks
-    of its history: nothing holds a whole history.
+    The fold is affine, so an outcome's share of the score depends only on how many outcomes follow it. Outcomes are numbered from the last one on
+    in two levels, whatever their source or minute, and their shares are added up: nothing holds a source's history or a part of it.
     """
-    chunk = outcomes.select("source_id", "ts", "id", F.col("ok").cast("int").cast("double").alias("ok"), F.date_trunc("hour", "ts").alias("hour"))
-    folded = chunk.groupBy("source_id", "hour").agg(F.array_sort(F.collect_list(F.struct("ts", "id", "ok"))).alias("rows"))
-    step = lambda acc, x: F.lit(alpha) * x["ok"] + F.lit(1 - alpha) * acc
-    part = folded.select("source_id", "hour", F.aggregate("rows", F.lit(0.0), step).alias("add"), F.pow(F.lit(1 - alpha), F.size("rows")).alias("keep"))
-    whole = part.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("hour", "add", "keep"))).alias("parts"))
-    return whole.select("source_id", F.aggregate("parts", F.lit(start), lambda acc, x: acc * x["keep"] + x["add"]).alias("health_score"))
+    order = [F.col("source_id"), F.col("ts").desc(), F.col("id").desc()]
+    rows = numbered(ranged(outcomes.select("source_id", "ts", "id", F.col("ok").cast("int").cast("double").alias("ok")), order, "outcomes"), order, "after", ["source_id"])
+    kept = F.pow(F.lit(1 - alpha), F.col("after"))
+    return rows.groupBy("source_id").agg((F.sum(alpha * F.col("ok") * kept) + start * F.pow(F.lit(1 - alpha), F.count("*"))).alias("health_score"))
 
 
 def update_health(sources: DataFrame, outcomes: DataFrame, alpha: float = 0.3) -> DataFrame:

@@ -152,14 +152,23 @@ def unpushed_events(v: Views) -> DataFrame:
     return queues.unpushed_events(v.items, v.metadata, v.pushes, today()).select("id", "title", F.col("event_date").cast("string").alias("event_date"))
 
 
-@query(
-    """SELECT id, title, kind FROM items i WHERE kind IN ('news', 'tool', 'other') AND classified_at IS NOT NULL
+ELIGIBLE = """SELECT id, title, kind FROM items i WHERE kind IN ('news', 'tool', 'other') AND classified_at IS NOT NULL
 AND NOT EXISTS (SELECT 1 FROM assignments a WHERE a.item_id = i.id AND a.digest_date >= DATE '2024-01-13') ORDER BY published_at DESC NULLS LAST, fetched_at DESC, id LIMIT 200"""
-)
+
+
+@query(ELIGIBLE)
 def digest_eligible(v: Views) -> DataFrame:
     return queues.eligible_for_digest(v.items, v.assignments, F.lit("2024-01-13").cast("date"), 200).select("id", "title", "kind")
 
 
+@query(ELIGIBLE)
+def digest_eligible_by_date(v: Views) -> DataFrame:
+    """The same from a ledger on disk, of which only the dates asked for are read."""
+    path = shared_path(v.spark, "assignments")
+    queues.write_assignments(v.assignments, path)
+    return queues.eligible_for_digest(v.items, queues.read_assignments(v.spark, path), F.lit("2024-01-13").cast("date"), 200).select("id", "title", "kind")
+
+
 PENDING = """SELECT i.id AS item_id, coalesce(nullif(title, ''), '(untitled event)') AS title, CAST(coalesce(event_date, DATE '{t}' + 7) AS VARCHAR) AS event_date, event_date IS NULL AS is_placeholder_date
 FROM items i JOIN metadata m ON m.item_id = i.id WHERE kind = 'event' AND i.id NOT IN (SELECT item_id FROM ledger) AND ({c})"""
 
@@ -190,9 +199,10 @@ def dash_digests(v: Views) -> DataFrame:
 
 
 @query(
-    f"""SELECT t.id AS topic_id, t.name, t.summary, coalesce(string_agg(i.title || '/' || coalesce(s.display_name, i.source_id), ';' ORDER BY i.published_at DESC NULLS LAST, i.id), '') AS items
-FROM topics t LEFT JOIN assignments a ON a.topic_id = t.id AND a.digest_date = t.digest_date LEFT JOIN items i ON i.id = a.item_id LEFT JOIN sources s ON s.id = i.source_id
-WHERE t.digest_date = DATE '{TODAY}' GROUP BY t.id, t.name, t.summary"""
+    f"""SELECT topic_id, name, summary, page, coalesce(string_agg(line, ';' ORDER BY nth), '') AS items FROM (
+  SELECT t.id AS topic_id, t.name, t.summary, i.title || '/' || coalesce(s.display_name, i.source_id) AS line, row_number() OVER w AS nth, (row_number() OVER w - 1) // 1000 AS page
+  FROM topics t LEFT JOIN assignments a ON a.topic_id = t.id AND a.digest_date = t.digest_date LEFT JOIN items i ON i.id = a.item_id LEFT JOIN sources s ON s.id = i.source_id
+  WHERE t.digest_date = DATE '{TODAY}' WINDOW w AS (PARTITION BY t.id ORDER BY i.published_at DESC NULLS LAST, i.id)) GROUP BY topic_id, name, summary, page"""
 )
 def dash_topics(v: Views) -> DataFrame:
     rows = queues.topics_on(v.topics, v.assignments, v.items, v.sources, today())
