@@ -30,6 +30,8 @@ from feedloom.operators.components import connected_components
 from feedloom.plans.persist import materialize
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES, LEADERS = 5, 0.8, 0.9995, 128, 1
+#: Rows of an Arrow batch whose texts are Python objects at a time.
+ROWS = 256
 #: Sets and bytes of text of a component's block, and n-grams that two blocks are compared on at a time.
 BLOCK, BLOCK_BYTES, COLUMNS = 512, 16 << 20, 4096
 
@@ -119,13 +121,20 @@ def similar(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.nd
     return both / (sizes - both) >= threshold
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ROWS rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _signed(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_key, digest of the n-gram set (null without words) and band hashes of every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             texts = batch.column("text").to_pylist()
             digests, keys = [None] * len(texts), [None] * len(texts)
             for a, b in steps(texts):
@@ -152,7 +161,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
-        for batch in batches:
+        for batch in _few(batches):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             found = []
             for key, x, y in zip(a, batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
@@ -181,7 +190,7 @@ def _rest(open_: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataF
     sides = open_.join(major, ["band", "hash"]).groupBy("digest").agg(F.any_value("component").alias("component"), F.max(F.col("component") != F.col("major")).alias("minor"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             grams = [g.view(np.int64) for g in ngram_sets(batch.column("text").to_pylist(), n)]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(grams, pa.list_(pa.int64()))], names=["digest", "grams"])
 
