@@ -14,6 +14,10 @@ from feedloom.functions.urls import strip
 
 #: Lengths, in code points.
 SNIPPET, CONTENT, RICH_TEXT = 200, 1500, 2000
+#: What is unwrapped, dropped with its contents, and dropped from HTML.
+CDATA = r"(?s)<!\[CDATA\[(.*?)\]\]>"
+BLOCKS = r"(?is)<(style|script)[^>]*>.*?</\1>"
+TAGS = r"<[^>]+>"
 
 
 @F.pandas_udf(StringType())
@@ -25,9 +29,9 @@ def _unescape(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def strip_html(col: Column) -> Column:
     """Text of an HTML fragment: CDATA unwrapped, style and script dropped, tags to spaces, entities decoded, white space
     collapsed. Null and '' stay. Only rows with an & go through Python."""
-    s = F.regexp_replace(col, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    s = F.regexp_replace(s, r"(?is)<(style|script)[^>]*>.*?</\1>", " ")
-    s = F.regexp_replace(s, r"<[^>]+>", " ")
+    s = F.regexp_replace(col, CDATA, "$1")
+    s = F.regexp_replace(s, BLOCKS, " ")
+    s = F.regexp_replace(s, TAGS, " ")
     s = F.when(s.contains("&"), _unescape(F.when(s.contains("&"), s))).otherwise(s)
     return strip(F.regexp_replace(s, r"(?U)\s+", " "))
 

@@ -114,14 +114,6 @@ def deliver_stream(
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def near_pairs_stream(left: DataFrame, right: DataFrame, window: str = "24 hours") -> DataFrame:
-    """Edges between items of two streams (id, title_key, published_at) with one title key at most the window apart; the
-    watermark bounds the state. Closure stays a batch job."""
-    a = left.withWatermark("published_at", window).select(F.col("id").alias("a"), F.col("title_key").alias("ka"), F.col("published_at").alias("ta"))
-    b = right.withWatermark("published_at", window).select(F.col("id").alias("b"), F.col("title_key").alias("kb"), F.col("published_at").alias("tb"))
-    return a.join(b, F.expr(f"ka = kb and a < b and tb between ta - interval {window} and ta + interval {window}")).select("a", "b")
-
-
 def file_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Landed payload files as a stream."""
     return spark.readStream.schema(schema).json(path)
