@@ -45,6 +45,9 @@ class Recent:
     def __init__(self, make: Callable[[list[str]], list]):
         self.make, self.newer, self.older = make, {}, {}
 
+    def forget(self) -> None:
+        self.newer, self.older = {}, {}
+
     def __call__(self, distinct: list[str]) -> dict[str, object]:
         """The values of keys that are all different; those not remembered are made together."""
         if len(self.newer) >= REMEMBERED:
@@ -334,10 +337,14 @@ def encode_decode(
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern, spaces)
-        for batch in batches:
-            out = [finish(*x) for x in own.encode_texts(batch.column("text"))]
-            columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=names)
+        try:
+            for batch in batches:
+                out = [finish(*x) for x in own.encode_texts(batch.column("text"))]
+                columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=names)
+        finally:  # workers live on and serve other stages
+            own.pieces.forget()
+            own.parts.forget()
 
     def pre_tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path, pattern, spaces)
