@@ -87,11 +87,54 @@ def test_license(spark):
     assert got[103].labels == ["cc-by", "cc-by-nc-4.0"]
     assert (got[5].n_words, got[5].labels, got[5].score) == (0, [], 0.0)
     assert ls.license_scan(frame(spark, rows)).count() == len(rows)
-    wrapped = ["# Licensed under the Apache License,\n# Version 2.0", "x\nPermission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software and associated\ndocumentation files", "Licensed under the Apache License\n" + "other line\n" * 9 + "Version 2.0"]
-    found = {r.doc_id: r for r in ls.license_scan(frame(spark, [(k, t, None, None, None) for k, t in enumerate(wrapped)])).collect()}
-    assert [found[k].labels for k in range(3)] == [["apache-2.0"], ["mit-grant"], []]
-    assert [b.line for b in found[1].blocks] == [1]
     assert ls.license_scan(empty(spark)).count() == 0
+    none = ls.license_scan(frame(spark, rows), templates={}, phrases={}).collect()
+    assert len(none) == len(rows) and not any(r.labels or r.n_base or r.score for r in none)
+
+
+def test_license_lines_do_not_matter(spark):
+    header = ls.TEMPLATES["apache-2.0-header"].split()
+    texts = [
+        "# Licensed under the Apache License,\n# Version 2.0",
+        "x\nPermission is\nhereby granted,\nfree of charge,\nto any person\nobtaining a copy\nof this software and associated\ndocumentation files",
+        "Licensed under the Apache License\n" + "other line\n" * 9 + "Version 2.0",
+        "mit filler released x under y the z license " + "word " * 3000,
+        "word " * 1020 + "\n# ".join(" ".join(header[k : k + 4]) for k in range(0, len(header), 4)) + " word" * 2000,
+    ]
+    found = {r.doc_id: r for r in ls.license_scan(frame(spark, [(k, t, None, None, None) for k, t in enumerate(texts)])).collect()}
+    assert [found[k].labels for k in range(4)] == [["apache-2.0"], ["mit-grant"], [], []]
+    assert found[4].labels == ["apache-2.0", "apache-2.0-grant", "apache-2.0-header"] and found[4].score == 1.0
+    assert [b.start for b in found[1].blocks][0] == 1
+
+
+def test_license_phrases_overlap(spark):
+    got = ls.license_scan(frame(spark, [(1, "a a a b a a", None, None, None)]), phrases={"a a": "aa"}).first()
+    assert (got.n_base, got.first_word, got.last_word, got.base_labels) == (3, 0, 4, ["aa"])
+
+
+@pytest.mark.parametrize("terms", [ls.MAX_TERMS, -1])
+def test_license_blocks(spark, monkeypatch, terms):
+    """Against every window of every text, with segments of a few words; with a broadcast index and with a shuffled one."""
+    import math
+    import random
+
+    monkeypatch.setattr(ls, "MAX_TERMS", terms)
+    r = random.Random(5)
+    templates = {f"t{k}": " ".join(r.choice("abcdefghij") for _ in range(n)) for k, n in enumerate((1, 4, 9, 14))} | {"blank": " - "}
+    texts = [" ".join(r.choice("abcdefghijklmnopqrstuvw"[: r.choice((8, 12, 23))]) for _ in range(r.randrange(90))) for _ in range(60)]
+    got = ls.license_scan(frame(spark, [(k // 2, t, None, None, None) for k, t in enumerate(texts)]), templates, {}, containment=0.7, segment=7).collect()
+    want = []
+    for k, t in enumerate(texts):
+        w, blocks = t.split(), []
+        for label, of in templates.items():
+            own = set(of.split()) - {"-"}
+            width = math.ceil(len(of.split()) * 1.25 - 1e-9)
+            for i in range(len(w)):
+                share = len(own & set(w[i : i + width])) / max(len(own), 1)
+                if w[i] in own and share >= 0.7 - 1e-9:
+                    blocks.append((label, i, share))
+        want.append((k // 2, sorted(blocks), sorted({b[0] for b in blocks})))
+    assert sorted((x.doc_id, [tuple(b) for b in x.blocks], x.labels) for x in got) == sorted(want)
 
 
 def test_hilbert_curve():
