@@ -4,11 +4,13 @@
 2. Salted groups: (digest, content, salt) is merged next. The salt is the id's block of BLOCK consecutive ids, so a
    group lists at most BLOCK distinct ids, however many copies a text has. Null ids of a text are one group, and rows
    that repeat an id are in one group, whatever their number.
-3. Globally: the salts' winners of one (digest, content) are combined; the map side reduces them once more. A text with
-   copies in many blocks lists one winner for each.
+3. Globally: salts are dealt over SHARDS by their hash, winners and counts of a (digest, content, shard) are combined,
+   then those of the shards, of which a text has at most SHARDS. No list of salts is ever made, so the ids of a hot text
+   may be as sparse as they like.
 
 The full content is part of every grouping key, so two texts that shared a digest would stay apart there. The join of
-the salts' members with what was decided has the digest, the salt and the winner's id as its key, not the content.
+the salts' members with what was decided has the digest, the shard and the content's length and hash as its key, not
+the content; a hot text is SHARDS keys there.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 #: Runs of space, tab, line feed, vertical tab, form feed and carriage return count as one space.
 WHITE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 BLOCK = 4096
+SHARDS = 256
 
 
 def normalized(text: Column) -> Column:
@@ -26,7 +29,7 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), WHITE, " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal normalised texts the row with the smallest id is kept. Null and empty texts are equal to each other. A
@@ -41,26 +44,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id")).alias("member"),
     )
     salted = rows.groupBy("digest", "content", "salt").agg(F.collect_list("member").alias("members"))
-    salted = salted.withColumn("winner", F.array_min("members"))
-    whole = salted.groupBy("digest", "content").agg(
-        F.min("winner").alias("keep"),
-        F.sum(F.size("members").cast("long")).alias("group_size"),
-        F.collect_list(F.struct("salt", "winner")).alias("parts"),
+    salted = salted.withColumns(
+        {"winner": F.array_min("members"), "shard": F.pmod(F.xxhash64("salt"), F.lit(shards)), "length": F.octet_length("content"), "hash": F.xxhash64("content")}
     )
-    parts = whole.select("digest", "keep", "group_size", F.explode("parts").alias("part")).select(
-        "digest", "keep", "group_size", "part.salt", F.col("part.winner").alias("winner")
-    )
-    members = salted.select("digest", "salt", "winner", "members")
-    joined = members.alias("m").join(
-        parts.alias("p"),
-        (F.col("m.digest") == F.col("p.digest")) & (F.col("m.salt") == F.col("p.salt")) & F.col("m.winner").eqNullSafe(F.col("p.winner")),
+    sharded = salted.groupBy("digest", "content", "shard", "length", "hash").agg(F.min("winner").alias("winner"), F.sum(F.size("members").cast("long")).alias("size"))
+    whole = sharded.groupBy("digest", "content", "length", "hash").agg(
+        F.min("winner").alias("keep"), F.sum("size").alias("group_size"), F.collect_list("shard").alias("in_shards")
     )
+    parts = whole.select("digest", "length", "hash", "keep", "group_size", F.explode("in_shards").alias("shard"))
+    members = salted.select("digest", "shard", "length", "hash", "winner", "members")
+    joined = members.join(parts, ["digest", "shard", "length", "hash"])
     listed = joined.select(
-        F.col("m.digest").alias("text_sha256"),
-        F.col("p.keep").alias("keep"),
-        "p.group_size",
-        F.col("m.winner").eqNullSafe(F.col("p.keep")).alias("holds_winner"),
-        F.posexplode(F.array_sort("m.members")).alias("nth", "member"),
+        F.col("digest").alias("text_sha256"),
+        "keep",
+        "group_size",
+        F.col("winner").eqNullSafe(F.col("keep")).alias("holds_winner"),
+        F.posexplode(F.array_sort("members")).alias("nth", "member"),
     )
     return listed.select(
         F.col("member.id").alias("doc_id"),

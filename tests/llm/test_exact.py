@@ -24,6 +24,15 @@ def test_hard_rows(spark):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_sparse_ids(spark):
+    """Copies whose ids all fall into blocks of their own meet over the shards."""
+    rows = [(k * 1_000_003 - 5_000_000, "hot text" if k % 3 else f"text {k}", None, None, None) for k in range(3000)]
+    got = exact_dedup.exact_dedup(frame(spark, rows), shards=3).collect()
+    hot = [r for r in got if r.group_size > 1]
+    assert len(got) == 3000 and len(hot) == 2000 and {r.group_size for r in hot} == {2000}
+    assert {r.keep_id for r in hot} == {1_000_003 - 5_000_000} and [r.doc_id for r in hot if r.kept] == [1_000_003 - 5_000_000]
+
+
 def test_one_of_each(spark):
     df = clashing(frame(spark))
     got = exact_dedup.distinct_documents(df)
