@@ -76,7 +76,7 @@ class Codec:
     encoded once, and the ids and bytes of texts are joined from them column by column.
     """
 
-    def __init__(self, path: str, pattern: str, spaces: bool = True):
+    def __init__(self, path: str, pattern: str, spaces: bool = False):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.raw = [b""] * (max(self.ranks.values()) + 1)
@@ -262,7 +262,7 @@ class Codec:
 _codecs: dict[tuple[str, str, bool], Codec] = {}
 
 
-def codec(path: str, pattern: str, spaces: bool = True) -> Codec:
+def codec(path: str, pattern: str, spaces: bool = False) -> Codec:
     """The vocabulary, read once per Python worker."""
     if (path, pattern, spaces) not in _codecs:
         _codecs[path, pattern, spaces] = Codec(path, pattern, spaces)
@@ -321,11 +321,11 @@ IDS_SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded binary"
 
 
 def encode_decode(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP, spaces: bool = True
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP, spaces: bool = False
 ) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids, decoded bytes; with digests, the SHA-256 of the ids joined by
-    commas and of the decoded bytes instead. spaces must be False for a pattern with matches that hold a space behind
-    another character than white space (see Codec).
+    commas and of the decoded bytes instead. spaces=True is for patterns without matches that hold a space behind
+    another character than white space, and only faster (see Codec).
 
     Null and empty texts have no tokens. Repeated rows each give their row; null ids are kept. An empty table gives an
     empty result. Other columns, whatever their names, are not looked at. A lone surrogate cannot occur in Spark strings.

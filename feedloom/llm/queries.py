@@ -44,7 +44,7 @@ def op5_hilbert_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
+    return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True, spaces=True)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def library():
 @pytest.mark.parametrize(("chunk", "overlap"), [(16384, 256), (64, 16), (7, 3), (50, 1)])
 def test_like_the_library(spark, library, chunk, overlap):
     df = clashing(frame(spark))
-    got = byte_bpe.encode_decode(df, PATH, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap).collect()
+    got = byte_bpe.encode_decode(df, PATH, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap, spaces=True).collect()
     want = sorted((str(i), library.encode_ordinary(t or ""), (t or "").encode()) for i, t, *_ in hard_rows())
     assert sorted((str(r.doc_id), r.ids, bytes(r.decoded)) for r in got) == want
     assert all(r.n_tokens == len(r.ids) for r in got)
@@ -38,7 +38,7 @@ def test_digests(spark, library):
 
 
 def test_long_runs(library):
-    own = byte_bpe.codec(PATH, public_tokenizers.PATTERN)
+    own = byte_bpe.codec(PATH, public_tokenizers.PATTERN, spaces=True)
     for t in ("a" * 3000, "ab" * 999, "é" * 500, " " * 1000 + "x", "the" * 400, "0" * 777):
         assert own.encode_pieces(pa.array(own.pattern.findall(t), pa.large_string())) == (",".join(map(str, library.encode_ordinary(t))), t.encode())
 
@@ -61,7 +61,7 @@ def test_white_space():
 def test_forgets(library, monkeypatch):
     """Results do not depend on what is remembered."""
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 3)
-    own = byte_bpe.Codec(PATH, public_tokenizers.PATTERN)
+    own = byte_bpe.Codec(PATH, public_tokenizers.PATTERN, spaces=True)
     for t in [words(i, 50) for i in range(5)] * 2:
         assert next(own.encode_texts(pa.array([t]))) == (",".join(map(str, library.encode_ordinary(t))), t.encode())
 
@@ -78,3 +78,13 @@ def test_query(spark, library, tmp_path):
 
 def test_empty(spark):
     assert byte_bpe.encode_decode(empty(spark), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_other_patterns(spark):
+    """By default nothing is cut at spaces, so a pattern whose matches hold them is encoded match by match."""
+    pattern = r"[a-z]+ [a-z]+|\s|\S+?"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    enc = tiktoken.Encoding("pairs", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rows = [(k, t, None, None, None) for k, t in enumerate(["of the of the and", "in to in\nthat is", "a b c d " * 50, ""])]
+    got = byte_bpe.encode_decode(frame(spark, rows), PATH, pattern, chunk=64, overlap=16).collect()
+    assert {r.doc_id: r.ids for r in got} == {k: enc.encode_ordinary(t) for k, t, *_ in rows}
