@@ -4,9 +4,9 @@
 2. Salted groups: (digest, content, salt) is merged next. The salt is the id's block of BLOCK consecutive ids, so a
    group lists at most BLOCK distinct ids, however many copies a text has. Null ids of a text are one group, and rows
    that repeat an id are in one group, whatever their number.
-3. Globally: salts are dealt over SHARDS by their hash, winners and counts of a (digest, content, shard) are combined,
-   then those of the shards, of which a text has at most SHARDS. No list of salts is ever made, so the ids of a hot text
-   may be as sparse as they like.
+3. Globally: the salts' winners and counts of one (digest, content) are combined, on the map side first, with the set of
+   the shards that the salts' hashes fall into, of which there are SHARDS. No list of salts is ever made, so the ids of
+   a hot text may be as sparse as they like.
 
 The full content is part of every grouping key, so two texts that shared a digest would stay apart there. The join of
 the salts' members with what was decided has the digest, the shard and the content's length and hash as its key, not
@@ -44,12 +44,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id")).alias("member"),
     )
     salted = rows.groupBy("digest", "content", "salt").agg(F.collect_list("member").alias("members"))
-    salted = salted.withColumns(
-        {"winner": F.array_min("members"), "shard": F.pmod(F.xxhash64("salt"), F.lit(shards)), "length": F.octet_length("content"), "hash": F.xxhash64("content")}
-    )
-    sharded = salted.groupBy("digest", "content", "shard", "length", "hash").agg(F.min("winner").alias("winner"), F.sum(F.size("members").cast("long")).alias("size"))
-    whole = sharded.groupBy("digest", "content", "length", "hash").agg(
-        F.min("winner").alias("keep"), F.sum("size").alias("group_size"), F.collect_list("shard").alias("in_shards")
+    # never null, or else the join asks for it on one side only and the salted groups are made twice
+    shard = F.coalesce(F.pmod(F.xxhash64("salt"), F.lit(shards)), F.lit(0))
+    salted = salted.withColumns({"winner": F.array_min("members"), "shard": shard, "length": F.octet_length("content"), "hash": F.xxhash64("content")})
+    whole = salted.groupBy("digest", "content", "length", "hash").agg(
+        F.min("winner").alias("keep"), F.sum(F.size("members").cast("long")).alias("group_size"), F.collect_set("shard").alias("in_shards")
     )
     parts = whole.select("digest", "length", "hash", "keep", "group_size", F.explode("in_shards").alias("shard"))
     members = salted.select("digest", "shard", "length", "hash", "winner", "members")
