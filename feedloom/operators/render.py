@@ -67,8 +67,8 @@ def event_line() -> Column:
 
 
 def render_event_batch(events: DataFrame, per_card: int = PER_CARD) -> DataFrame:
-    """digest_date, n_events, md, payload of events (digest_date, attempt, pos, title, url, ...); no events, no row. A day of
-    more than per_card events has a card for each per_card of them, in order."""
+    """digest_date, n_events, md, payload, attempt, card of events (digest_date, attempt, pos, title, url, ...); no events, no row. A day of
+    more than per_card events has a card for each per_card of them, in order from 0."""
     rows = events.select("digest_date", "attempt", "pos", event_line().alias("line"))
     order = [F.col("digest_date"), F.col("attempt"), F.col("pos"), F.col("line")]
     rows = numbered(ranged(rows, order, "events"), order, "nth", ["digest_date", "attempt"]).withColumn("card", F.expr(f"nth div {per_card}"))
@@ -76,7 +76,13 @@ def render_event_batch(events: DataFrame, per_card: int = PER_CARD) -> DataFrame
     n = F.size("l")
     title = F.concat(F.lit(RADAR), F.col("digest_date").cast("string"), suffix(F.col("attempt")), F.lit(" · "), n.cast("string"), F.lit(" 个新事件"))
     md = F.array_join("l.line", "\n")
-    return listed.select("digest_date", n.cast("long").alias("n_events"), md.alias("md"), card(title, "blue", md).alias("payload"))
+    return listed.select("digest_date", n.cast("long").alias("n_events"), md.alias("md"), card(title, "blue", md).alias("payload"), "attempt", "card")
+
+
+def event_days(cards: DataFrame) -> DataFrame:
+    """digest_date, attempt, n_events, md of whole days, from the cards of render_event_batch: one text a day, its cards in order."""
+    days = cards.groupBy("digest_date", "attempt").agg(F.sum("n_events").alias("n_events"), F.array_sort(F.collect_list(F.struct("card", "md"))).alias("c"))
+    return days.select("digest_date", "attempt", "n_events", F.array_join("c.md", "\n").alias("md"))
 
 
 def render_daily_card(digests: DataFrame) -> DataFrame:

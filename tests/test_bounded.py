@@ -72,6 +72,9 @@ def test_cards_of_a_day(spark):
     got = sorted(render.render_event_batch(events, per_card=10).collect(), key=lambda r: int(r.md.split("**")[1][1:]))
     assert [r.n_events for r in got] == [10, 10, 5]
     assert [line.split("**")[1] for r in got for line in r.md.split("\n")] == [f"e{i}" for i in range(25)]
+    day = render.event_days(render.render_event_batch(events.repartition(5), per_card=2)).collect()
+    assert [r.n_events for r in day] == [25]
+    assert [line.split("**")[1] for line in day[0].md.split("\n")] == [f"e{i}" for i in range(25)]
 
 
 def test_ledger_reads_the_dates_asked_for(spark, tmp_path):
