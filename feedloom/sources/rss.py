@@ -21,9 +21,15 @@ _RAW = "array<struct<url:string,title:string,content:string,author:string,time:s
 
 def rss_entries(payload: Column, max_items: int = 50) -> Column:
     """The first max_items items or entries of a payload, in order, as they stand in it."""
-    rss, atom, none = F.from_xml(payload, f"struct<{_RSS}>"), F.from_xml(payload, f"struct<{_ATOM}>"), F.array().cast(_ITEM)
+    # the feed as a lambda's variable, so that the payload is parsed once, in both shapes
+    feed = F.from_xml(payload, f"struct<{_RSS}, {_ATOM}>")
+    return F.get(F.transform(F.array(feed), lambda f: _feed_entries(f, max_items)), F.lit(0))
+
+
+def _feed_entries(feed: Column, max_items: int) -> Column:
+    none = F.array().cast(_ITEM)
     items = F.transform(
-        F.concat(F.coalesce(rss["channel"]["item"], none), F.coalesce(rss["item"], none)),
+        F.concat(F.coalesce(feed["channel"]["item"], none), F.coalesce(feed["item"], none)),
         lambda i: F.struct(
             i["link"].alias("url"),
             i["title"].alias("title"),
@@ -34,7 +40,7 @@ def rss_entries(payload: Column, max_items: int = 50) -> Column:
     )
     alternate = lambda link: F.coalesce(link["_rel"], F.lit("alternate")) == "alternate"
     entries = F.transform(
-        atom["entry"],
+        feed["entry"],
         lambda i: F.struct(
             F.coalesce(F.get(F.filter(i["link"], alternate), F.lit(0))["_href"], F.get(i["link"], F.lit(0))["_href"]).alias("url"),
             i["title"]["_VALUE"].alias("title"),

@@ -61,3 +61,27 @@ def test_each_payload_by_itself(spark):
 def test_nothing(spark):
     out = parsed(spark, [], [])
     assert out.items.count() == out.dead_letters.count() == out.outcomes.count() == 0
+
+
+def test_one_scan_without_a_shuffle_by_source(spark, monkeypatch):
+    """All types are taken from one scan, and payloads do not meet by their source, of which there are few."""
+    plans = []
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(isolated, "materialize", written)
+    monkeypatch.setattr(isolated, "ITEM", ["source_id", "x"])
+    one = isolated.PayloadParser.of_columns(lambda p: F.array(F.struct(p.alias("x"))), lambda p, e: F.when(p == "bad", F.lit("no")), lambda rows: rows)
+    payloads = spark.range(60).select((F.col("id") % 3).cast("string").alias("source_id"), F.when(F.col("id") % 10 == 0, F.lit("bad")).otherwise(F.lit("good")).alias("payload"))
+    sources = spark.range(3).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("t"), F.col("id") % 2).alias("fetcher_type"), F.lit(True).alias("enabled"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = isolated.parse_isolated(payloads, sources, {"t0": one, "t1": one})
+        assert len(plans) == 1 and "hashpartitioning(source_id" not in plans[0] and "BroadcastHashJoin" in plans[0]
+        assert sorted((r.source_id, r.ok, r.n_payloads, r.n_failed, r.n_items) for r in got.outcomes.collect()) == [(str(i), True, 20, 2, 18) for i in range(3)]
+        assert got.items.count() == 54 and got.dead_letters.count() == 6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
