@@ -110,3 +110,20 @@ def test_what_never_works_expires(spark, tmp_path):
     finally:
         q.stop()
     assert timers.finished(spark, str(tmp_path / "w")).count() == 0
+
+
+def test_waiting_ends_only_without_progress():
+    """Work that takes longer than the limit goes on as long as some of it gets done."""
+    from types import SimpleNamespace
+
+    import pytest
+
+    from feedloom.plans.stream_catalog import _wait
+
+    query, done = SimpleNamespace(isActive=True, exception=lambda: None), iter(range(100))
+    _wait(query, lambda: next(done), 5, seconds=0.5)
+    with pytest.raises(TimeoutError):
+        _wait(query, lambda: 3, 5, seconds=0.5)
+    query.isActive = False
+    with pytest.raises(RuntimeError):
+        _wait(query, lambda: 3, 5)
