@@ -19,7 +19,6 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -29,45 +28,45 @@ from pyspark.sql import functions as F
 CHUNK, OVERLAP = 16384, 256
 #: Characters past a pre-token's end that its match can depend on.
 LOOKAHEAD = 3
-#: Keys in the newer half of what a Python worker remembers, and the longest of them; characters encoded at a time.
-REMEMBERED, LONGEST, STEP = 3 << 16, 64, 3 << 20
+#: Pre-tokens of which the ids are kept from earlier steps, and the longest that are merged side by side; characters encoded at a time.
+REMEMBERED, LONGEST, STEP = 1 << 16, 64, 3 << 20
 #: White space of Unicode, with the separators that Python's isspace counts too.
 WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space at a text's start or behind white space.
 OPEN = f"^ |[{WHITE}] "
+#: Pre-tokens merged side by side.
+BLOCK = 1 << 13
 #: Above every rank.
 NONE = (1 << 31) - 1
 
 
-class Recent:
-    """Values of keys seen lately: once there are REMEMBERED of them they become the older half, and the half before goes."""
+class Ragged:
+    """Lists of ids, one behind the other: list k is ids[bounds[k] : bounds[k + 1]]."""
 
-    def __init__(self, make: Callable[[list[str]], list]):
-        self.make, self.newer, self.older = make, {}, {}
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray):
+        self.ids, self.bounds = ids, bounds
 
-    def forget(self) -> None:
-        self.newer, self.older = {}, {}
+    def take(self, at: np.ndarray) -> Ragged:
+        counts = np.diff(self.bounds)[at]
+        bounds = np.append(0, np.cumsum(counts))
+        return Ragged(self.ids[np.repeat(self.bounds[:-1][at] - bounds[:-1], counts) + np.arange(bounds[-1])], bounds)
 
-    def __call__(self, distinct: list[str]) -> dict[str, object]:
-        """The values of keys that are all different; those not remembered are made together."""
-        if len(self.newer) >= REMEMBERED:
-            self.older, self.newer = self.newer, {}
-        newer, older = self.newer, self.older
-        out = {k: newer[k] if k in newer else older.get(k) for k in distinct}
-        new = [k for k, v in out.items() if v is None]
-        out.update(zip(new, self.make(new), strict=True))
-        newer.update((k, v) for k, v in out.items() if len(k) <= LONGEST)
-        return out
+    def grouped(self, firsts: np.ndarray) -> Ragged:
+        """The lists from each of firsts to the next as one list."""
+        return Ragged(self.ids, self.bounds[firsts])
 
+    def __add__(self, other: Ragged) -> Ragged:
+        return Ragged(np.concatenate([self.ids, other.ids]), np.concatenate([self.bounds, other.bounds[1:] + self.bounds[-1]]))
 
-def together(found: list[tuple[str, bytes]]) -> tuple[str, bytes]:
-    if len(found) == 1:
-        return found[0]
-    return ",".join([ids for ids, _ in found]), b"".join([raw for _, raw in found])
+
+def joined(column: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """The strings between bounds as one, with commas between them; bytes without."""
+    between = "," if pa.types.is_large_string(column.type) else b""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), column), pa.scalar(between, column.type))
 
 
 class Codec:
-    """Merge ranks of one vocabulary, and what was encoded lately. What is encoded is given as its ids, written in
+    """Merge ranks of one vocabulary, and pre-tokens encoded lately. What is encoded is given as its ids, written in
     decimals and joined by commas, and the bytes that they decode to.
 
     spaces tells that a space behind another character than white space always starts a pre-token, as in patterns whose
@@ -79,10 +78,11 @@ class Codec:
     def __init__(self, path: str, pattern: str, spaces: bool = False):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.raw = [b""] * (max(self.ranks.values()) + 1)
+        raw = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
-            self.raw[rank] = piece
-        self.decimal = [str(i) for i in range(len(self.raw))]
+            raw[rank] = piece
+        self.raw = pa.array(raw, pa.large_binary())
+        self.decimal = pa.array(map(str, range(len(raw))), pa.large_string())
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         # pairs of ids whose bytes together have a rank, as one sorted number each
         pairs = {
@@ -96,52 +96,78 @@ class Codec:
         self.pair_keys = np.append(keys[order], np.int64(-1))
         self.pair_ranks = np.append(np.fromiter(pairs.values(), np.int32, len(pairs))[order], NONE).astype(np.int32)
         self.pattern, self.spaces = regex.compile(pattern), spaces
-        self.pieces, self.parts = Recent(self.merge_all), Recent(self.encode_parts)
+        own = Ragged(np.arange(len(raw), dtype=np.int32), np.arange(len(raw) + 1))
+        # pre-tokens with their ids, the vocabulary first
+        self.known, self.known_ids, self.fixed = self.raw, own, len(raw)
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.pair_keys[:-1], key)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
 
-    def merge_all(self, pieces: list[str]) -> list[tuple[str, bytes]]:
+    def ids_of(self, pieces: pa.Array) -> Ragged:
+        """The ids of different pre-tokens."""
+        pieces = pieces.cast(pa.large_binary())
+        at = pc.index_in(pieces, value_set=self.known)
+        found, new = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), pieces.filter(at.is_null())
+        known, before = self.known_ids, len(self.known)
+        if len(new):
+            merged = self.merge_all(new)
+            known = known + merged
+            found[at.is_null().to_numpy(zero_copy_only=False)] = before + np.arange(len(new))
+            kept = np.arange(max(self.fixed, before + len(new) - REMEMBERED), before + len(new))
+            column = pa.concat_arrays([self.known, new])
+            self.known = pa.concat_arrays([self.raw, column.take(pa.array(kept))])
+            self.known_ids = known.take(np.append(np.arange(self.fixed), kept))
+        return known.take(found)
+
+    def merge_all(self, pieces: pa.Array) -> Ragged:
         """Each pre-token encoded: the pair of lowest rank merges first, the leftmost of equals; pieces of like sizes
         go on side by side, one merge of each at a time."""
-        data = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        found = [(self.decimal[r], d) if (r := self.ranks.get(d)) is not None else None for d in data]
-        sizes = np.fromiter(map(len, data), np.int64, len(data))
-        todo = np.array([i for i, f in enumerate(found) if f is None], np.int64)
-        width = 8
-        while len(todo):
-            if width > LONGEST:
-                for i in todo.tolist():
-                    found[i] = self.written(self.merge_long(data[i]))
-                break
-            now, todo = todo[sizes[todo] <= width], todo[sizes[todo] > width]
-            for k in range(0, len(now), 1 << 15):
-                rows = now[k : k + (1 << 15)]
-                for i, ids in zip(rows.tolist(), self.merge_short([data[i] for i in rows], sizes[rows], width), strict=True):
-                    found[i] = self.written(ids)
-            width *= 2
-        return found
-
-    def merge_short(self, data: list[bytes], sizes: np.ndarray, width: int) -> list[list[int]]:
-        bytes_ = np.frombuffer(b"".join([d.ljust(width, b"\0") for d in data]), np.uint8).reshape(len(data), width)
-        ids, left = self.byte[bytes_], sizes.copy()
+        starts = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+        data, sizes = np.frombuffer(pieces.buffers()[2], np.uint8), np.diff(starts)
+        rows, lists, counts = [], [], np.zeros(len(pieces), np.int64)
+        low, width = 0, 8
+        while width <= LONGEST:
+            now = np.flatnonzero((sizes > low) & (sizes <= width))
+            for k in range(0, len(now), BLOCK):
+                some = now[k : k + BLOCK]
+                spread = np.minimum(starts[some][:, None] + np.arange(width), len(data) - 1)
+                ids, counts[some] = self.merge_short(self.byte[data[spread]], sizes[some])
+                rows.append(some)
+                lists.append(ids[np.arange(width) < counts[some][:, None]])
+            low, width = width, width * 2
+        for i in np.flatnonzero(sizes > low).tolist():
+            ids = self.merge_long(data[starts[i] : starts[i + 1]].tobytes())
+            counts[i] = len(ids)
+            rows.append(np.array([i]))
+            lists.append(np.array(ids, np.int32))
+        order = np.concatenate(rows)
+        merged = Ragged(np.concatenate(lists), np.append(0, np.cumsum(counts[order])))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return merged.take(back)
+
+    def merge_short(self, ids: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids: a pre-token a row, the ids of its bytes, of which the first left count. Rows and counts after all merges."""
+        ids, counts, left = ids.astype(np.int32), left.copy(), left.copy()
+        out, row = ids.copy(), np.arange(len(ids))
         ranks = self.pair_rank(ids[:, :-1], ids[:, 1:])
-        ranks[np.arange(width - 1) >= left[:, None] - 1] = NONE
-        row, out = np.arange(len(data)), [[]] * len(data)
+        ranks[np.arange(ids.shape[1] - 1) >= left[:, None] - 1] = NONE
         while len(row):
+            here = np.arange(len(row))
             at = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(row), np.int64)
-            least = ranks[np.arange(len(row)), at] if ranks.shape[1] else np.full(len(row), NONE)
+            least = ranks[here, at] if ranks.shape[1] else np.full(len(row), NONE)
             done = least == NONE
-            for i, n, own in zip(row[done].tolist(), left[done].tolist(), ids[done].tolist(), strict=True):
-                out[i] = own[:n]
-            go = ~done
-            row, ids, left, ranks, at, least = row[go], ids[go], left[go] - 1, ranks[go], at[go], least[go]
-            if not len(row):
-                break
+            if done.any():
+                ended = row[done]
+                out[ended, : ids.shape[1]], counts[ended] = ids[done], left[done]
+                go = ~done
+                row, ids, left, ranks, at, least = row[go], ids[go], left[go], ranks[go], at[go], least[go]
+                if not len(row):
+                    break
             # the merged token's id is its rank; what stands behind moves up
-            here, column = np.arange(len(row)), np.arange(ids.shape[1] - 1)
+            left, here, column = left - 1, np.arange(len(row)), np.arange(ids.shape[1] - 1)
             ids[here, at] = least
             ids = np.where(column <= at[:, None], ids[:, :-1], ids[:, 1:])
             column = column[:-1]
@@ -149,7 +175,7 @@ class Codec:
             before, behind = np.flatnonzero(at > 0), np.flatnonzero(at < left - 1)
             ranks[before, at[before] - 1] = self.pair_rank(ids[before, at[before] - 1], least[before])
             ranks[behind, at[behind]] = self.pair_rank(least[behind], ids[behind, at[behind] + 1])
-        return out
+        return out, counts
 
     def merge_long(self, data: bytes) -> list[int]:
         """A heap of pairs over a linked list: n log n."""
@@ -177,37 +203,53 @@ class Codec:
                 offer(left[i])
         return [ranks[data[i : end[i]]] for i in range(n) if alive[i]]
 
-    def written(self, ids: list[int]) -> tuple[str, bytes]:
-        return ",".join([self.decimal[i] for i in ids]), b"".join([self.raw[i] for i in ids])
-
-    def encode_parts(self, parts: list[str]) -> list[tuple[str, bytes]]:
-        split = [self.pattern.findall(" " + p) for p in parts]
-        known = self.pieces(list(set(chain.from_iterable(split))))
-        return [known[pieces[0]] if len(pieces) == 1 else together([known[p] for p in pieces]) for pieces in split]
+    def encode_parts(self, parts: list[str], behind: str = " ") -> Ragged:
+        """The ids of each part, which stands behind a space, or behind nothing."""
+        # parts that nothing about the next one can change are read as one text
+        plain = np.array([behind != "" and p != "" and p[-1] not in WHITE for p in parts], bool)
+        some = [p for p, z in zip(parts, plain.tolist(), strict=True) if z]
+        text = "".join([" " + p for p in some])
+        pieces = self.pattern.findall(text)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        counts = np.zeros(len(parts), np.int64)
+        if len(text) != (ends[-1] if len(ends) else 0):
+            # the pattern leaves characters out
+            plain[:], some, pieces = False, [], []
+        else:
+            stops = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            counts[plain] = np.diff(np.searchsorted(ends, stops, "right"), prepend=0)
+        split = [self.pattern.findall(behind + parts[i]) for i in np.flatnonzero(~plain).tolist()]
+        counts[~plain] = np.fromiter(map(len, split), np.int64, len(split))
+        coded = pa.array(chain(pieces, chain.from_iterable(split)), pa.large_string()).dictionary_encode()
+        ids = self.ids_of(coded.dictionary).take(coded.indices.to_numpy(zero_copy_only=False))
+        order = np.append(np.flatnonzero(plain), np.flatnonzero(~plain))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return ids.grouped(np.append(0, np.cumsum(counts[order]))).take(back)
+
+    def columns(self, lists: Ragged) -> tuple[pa.Array, pa.Array]:
+        """Decimals and bytes of each list of ids."""
+        ids = pa.array(lists.ids)
+        return joined(self.decimal.take(ids), lists.bounds), joined(self.raw.take(ids), lists.bounds)
 
     def encode_pieces(self, pieces: pa.Array) -> tuple[str, bytes]:
         """The pre-tokens of one text, encoded."""
-        ids, raw = self.joined(pieces, np.array([0, len(pieces)]), self.pieces)
-        return ids[0].as_py(), raw[0].as_py()
+        return self.encode_spans(pieces, np.array([0, len(pieces)]))[0]
 
-    def joined(self, words: pa.Array, offsets: np.ndarray, recent: Recent, heads: list[str] | None = None) -> tuple[pa.Array, pa.Array]:
-        """Ids and bytes of the texts of which the words start at offsets; heads stand for the texts' first words."""
+    def encode_spans(self, pieces: pa.Array, bounds: np.ndarray) -> list[tuple[str, bytes]]:
+        """Texts encoded, of which the pre-tokens stand between bounds."""
+        coded = pieces.dictionary_encode()
+        ids, raw = self.columns(self.ids_of(coded.dictionary))
+        return list(zip(*[joined(c.take(coded.indices), bounds).to_pylist() for c in (ids, raw)], strict=True))
+
+    def encode_words(self, words: pa.Array, bounds: np.ndarray) -> list[pa.Array]:
+        """Ids and bytes of the texts of which the parts stand between bounds."""
+        heads = words.take(pa.array(bounds[:-1])).to_pylist()
         coded = words.dictionary_encode()
-        keys, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        known = recent(keys)
-        values = [known[k] for k in keys]
-        if heads is not None:
-            at = at.copy()
-            at[offsets[:-1]] = len(values) + np.arange(len(heads))
-            split = [self.pattern.findall(h) for h in heads]
-            first = self.pieces(list(set(chain.from_iterable(split))))
-            values += [together([first[p] for p in pieces]) for pieces in split]
-        out = []
-        for i, kind, between in ((0, pa.large_string(), ","), (1, pa.large_binary(), b"")):
-            column = pa.array([v[i] for v in values], kind).take(pa.array(at))
-            lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), column)
-            out.append(pc.binary_join(lists, pa.scalar(between, kind)))
-        return out[0], out[1]
+        at = coded.indices.to_numpy(zero_copy_only=False).copy()
+        at[bounds[:-1]] = len(coded.dictionary) + np.arange(len(heads))
+        lists = self.encode_parts(coded.dictionary.to_pylist()) + self.encode_parts(heads, "")
+        return [joined(c.take(pa.array(at)), bounds) for c in self.columns(lists)]
 
     def encode_texts(self, texts: pa.Array) -> Iterator[tuple[str, bytes]]:
         """Each text encoded; texts of about STEP characters at a time."""
@@ -223,11 +265,11 @@ class Codec:
             if len(split):
                 offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
                 words = split.flatten()
-                groups.append((np.flatnonzero(plain), self.joined(words, offsets, self.parts, words.take(pa.array(offsets[:-1])).to_pylist())))
+                groups.append((np.flatnonzero(plain), self.encode_words(words, offsets)))
             if rest:
                 offsets = np.cumsum([0, *map(len, rest)])
                 words = pa.array(list(chain.from_iterable(rest)), pa.large_string())
-                groups.append((np.flatnonzero(~plain), self.joined(words, offsets, self.parts, [parts[0] for parts in rest])))
+                groups.append((np.flatnonzero(~plain), self.encode_words(words, offsets)))
             found: list[tuple[str, bytes]] = [("", b"")] * (b - a)
             for at, (ids, raw) in groups:
                 for i, x, y in zip(at.tolist(), ids.to_pylist(), raw.to_pylist(), strict=True):
@@ -305,6 +347,25 @@ def pieces_at(text: str, starts: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
+def whole_texts(batches: Iterable[pa.RecordBatch], chunk: int, overlap: int, own: Codec) -> Iterator[tuple[int | None, int, str, np.ndarray]]:
+    """Id, repeats, text and starts of pre-tokens of each text, of which the chunks come in order, repeated ones side by side."""
+    key, parts, chains, repeats = None, [], [], 0
+    for batch in batches:
+        columns = [batch.column(c) for c in ("doc_id", "sha", "k", "part", "starts")]
+        for i in range(batch.num_rows):
+            doc_id, sha, k = (c[i].as_py() for c in columns[:3])
+            if (doc_id, sha) != key:
+                if key is not None:
+                    yield key[0], repeats, (text := "".join(parts)), stitch(text, chunk, chains, own, overlap)
+                key, parts, chains, repeats = (doc_id, sha), [], [], 0
+            if k == len(parts):
+                parts.append(columns[3][i].as_py())
+                chains.append(np.frombuffer(columns[4][i].as_py(), "<i4") + np.int64(k * chunk))
+            repeats += k == 0
+    if key is not None:
+        yield key[0], repeats, (text := "".join(parts)), stitch(text, chunk, chains, own, overlap)
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -335,33 +396,44 @@ def encode_decode(
     kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), pa.list_(pa.int32()), pa.binary()]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
+    def batch_of(ids: list[int | None], found: Iterable[tuple[str, bytes]]) -> pa.RecordBatch:
+        out = [finish(*x) for x in found]
+        columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names=names)
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern, spaces)
-        try:
-            for batch in batches:
-                out = [finish(*x) for x in own.encode_texts(batch.column("text"))]
-                columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=names)
-        finally:  # workers live on and serve other stages
-            own.pieces.forget()
-            own.parts.forget()
-
-    def pre_tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path, pattern, spaces)
-        for pdf in batches:
-            found = [own.starts(t, int(k) * chunk, bool(z)) for k, t, z in zip(pdf["k"], pdf["part"], pdf["last"], strict=True)]
-            yield pdf.assign(starts=[x.astype("<i8").tobytes() for x in found], part=[t if z else t[:chunk] for t, z in zip(pdf["part"], pdf["last"], strict=True)])
+        for batch in batches:
+            yield batch_of(batch.column("doc_id"), own.encode_texts(batch.column("text")))
 
-    def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pre_tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern, spaces)
+        for batch in batches:
+            starts, parts = [], []
+            for part, last in zip(batch.column("part"), batch.column("last").to_pylist(), strict=True):
+                text = part.as_py()
+                starts.append(own.starts(text, 0, last).astype("<i4").tobytes())
+                parts.append(text if last else text[:chunk])
+            keys = [batch.column(c) for c in ("doc_id", "sha", "k")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(parts, pa.string()), pa.array(starts, pa.binary())], names=["doc_id", "sha", "k", "part", "starts"])
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern, spaces)
-        repeats = int((pdf["k"] == 0).sum())
-        one = pdf.drop_duplicates("k").sort_values("k")
-        text = "".join(one["part"])
-        at = stitch(text, chunk, [np.frombuffer(x, "<i8") for x in one["starts"]], own, overlap)
-        out = finish(*own.encode_pieces(pieces_at(text, at)))
-        row = [pdf["doc_id"].iloc[0], *out]
-        frame = pd.DataFrame([row] * repeats, columns=names)
-        return frame.astype({"doc_id": "Int64"})
+        held, size = [], 0
+
+        def encoded() -> pa.RecordBatch:
+            bounds = np.append(0, np.cumsum([len(pieces) for _, _, pieces in held]))
+            found = own.encode_spans(pa.concat_arrays([pieces for _, _, pieces in held]), bounds)
+            return batch_of(*zip(*[(i, x) for (i, n, _), x in zip(held, found, strict=True) for _ in range(n)], strict=True))
+
+        for doc_id, repeats, text, at in whole_texts(batches, chunk, overlap, own):
+            held.append((doc_id, repeats, pieces_at(text, at)))
+            size += len(text)
+            if size >= STEP:
+                yield encoded()
+                held, size = [], 0
+        if held:
+            yield encoded()
 
     short = rows.filter(F.length("text") <= chunk).mapInArrow(whole, schema)
     n = F.ceil(F.length("text") / F.lit(chunk)).cast("int")
@@ -372,5 +444,6 @@ def encode_decode(
         .select("doc_id", "sha", "k", (F.col("k") == F.col("n") - 1).alias("last"), F.expr(f"substring(text, k * {chunk} + 1, {chunk + overlap})").alias("part"))
     )
     spread = chunks.repartition("doc_id", "sha", "k")
-    long = spread.mapInPandas(pre_tokenise, "doc_id long, sha string, k int, last boolean, part string, starts binary").groupBy("doc_id", "sha").applyInPandas(join_up, schema)
+    cut = spread.mapInArrow(pre_tokenise, "doc_id long, sha string, k int, part string, starts binary")
+    long = cut.repartition("doc_id", "sha").sortWithinPartitions("doc_id", "sha", "k").mapInArrow(join_up, schema)
     return short.unionByName(long)

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import tracemalloc
 
 import public_tokenizers
 import pyarrow as pa
@@ -66,6 +67,42 @@ def test_forgets(library, monkeypatch):
         assert next(own.encode_texts(pa.array([t]))) == (",".join(map(str, library.encode_ordinary(t))), t.encode())
 
 
+class Counted:
+    def __init__(self, pattern):
+        self.pattern, self.calls = pattern, 0
+
+    def findall(self, text):
+        self.calls += 1
+        return self.pattern.findall(text)
+
+
+def test_distinct_words_together(library):
+    """Words never seen before are split by a few calls of the pattern, and little of them is kept afterwards."""
+    own = byte_bpe.Codec(PATH, public_tokenizers.PATTERN, spaces=True)
+    own.pattern = Counted(own.pattern)
+    texts = [" ".join(f"w{n * 7919:x}q{n}" for n in range(k, k + 1000)) for k in range(0, 200_000, 1000)]
+    texts += ["ends in white\n", "at the end ", " at the start", "a \nb c\u2003", "", "one"]
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    got = [hashlib.sha256(ids.encode() + raw).digest() for ids, raw in own.encode_texts(pa.array(texts))]
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert got == [hashlib.sha256(",".join(map(str, library.encode_ordinary(t))).encode() + t.encode()).digest() for t in texts]
+    assert own.pattern.calls < 1000
+    assert kept < 16 << 20
+
+
+def test_long_texts_in_order(spark, library):
+    """Chunks of several long texts, repeated rows, one id with two texts and a null id, in one partition."""
+    long = [words(i, 300) for i in range(6)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(long)]
+    rows += [rows[2], rows[2], (3, long[4], None, None, None), (None, long[5], None, None, None), (None, long[0], None, None, None)]
+    df = frame(spark, rows).coalesce(1)
+    got = byte_bpe.encode_decode(df, PATH, public_tokenizers.PATTERN, chunk=100, overlap=9, spaces=True).collect()
+    want = sorted((str(i), library.encode_ordinary(t), t.encode()) for i, t, *_ in rows)
+    assert sorted((str(r.doc_id), r.ids, bytes(r.decoded)) for r in got) == want
+
+
 def test_query(spark, library, tmp_path):
     """The registered query over a folder of its own, with a text of over a megabyte."""
     rows = [*hard_rows(), (99, words(9, 200_000), None, None, None)]
