@@ -11,10 +11,12 @@ document is sent as the spans of neighbouring windows that share one (at most 2
    documents share differs from one to the next, and so it is spread over all buckets.
 3. In a bucket, windows whose hash occurs once belong to one span. What is left of the spans is sorted in suffix arrays,
    one for each minimizer: equal windows stand side by side and get the least document id that has one of them. A suffix
-   array is built by linear grouping (below). Buckets reply to each block about its own spans, in the order sent.
+   array is built by linear grouping (below). A bucket's keys are taken in parts of about PART bytes. Buckets reply to
+   each block about its own spans, in the order sent.
 4. Blocks mark the bytes of every window that a document with a smaller id has too.
 
-Spans are taken as one only if their bytes are equal, not just their hashes. Blocks are made of about as many bytes each;
+Spans are taken as one only if their bytes are equal, not just their hashes. Blocks are made of about as many bytes each
+and do not grow beyond MOST_BLOCK, so a task's memory stays the same from 2 GB of text on: more text makes more blocks;
 a message holds all that a block has for a bucket, so their number stays below that of distinct minimizers. The text is
 shuffled once, to its block, and that shuffle serves steps 1, 2 and 4.
 """
@@ -22,7 +24,8 @@ shuffled once, to its block, and that shuffle serves steps 1, 2 and 4.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +38,11 @@ from feedloom.llm.textbytes import mix
 K, GRAM = 50, 24
 #: Bytes of a block: this share of all bytes, but between these bounds. Documents from which on a minimizer is hot (of
 #: those of one block, 255 count at most), so that its spans may take a megabyte.
-SHARE, LEAST_BLOCK, MOST_BLOCK, HOT = 256, 1 << 20, 32 << 20, 1 << 14
-STEP = 1 << 19
+SHARE, LEAST_BLOCK, MOST_BLOCK, HOT = 256, 1 << 20, 8 << 20, 1 << 14
+#: Bytes of texts, and of a bucket's spans, that are handled at a time.
+STEP, PART = 1 << 19, 1 << 20
+#: Characters from which on a suffix array is built in arrays.
+LONG = 1 << 17
 LAST = (1 << 63) - 1
 PLACE = np.uint64(24)  # bits of a position inside a step; the rest of 64 is the hash
 FACTOR = 0x9E3779B97F4A7C15
@@ -44,7 +50,7 @@ INVERSE = pow(FACTOR, -1, 1 << 64)
 UNKNOWN = -2
 
 
-def suffix_array(text: list[int]) -> list[int]:
+def suffix_array(text: list[int]) -> Sequence[int]:
     """Suffixes of text in order, in linear steps; text ends with its only 0, the least value, and has small values.
 
     First, suffixes are grouped by their longest Lyndon prefix: groups start as equal first characters and are taken
@@ -54,19 +60,16 @@ def suffix_array(text: list[int]) -> list[int]:
     result, the suffixes that end where the current one starts are the next free ones of their groups.
     """
     n = len(text)
-    buckets: list[list[int]] = [[] for _ in range(max(text) + 1)]
-    for i, c in enumerate(text):
-        buckets[c].append(i)
-    order = [i for places in buckets for i in places]
-    at, group, size = [0] * n, [0] * n, [0] * n
-    start = 0
-    for places in buckets:
-        for i, p in enumerate(places, start):
-            at[p], group[p] = i, start
-        if places:
-            size[start] = len(places)
-        start += len(places)
-    before = [UNKNOWN] * n
+    symbols = np.array(text, np.int32)
+    sort = np.argsort(symbols, kind="stable")
+    starts = np.flatnonzero(np.diff(symbols[sort], prepend=-1))
+    counts = np.diff(np.append(starts, n))
+    # lists are faster, arrays of a long text take a quarter of their memory
+    row = (lambda x: array("i", x.astype(np.int32).tobytes())) if n > LONG else np.ndarray.tolist
+    where, first, sizes = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.int64)
+    where[sort], first[sort], sizes[starts] = np.arange(n), np.repeat(starts, counts), counts
+    order, at, group, size = row(sort), row(where), row(first), row(sizes)
+    before = row(np.full(n, UNKNOWN))
     end = n
     while end > 0:
         start = group[order[end - 1]]
@@ -111,7 +114,7 @@ def suffix_array(text: list[int]) -> list[int]:
                 for p in places:
                     group[p] = slot
         end = start
-    free, done, out = list(range(n)), bytearray(n), [0] * n
+    free, done, out = row(np.arange(n)), bytearray(n), row(np.zeros(n, np.int64))
     out[0] = n - 1
     done[n - 1] = 1
     for i in range(n):
@@ -209,6 +212,18 @@ def firsts(data: np.ndarray, at: np.ndarray, size: np.ndarray, *keys: np.ndarray
     return new
 
 
+def covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of n places is in one of the ranges begin:end."""
+    order = np.argsort(begin, kind="stable")
+    begin, reach = begin[order], np.maximum.accumulate(end[order])
+    apart = np.flatnonzero(begin[1:] > reach[:-1])
+    edge = np.zeros(n + 1, np.int8)
+    if len(begin):
+        edge[begin[np.append(0, apart + 1)]] = 1
+        edge[reach[np.append(apart, len(begin) - 1)]] = -1
+    return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+
+
 def packed(ids: np.ndarray) -> bytes:
     """Ids in four bytes each where they fit, else in eight; the first byte tells."""
     small = not len(ids) or (ids.min() >= 0 and ids.max() < 1 << 32)
@@ -314,6 +329,7 @@ def block_units(texts: list[bytes], owners: np.ndarray, wanted: np.ndarray, hot:
         found.append((of[piece], where[piece] + begin, size, key, content))
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     text, at, size, key, content = (np.concatenate(x) for x in zip(none, *found, strict=True))
+    found.clear()
     owner = owners[text]
     order = np.lexsort((owner, content, key, key & low))
     text, at, size, key, content, owner = (x[order] for x in (text, at, size, key, content, owner))
@@ -323,7 +339,7 @@ def block_units(texts: list[bytes], owners: np.ndarray, wanted: np.ndarray, hot:
 
 def window_owners(data: bytes, at: np.ndarray, size: np.ndarray, key: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """For each window of distinct spans (sorted by key), the least owner of a span of that key that has it."""
-    array = np.frombuffer(data, np.uint8)
+    view = np.frombuffer(data, np.uint8)
     n = size - K + 1
     out = np.repeat(owner, n)
     alone = np.ones(len(key), bool)
@@ -336,7 +352,7 @@ def window_owners(data: bytes, at: np.ndarray, size: np.ndarray, key: np.ndarray
     begin, place = ranges(at[many], n[many]), ranges((np.cumsum(n) - n)[many], n[many])
     span = np.repeat(many, n[many])
     group = np.cumsum(np.diff(key[many], prepend=key[many[:1]]) != 0)[np.cumsum(np.diff(span, prepend=span[:1]) != 0)]
-    hashes = content_hash(array, begin, begin + K)
+    hashes = content_hash(view, begin, begin + K)
     order = np.lexsort((hashes, group))
     again = np.zeros(len(order), bool)
     same = (hashes[order[1:]] == hashes[order[:-1]]) & (group[order[1:]] == group[order[:-1]])
@@ -348,9 +364,9 @@ def window_owners(data: bytes, at: np.ndarray, size: np.ndarray, key: np.ndarray
         return out
     length = np.diff(np.append(np.cumsum(again)[starts] - 1, again.sum()))
     a, b, g, least = begin[starts], length + K - 1, group[starts], owner[span[starts]]
-    content = content_hash(array, a, a + b)
+    content = content_hash(view, a, a + b)
     order = np.lexsort((least, content, g))
-    new = firsts(array, a[order], b[order], g[order], content[order])
+    new = firsts(view, a[order], b[order], g[order], content[order])
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(new) - 1
     one = order[new]
@@ -368,6 +384,43 @@ def window_owners(data: bytes, at: np.ndarray, size: np.ndarray, key: np.ndarray
     return out
 
 
+def run_owners(key: np.ndarray, own: np.ndarray, size: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For spans that stand one after another in spans: how many runs of windows with one least owner each has, and the
+    runs' lengths and owners. Keys are taken in parts of about PART bytes of spans, so no more is worked on at a time."""
+    order = np.argsort(key, kind="stable")
+    at = np.cumsum(size, dtype=np.int64) - size
+    before = np.cumsum(size[order], dtype=np.int64) - size[order]
+    first = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+    part = before[first][np.cumsum(first) - 1] // PART
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    runs, lengths, owners = np.zeros(len(key), np.uint8), [], []
+    for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+        some = order[x:y]
+        n_bytes = size[some].astype(np.int64)
+        data = spans[ranges(at[some], n_bytes)]
+        begin = np.cumsum(n_bytes) - n_bytes
+        content = content_hash(data, begin, begin + n_bytes)
+        sort = np.lexsort((own[some], content, key[some]))
+        new = firsts(data, begin[sort], n_bytes[sort], key[some][sort], content[sort])
+        of = np.empty(len(sort), np.int64)
+        of[sort] = np.cumsum(new) - 1
+        one = sort[new]
+        n = n_bytes[one] - K + 1
+        least = window_owners(data.tobytes(), begin[one], n_bytes[one], key[some][one], own[some][one])
+        span = np.repeat(np.arange(len(one)), n)
+        turn = np.flatnonzero((np.diff(least, prepend=least[:1]) != 0) | (np.diff(span, prepend=-1) != 0))
+        count = np.bincount(span[turn], minlength=len(one))
+        each = ranges((np.cumsum(count) - count)[of], count[of])
+        runs[some] = count[of]
+        lengths.append(np.diff(np.append(turn, len(least)))[each].astype(np.uint8))
+        owners.append(least[turn][each])
+    # back from the order of the keys to that of the spans
+    start = np.empty(len(order), np.int64)
+    start[order] = np.cumsum(runs[order], dtype=np.int64) - runs[order]
+    each = ranges(start, runs.astype(np.int64))
+    return runs, np.concatenate(lengths)[each], np.concatenate(owners)[each]
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, block: int | None = None, hot: int = HOT) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, and kept (the bytes left) or, with digests, kept_sha256.
 
@@ -456,27 +509,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """For each block's strings, runs of windows with one least owner."""
         if (bucket := table["bucket"][0].as_py()) < 0:  # what the block sent to itself
             return pa.table({"block": table["block"], "bucket": table["bucket"], "runs": table["key"], "length": table["size"], "owner": table["owner"]})
-        read = lambda c, kind: [np.frombuffer(x, kind) for x in table[c].to_pylist()]
-        keys = read("key", "<u4")
-        key, own = np.concatenate(keys), np.concatenate([unpacked(x) for x in table["owner"].to_pylist()])
-        size = np.concatenate(read("size", np.uint8)).astype(np.int64)
-        data = b"".join(table["data"].to_pylist())
-        array = np.frombuffer(data, np.uint8)
-        at = np.cumsum(size) - size
-        content = content_hash(array, at, at + size)
-        order = np.lexsort((own, content, key))
-        new = firsts(array, at[order], size[order], key[order], content[order])
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(new) - 1
-        one = order[new]
-        least, n = window_owners(data, at[one], size[one], key[one], own[one]), size[one] - K + 1
-        span = np.repeat(np.arange(len(one)), n)
-        turn = np.flatnonzero((np.diff(least, prepend=least[:1]) != 0) | (np.diff(span, prepend=-1) != 0))
-        length, runs = np.diff(np.append(turn, len(least))), np.bincount(span[turn], minlength=len(one))
-        first, out = np.cumsum(runs) - runs, []
-        for ids_ in np.split(of, np.cumsum([len(k) for k in keys])[:-1]):
-            each = ranges(first[ids_], runs[ids_])
-            out.append((runs[ids_].astype(np.uint8).tobytes(), length[each].astype(np.uint8).tobytes(), packed(least[turn][each])))
+        keys = [np.frombuffer(x, "<u4") for x in table["key"].to_pylist()]
+        runs, length, owner_ = run_owners(
+            np.concatenate(keys),
+            np.concatenate([unpacked(x) for x in table["owner"].to_pylist()]),
+            np.frombuffer(b"".join(table["size"].to_pylist()), np.uint8),
+            np.frombuffer(b"".join(table["data"].to_pylist()), np.uint8),
+        )
+        last, out = np.concatenate([[0], np.cumsum(runs, dtype=np.int64)]), []
+        ends = np.cumsum([len(k) for k in keys])
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            out.append((runs[a:b].tobytes(), length[last[a] : last[b]].tobytes(), packed(owner_[last[a] : last[b]])))
         return pa.table({"block": table["block"], "bucket": pa.array([bucket] * len(out), pa.int64()), **{c: pa.array([o[i] for o in out], pa.binary()) for i, c in enumerate(("runs", "length", "owner"))}})
 
     def remove(docs_: pa.Table, replies: pa.Table) -> pa.Table:
@@ -498,8 +541,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         later = np.flatnonzero(owner_[run] < u.owner[unit])
         run, unit = run[later], unit[later]
         begin = u.at[unit] + along[run] - along[first_run[u.of[unit]]]
-        edge = np.bincount(begin, minlength=len(u.data) + 1) - np.bincount(begin + length[run] + K - 1, minlength=len(u.data) + 1)
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = covered(begin, begin + length[run] + K - 1, len(u.data))
         removed, spans, kept = [], [], []
         for t, end in zip(texts, u.ends.tolist(), strict=True):
             own, left = gone[end - len(t) : end], t

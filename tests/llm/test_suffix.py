@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -97,5 +98,46 @@ def test_pieces_of_long_texts(spark, monkeypatch):
         assert seen == {t[k : k + sd.K] for k in range(len(t) - sd.K + 1)}
 
 
+def test_long_suffix_array(monkeypatch):
+    monkeypatch.setattr(sd, "LONG", 5)
+    r = random.Random(8)
+    for _ in range(200):
+        s = [r.randint(1, r.choice([1, 2, 3, 20])) for _ in range(r.randint(5, 60))] + [0]
+        assert list(sd.suffix_array(s)) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_covered():
+    r = random.Random(2)
+    for _ in range(200):
+        n = r.randint(0, 60)
+        found = [(a, r.randint(a + 1, n)) for a in (r.randrange(n) for _ in range(r.randint(0, 9) if n else 0))]
+        got_ = sd.covered(np.array([a for a, _ in found], np.int64), np.array([b for _, b in found], np.int64), n)
+        assert got_.tolist() == [any(a <= i < b for a, b in found) for i in range(n)]
+
+
+def test_bucket_in_parts(monkeypatch):
+    """A bucket's spans are worked on in parts of some bytes, whatever its size, with the same result."""
+    r = np.random.default_rng(5)
+    size = r.integers(sd.K, 77, 20_000).astype(np.uint8)
+    key = r.integers(0, 10_000, len(size)).astype(np.uint32)
+    spans = r.integers(97, 123, int(size.sum()), np.uint8)
+    at = np.cumsum(size, dtype=np.int64) - size
+    again = np.flatnonzero(np.arange(len(size)) % 3 == 2)  # begins as the span before does, under the same key
+    for i in again:
+        spans[at[i] : at[i] + sd.K] = spans[at[i - 1] : at[i - 1] + sd.K]
+    key[again] = key[again - 1]
+    own = r.permutation(len(size))
+    sd.powers(len(spans) + 1)  # tables stay, they are not counted
+    found, peak = [], []
+    for part in (len(spans) + 1, 1 << 16):
+        monkeypatch.setattr(sd, "PART", part)
+        tracemalloc.start()
+        found.append(sd.run_owners(key, own, size, spans))
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(*found, strict=True)) and (found[0][0] > 1).any()
+    assert peak[1] < peak[0] / 3
+
+
 def test_empty(spark):
     assert got(empty(spark)) == []
